@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.calendar import trading_days
+from ..operators import exits as ex
+from ..operators.calendar import trading_days, with_entry
 from ..sources.fixture import Fixture
+from . import backtest as bt
 from . import outcomes as oc
 from . import rankings as rk
+from . import reads as rd
 from .oracles import H, K, sql
 
 REGISTRY: dict[str, tuple[Callable[[Fixture], DataFrame], str | None]] = {}
@@ -50,8 +53,6 @@ def _(fx):
 
 @query("d02_entry_day", "SELECT trade_id, d0, d0_date FROM ent")
 def _(fx):
-    from ..operators.calendar import with_entry
-
     return with_entry(oc.in_scope(fx["trades"], fx["filings"]), trading_days(fx["prices"])).select("trade_id", "d0", "d0_date")
 
 
@@ -108,6 +109,304 @@ def _(fx):
     return rk.signal_factors(outcomes_of(fx), fx["trades"]).select("factor", "level", "n", "n_trades", *r6("mean", "shrunk", "effect"))
 
 
+# --- exits and books
+
+
+def signals_of(fx: Fixture):
+    out = outcomes_of(fx)
+    sales = ex.sale_days(with_entry(oc.in_scope(fx["trades"], fx["filings"]), trading_days(fx["prices"])))
+    return out, ex.signals(out, fx["trades"]), sales
+
+
+SIM = """, sig AS (SELECT trade_id, symbol, d0 FROM (SELECT o.*, row_number() OVER (PARTITION BY doc_id, symbol ORDER BY d0, trade_id) AS rn FROM outcomes o WHERE copyable) WHERE rn = 1),
+ser AS (SELECT symbol, i, CASE WHEN ok THEN open * adj_close / close END AS o, CASE WHEN adj_close > 0 THEN adj_close END AS c,
+  CASE WHEN ok THEN greatest(high * (adj_close / close), open * adj_close / close, adj_close) END AS h, CASE WHEN ok THEN least(low * (adj_close / close), open * adj_close / close, adj_close) END AS l
+  FROM (SELECT p.*, cal.i, coalesce(p.open > 0 AND p.close > 0 AND p.adj_close > 0, false) AS ok FROM prices p JOIN cal USING (date))),
+ends AS (SELECT symbol, max(i) AS last, arg_max(c, i) AS last_c FROM ser WHERE c IS NOT NULL GROUP BY symbol),
+path AS (SELECT g.trade_id, g.d0, g.symbol, b.i, b.o, b.h, b.l, b.c, e.o AS entry,
+    greatest(e.o, max(b.h) OVER (PARTITION BY g.trade_id ORDER BY b.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS high
+  FROM sig g JOIN ser e ON e.symbol = g.symbol AND e.i = g.d0 AND e.o IS NOT NULL JOIN ser b ON b.symbol = g.symbol AND b.c IS NOT NULL AND b.i BETWEEN g.d0 AND g.d0 + {hold} + 250),
+lvl AS (SELECT *, {stop} AS stop, {target} AS target FROM path),
+act AS (SELECT *, CASE WHEN i > d0 + {hold} THEN 'hold' WHEN i > d0 AND o <= stop THEN 'stop' WHEN i > d0 AND o >= target THEN 'target' WHEN l <= stop THEN 'stop' WHEN h >= target THEN 'target' WHEN i >= d0 + {hold} THEN 'hold' END AS reason,
+   CASE WHEN i > d0 + {hold} THEN CASE WHEN o IS NULL THEN 'close' ELSE 'open' END WHEN i > d0 AND (o <= stop OR o >= target) THEN 'open' WHEN l <= stop OR h >= target THEN 'intraday' ELSE 'close' END AS exit_at,
+   CASE WHEN i > d0 + {hold} THEN coalesce(o, c) WHEN i > d0 AND (o <= stop OR o >= target) THEN o WHEN l <= stop THEN stop WHEN h >= target THEN target ELSE c END AS price FROM lvl),
+hit AS (SELECT trade_id, any_value(symbol) AS symbol, any_value(entry) AS entry, arg_min(i, i) FILTER (reason IS NOT NULL) AS exit_i, arg_min(price, i) FILTER (reason IS NOT NULL) AS price, arg_min(exit_at, i) FILTER (reason IS NOT NULL) AS exit_at, arg_min(reason, i) FILTER (reason IS NOT NULL) AS reason FROM act GROUP BY trade_id)
+SELECT trade_id, round(entry, 6) AS entry, CAST(coalesce(exit_i, CASE WHEN last < n - 1 THEN last ELSE n - 1 END) AS INT) AS exit_i, round(coalesce(price, last_c), 6) AS exit_price, coalesce(exit_at, 'close') AS exit_at,
+  coalesce(reason, CASE WHEN last < n - 1 THEN 'data_end' ELSE 'open' END) AS reason FROM hit JOIN ends USING (symbol), (SELECT count(*) AS n FROM cal)"""
+
+
+def simulated(rule):
+    def run(fx):
+        _, sig, sales = signals_of(fx)
+        days = trading_days(fx["prices"])
+        bars = ex.series(fx["prices"], days)
+        n_days = int(days.agg(F.max("i")).first()[0]) + 1
+        return ex.simulate(ex.next_sale(sig, sales), bars, rule, n_days).select("trade_id", *r6("entry"), "exit_i", *r6("exit_price"), "exit_at", "reason")
+
+    return run
+
+
+NONE = "CAST(NULL AS DOUBLE)"
+query("d22_exit_fixed_hold", SIM.format(hold=20, stop=NONE, target=NONE))(simulated(ex.Rule("fixed_hold", 20)))
+query("d22_exit_stop_target", SIM.format(hold=60, stop="entry * (1 - 0.08::DOUBLE)", target="entry * (1 + 0.2::DOUBLE)"))(simulated(ex.Rule("stop_target", stop=0.08, target=0.2)))
+query("d22_exit_trailing_stop", SIM.format(hold=60, stop="coalesce(high, entry) * (1 - 0.1::DOUBLE)", target=NONE))(simulated(ex.Rule("trailing_stop", pct=0.1)))
+query("d22_exit_atr_stop")(simulated(ex.Rule("atr_stop", mult=3)))
+query("d22_exit_member_sale")(simulated(ex.Rule("member_sale")))
+
+
+@query("d25_evaluated_hold")
+def _(fx):
+    _, sig, sales = signals_of(fx)
+    return bt.evaluate_grid(sig, sales, fx["prices"], (ex.Rule("fixed_hold", 20),)).select("trade_id", "exit_i", "reason", *r6("entry_net", "exit_net", "ret", "abn"))
+
+
+@query("d29_quarters")
+def _(fx):
+    return bt.quarters(trading_days(fx["prices"]))
+
+
+@query("d27_ledger_hold_20")
+def _(fx):
+    _, sig, sales = signals_of(fx)
+    days, _ = ex.benchmark(fx["prices"])
+    trades = bt.evaluate_grid(sig, sales, fx["prices"], (ex.Rule("fixed_hold", 20),)).withColumn("book", F.lit("hold_20"))
+    return bt.ledger(trades, ex.series(fx["prices"], days)).select("book", "kind", "i", "trade_id", *r6("amount", "equity", "drawdown"))
+
+
+@query("d26_ranked_universe")
+def _(fx):
+    days = trading_days(fx["prices"])
+    return bt.ranked_universe(outcomes_of(fx), bt.quarters(days), days)
+
+
+@query("d31_walk_forward_books")
+def _(fx):
+    out, sig, sales = signals_of(fx)
+    days, _ = ex.benchmark(fx["prices"])
+    q = bt.quarters(days)
+    grid = bt.evaluate_grid(sig, sales, fx["prices"])
+    base = bt.evaluate_grid(sig, sales, fx["prices"], tuple(ex.Rule("fixed_hold", h) for h in bt.BASELINES))
+    base = base.withColumn("rule_no", F.element_at(F.array(*(F.lit(h) for h in bt.BASELINES)), F.col("rule_no") + 1))
+    trades, _ = bt.walk_forward(grid, base, sig, q)
+    events = bt.ledger(trades, ex.series(fx["prices"], days))
+    return bt.book_rows(trades, events, q, days).select("book", "q", "n_filings", *r6("mean_ret", "mean_abn_ret", "hit_rate", "max_drawdown", "total_return"), "skipped_cash")
+
+
+@query("d34_engine_self_check")
+def _(fx):
+    return bt.self_check(outcomes_of(fx), fx["prices"])
+
+
+# --- read endpoints and reports
+
+
+@query("q01_dashboard_summary", """SELECT (SELECT count(*) FROM filings) AS filings, (SELECT count(*) FROM filings WHERE parse_status = 'needs_review') AS needs_review, (SELECT max(first_seen_at) FROM filings) AS last_filing_seen_at,
+  (SELECT count(*) FROM trades) AS trades, (SELECT count(*) FROM alerts) AS alerts, (SELECT count(*) FROM watchlist WHERE active = 1) AS watchlist, (SELECT count(*) FROM positions WHERE status = 'open') AS open_positions""")
+def _(fx):
+    return rd.summary(fx["filings"], fx["trades"], fx["alerts"], fx["watchlist"], fx["positions"])
+
+
+@query("q02_recent_filings", """SELECT doc_id, f.chamber, filing_date, parse_status, doc_format, coalesce(name, filer_name) AS member_name FROM filings f LEFT JOIN members m ON m.member_id = f.member_id
+ORDER BY first_seen_at DESC, filing_date DESC, doc_id DESC LIMIT 50""")
+def _(fx):
+    return rd.recent_filings(fx["filings"], fx["members"])
+
+
+@query("q03_recent_alerts", """SELECT alert_id, score, ticker, action, amount_min, amount_max, m.name AS member_name FROM alerts a JOIN trades t ON t.trade_id = a.trade_id LEFT JOIN members m ON m.member_id = t.member_id
+ORDER BY sent_at DESC, alert_id DESC LIMIT 50""")
+def _(fx):
+    return rd.recent_alerts(fx["alerts"], fx["trades"], fx["members"])
+
+
+@query("q04_trades_filtered", """SELECT t.trade_id, ticker, symbol, action, tx_date, disclosure_date, amount_min, coalesce(name, filer_name) AS member_name, party, f.chamber, score
+FROM trades t LEFT JOIN members m ON m.member_id = t.member_id LEFT JOIN filings f ON f.doc_id = t.doc_id LEFT JOIN (SELECT trade_id, max(score) AS score FROM alerts GROUP BY trade_id) a ON a.trade_id = t.trade_id
+WHERE coalesce(name, filer_name) ILIKE '%member 1%' AND (ticker = 'N7' OR symbol = 'N7') AND action = 'BUY' ORDER BY disclosure_date DESC, t.trade_id DESC LIMIT 100""")
+def _(fx):
+    return rd.trade_list(fx["trades"], fx["members"], fx["filings"], fx["alerts"], "member 1", "n7", "BUY")
+
+
+@query("q05_leaderboard", "SELECT s.member_id, CASE WHEN n_filings >= 20 THEN row_number() OVER (PARTITION BY n_filings >= 20 ORDER BY shrunk_score DESC, mean_ret - mean_spy_ret DESC, s.member_id) END AS rank, n_filings, name, chamber, party, round(shrunk_score, 6) AS shrunk_score, round(consistency, 6) AS consistency FROM member_stats s JOIN members m ON m.member_id = s.member_id LEFT JOIN steady c ON c.member_id = s.member_id WHERE horizon = 5")
+def _(fx):
+    out = outcomes_of(fx)
+    return rd.leaderboard(rk.member_horizon_stats(out), rk.member_scores(out), fx["members"], 5).select("member_id", "rank", "n_filings", "name", "chamber", "party", *r6("shrunk_score", "consistency"))
+
+
+@query("q06_outcome_summary", "SELECT horizon, count(*) AS n_filings, CAST(sum(n) AS BIGINT) AS n_trades, round(avg(r), 6) AS mean_ret, round(avg(s), 6) AS mean_spy_ret, round(avg(r) - avg(s), 6) AS mean_abn_ret, round(avg(CASE WHEN a > 0 THEN 1::DOUBLE ELSE 0::DOUBLE END), 6) AS hit_rate FROM (SELECT horizon, doc_id, count(*) AS n, avg(ret) AS r, avg(ret - abn) AS s, avg(abn) AS a FROM matured GROUP BY ALL) GROUP BY horizon")
+def _(fx):
+    return rd.outcome_summary(outcomes_of(fx)).select("horizon", "n_filings", "n_trades", *r6("mean_ret", "mean_spy_ret", "mean_abn_ret", "hit_rate"))
+
+
+@query("q07_outcome_members", "SELECT m.member_id, m.name, count(DISTINCT o.doc_id) AS n_filings FROM outcomes o JOIN members m ON m.member_id = o.member_id WHERE copyable GROUP BY ALL")
+def _(fx):
+    return rd.outcome_members(outcomes_of(fx), fx["members"])
+
+
+@query("q08_outcome_trades", "SELECT o.trade_id, t.symbol, t.tx_date, d0_date, coalesce(name, filer_name) AS member_name, available_basis, complete, round(ret_20, 6) AS ret_20 FROM outcomes o JOIN trades t ON t.trade_id = o.trade_id LEFT JOIN members m ON m.member_id = t.member_id LEFT JOIN filings f ON f.doc_id = t.doc_id WHERE copyable ORDER BY d0_date DESC, o.trade_id DESC LIMIT 100")
+def _(fx):
+    return rd.outcome_trades(outcomes_of(fx), fx["trades"], fx["members"], fx["filings"]).select("trade_id", "symbol", "tx_date", "d0_date", "member_name", "available_basis", "complete", *r6("ret_20"))
+
+
+@query("q09_open_inflation_table", "SELECT group_type, group_key, d.n, CAST(d.n_trades AS BIGINT) AS n_trades, best_k, m.name, " + ", ".join(f"round(max(CASE WHEN k = {k} THEN mean END), 6) AS mean_{k}" for k in K) + " FROM infl_stats s JOIN delays d USING (group_type, group_key) LEFT JOIN members m ON group_type = 'member' AND m.member_id = group_key GROUP BY ALL")
+def _(fx):
+    stats = rk.inflation_stats(rk.inflation_groups(outcomes_of(fx), fx["trades"], ATTENTION))
+    return rd.inflation_table(stats, rk.entry_delays(stats), fx["members"]).select("group_type", "group_key", "n", "n_trades", "best_k", "name", *r6(*(f"mean_{k}" for k in K)))
+
+
+@query("q11_trade_prices", """SELECT s.date, round(s.close, 3) AS spy_close, round(p.open, 3) AS open, round(p.close, 3) AS close FROM prices s LEFT JOIN prices p ON p.date = s.date AND p.symbol = 'N3'
+WHERE s.symbol = 'SPY' AND s.date BETWEEN DATE '1998-03-02' - 10 AND DATE '1998-05-01' + 95""")
+def _(fx):
+    return rd.trade_prices(fx["prices"], "N3", "1998-03-02", "1998-05-01").select("date", *(F.round(c, 3).alias(c) for c in ("spy_close", "open", "close")))
+
+
+@query("q12_members_watched", "SELECT m.member_id, name, chamber, party, state, coalesce(w.active, 0) AS watched FROM members m LEFT JOIN watchlist w ON w.member_id = m.member_id WHERE m.active = 1")
+def _(fx):
+    return rd.members_watched(fx["members"], fx["watchlist"])
+
+
+@query("q13_watchlist", "SELECT w.member_id, reason, name, chamber, party FROM watchlist w JOIN members m ON m.member_id = w.member_id WHERE w.active = 1")
+def _(fx):
+    return rd.watched(fx["watchlist"], fx["members"])
+
+
+VALUED = """, lastp AS (SELECT symbol, arg_max(close, date) AS last_close, max(date) AS last_date FROM prices WHERE close IS NOT NULL GROUP BY symbol),
+val AS (SELECT p.*, last_close, CASE WHEN status = 'open' THEN last_close ELSE sell_price END AS price,
+  (SELECT arg_max(close, date) FROM prices s WHERE s.symbol = 'SPY' AND close IS NOT NULL AND s.date <= coalesce(sell_date, last_date)) AS so,
+  (SELECT arg_min(close, date) FROM prices s WHERE s.symbol = 'SPY' AND close IS NOT NULL AND s.date >= buy_date) AS si
+  FROM positions p LEFT JOIN lastp ON symbol = ticker)"""
+
+
+@query("q15_positions_value", VALUED + " SELECT position_id, status, round(price, 6) AS price, round(price * shares, 4) AS value, round((price - buy_price) * shares, 4) AS pnl, round(price / buy_price - 1, 6) AS ret, round(so / si - 1, 6) AS spy_ret FROM val")
+def _(fx):
+    return rd.positions_with_value(fx["positions"], fx["prices"]).select("position_id", "status", *r6("price"), F.round("value", 4).alias("value"), F.round("pnl", 4).alias("pnl"), *r6("ret", "spy_ret"))
+
+
+@query("a26_portfolio_totals", VALUED + " SELECT round(sum(buy_price * shares), 2) AS cost, round(sum(price * shares), 2) AS value, round(sum((price - buy_price) * shares), 2) AS pnl FROM val WHERE status = 'open' AND price IS NOT NULL")
+def _(fx):
+    return rd.portfolio_totals(rd.positions_with_value(fx["positions"], fx["prices"])).select(*(F.round(c, 2).alias(c) for c in ("cost", "value", "pnl")))
+
+
+@query("a12_review_queue", """SELECT chamber, filing_year, count(*) AS filings, count(*) FILTER (parse_status = 'parsed') AS parsed, count(*) FILTER (parse_status = 'needs_review' AND doc_format = 'scanned') AS scanned,
+  count(*) FILTER (parse_status = 'needs_review' AND doc_format <> 'scanned') AS needs_review, count(*) FILTER (parse_status = 'failed') AS failed, count(*) FILTER (parse_status = 'pending') AS pending FROM filings GROUP BY ALL""")
+def _(fx):
+    return rd.review_queue(fx["filings"])
+
+
+@query("q20_pipeline_health", """SELECT max(run_id) AS last_run, arg_max(status, run_id) AS last_status, max(run_id) FILTER (status = 'ok') AS last_ok_run,
+  count(*) FILTER (status = 'failed' AND run_id > (SELECT coalesce(max(run_id), 0) FROM runs WHERE status = 'ok')) AS failure_streak, count(*) FILTER (started_at >= (SELECT max(started_at) FROM runs) - to_hours(24)) AS runs_24h FROM runs""")
+def _(fx):
+    return rd.pipeline_health(fx["runs"])
+
+
+@query("q18_pipeline_runs", "SELECT run_id, status FROM runs ORDER BY run_id DESC LIMIT 50")
+def _(fx):
+    return fx["runs"].orderBy(F.desc("run_id")).limit(50).select("run_id", "status")
+
+
+@query("n08_schedule_gaps")
+def _(fx):
+    return rd.schedule_gaps(fx["runs"])
+
+
+@query("a21_detection_lag", """, lag AS (SELECT date_diff('day', filing_date, CAST(first_seen_at AS DATE)) AS lag FROM filings WHERE filing_date IS NOT NULL),
+o AS (SELECT lag, row_number() OVER (ORDER BY lag) AS r, count(*) OVER () AS n FROM lag)
+SELECT max(n) AS n, CAST(max(CASE WHEN r = greatest(1, floor(n * 0.9)) THEN lag END) AS INT) AS p90, round(count(*) FILTER (lag <= 0) / max(n), 6) AS same_day, round(count(*) FILTER (lag <= 1) / max(n), 6) AS next_day FROM o""")
+def _(fx):
+    return rd.detection_lag(fx["filings"])
+
+
+@query("a22_alert_latency", """, per AS (SELECT sent_at, min(first_seen_at) AS seen FROM alerts a JOIN trades t ON t.trade_id = a.trade_id JOIN filings f ON f.doc_id = t.doc_id GROUP BY sent_at),
+m AS (SELECT date_diff('minute', seen, sent_at) AS m FROM per) SELECT count(*) AS n, median(m) AS median_min, max(m) AS max_min FROM m WHERE m >= 0""")
+def _(fx):
+    return rd.alert_latency(fx["alerts"], fx["trades"], fx["filings"])
+
+
+@query("d49_outcome_report", "SELECT year(t.disclosure_date) AS year, count(*) AS rows, count(abn_ret_1) AS priced, count(*) FILTER (complete) AS complete FROM outcomes o JOIN trades t ON t.trade_id = o.trade_id GROUP BY 1")
+def _(fx):
+    return rd.outcome_report(outcomes_of(fx), fx["trades"])
+
+
+@query("d49_horizon_report", "SELECT horizon, count(*) AS n, round(avg(abn), 6) AS mean, round(median(abn), 6) AS median, round(avg(CASE WHEN abn > 0 THEN 1::DOUBLE ELSE 0::DOUBLE END), 6) AS hit FROM matured GROUP BY horizon")
+def _(fx):
+    return rd.horizon_report(outcomes_of(fx)).select("horizon", "n", *r6("mean", "median", "hit"))
+
+
+NEED = ", need AS (SELECT upper(symbol) AS symbol, greatest(min(least(coalesce(tx_date, disclosure_date), disclosure_date)) - 30, DATE '1995-12-01') AS needed_from, max(disclosure_date) AS needed_to FROM trades WHERE symbol IS NOT NULL GROUP BY 1)"
+
+
+@query("d37_price_needs", NEED + " SELECT * FROM need")
+def _(fx):
+    return rd.price_needs(fx["trades"], "1995-12-01")
+
+
+@query("d39_price_coverage", NEED + """, have AS (SELECT symbol, min(date) AS first_date, max(date) AS last_date, count(*) AS n_rows FROM prices WHERE close IS NOT NULL GROUP BY symbol)
+SELECT symbol, needed_from, first_date, last_date, coalesce(n_rows, 0) AS n_rows, CASE WHEN n_rows IS NULL THEN 'missing' WHEN first_date > needed_from + 4 OR last_date < needed_to - 7 THEN 'partial' ELSE 'ok' END AS status,
+  CASE WHEN n_rows IS NULL THEN 'no prices' WHEN first_date > needed_from + 4 THEN 'starts late' WHEN last_date < needed_to - 7 THEN 'ends early' END AS note FROM need LEFT JOIN have USING (symbol)""")
+def _(fx):
+    return rd.coverage(rd.price_needs(fx["trades"], "1995-12-01"), fx["prices"])
+
+
+@query("d38_rebased", """, fresh AS (SELECT symbol, date, close * CASE WHEN symbol IN ('N3', 'N8') THEN 2::DOUBLE ELSE 1::DOUBLE END AS close FROM prices), b AS (SELECT p.symbol, p.date, p.close AS old, f.close AS new FROM prices p JOIN fresh f ON f.symbol = p.symbol AND f.date = p.date)
+SELECT b.symbol, coalesce(max(CASE WHEN date < latest AND old > 0 THEN abs(new / old - 1) END), 0) > 0.0005 AS rebased FROM b JOIN (SELECT symbol, max(date) AS latest FROM b GROUP BY symbol) USING (symbol) GROUP BY b.symbol""")
+def _(fx):
+    p = fx["prices"]
+    fresh = p.withColumn("close", p["close"] * F.when(p["symbol"].isin("N3", "N8"), 2.0).otherwise(1.0))
+    return rd.rebased(p, fresh)
+
+
+@query("j05_size_at_disclosure", """, ref AS (SELECT symbol, arg_max(close, date) AS r FROM prices GROUP BY symbol), then_ AS (SELECT t.trade_id, t.symbol, (SELECT max(date) FROM prices p WHERE p.symbol = t.symbol AND p.date <= t.disclosure_date) AS d FROM trades t WHERE symbol IS NOT NULL),
+c AS (SELECT t.trade_id, CASE WHEN p.close > 0 AND r > 0 THEN market_cap * p.close / r ELSE market_cap END AS cap FROM then_ t LEFT JOIN prices p ON p.symbol = t.symbol AND p.date = t.d LEFT JOIN securities s ON s.symbol = t.symbol LEFT JOIN ref ON ref.symbol = t.symbol)
+SELECT trade_id, CASE WHEN cap IS NULL THEN NULL WHEN cap >= 200e9 THEN 'mega' WHEN cap >= 10e9 THEN 'large' WHEN cap >= 2e9 THEN 'mid' WHEN cap >= 300e6 THEN 'small' ELSE 'micro' END AS bucket FROM c""")
+def _(fx):
+    return rd.size_at_disclosure(fx["trades"], fx["prices"], fx["securities"])
+
+
+@query("j14_committee_relevance", """SELECT trade_id, CASE WHEN EXISTS (SELECT 1 FROM committees c JOIN committee_sectors s ON s.committee_id = c.committee_id WHERE c.member_id = t.member_id AND s.sector = t.sector
+  AND c.congress = CAST(floor((year(t.tx_date - 2) - 1789) / 2) + 1 AS INT)) THEN 1 ELSE 0 END AS relevant FROM trades t""")
+def _(fx):
+    return rd.committee_relevance(fx["trades"], fx["committees"], fx["committee_sectors"])
+
+
+@query("d41_alert_candidates", """, fresh AS (SELECT t.* FROM trades t JOIN filings f ON f.doc_id = t.doc_id WHERE f.first_seen_at >= TIMESTAMP '2000-01-01' AND t.trade_id NOT IN (SELECT trade_id FROM alerts))
+SELECT trade_id, 'watchlist' AS rule FROM fresh WHERE action = 'BUY' AND member_id IN (SELECT member_id FROM watchlist WHERE active = 1)
+UNION ALL SELECT trade_id, 'held' FROM fresh WHERE action IN ('SELL', 'SELL_PARTIAL') AND upper(symbol) IN (SELECT upper(ticker) FROM positions WHERE status = 'open')""")
+def _(fx):
+    return rd.alert_candidates(fx["trades"], fx["filings"], fx["watchlist"], fx["positions"], fx["alerts"], "2000-01-01 00:00:00")
+
+
+@query("d40_watchlist_candidates", """SELECT member_id, 'add' AS proposal FROM scores WHERE rank <= 5 AND shrunk_score >= 0.005 AND hit_rate >= 0.5 AND member_id NOT IN (SELECT member_id FROM watchlist WHERE active = 1)
+UNION ALL SELECT member_id, 'remove' FROM scores WHERE rank IS NOT NULL AND shrunk_score < 0 AND member_id IN (SELECT member_id FROM watchlist WHERE active = 1)""")
+def _(fx):
+    return rd.watchlist_candidates(rk.member_scores(outcomes_of(fx)), fx["watchlist"])
+
+
+@query("n11_momentum", """, w AS (SELECT symbol, date, close, lag(close, 20) OVER (PARTITION BY symbol ORDER BY date) AS was FROM prices WHERE close IS NOT NULL) SELECT symbol, round(arg_max(close, date) / arg_max(coalesce(was, -1), date) - 1, 6) AS move FROM w GROUP BY symbol""")
+def _(fx):
+    return rd.momentum(fx["prices"], 20).select("symbol", *r6("move"))
+
+
+@query("d16_score_v1")
+def _(fx):
+    points, reasons = rk.score_v1()
+    return fx["trades"].where("action = 'BUY'").select("trade_id", points.alias("score"), F.array_join(reasons, "; ").alias("reasons"))
+
+
+@query("d17_score_v2", """SELECT t.trade_id, CAST(greatest(0, least(100, round_even(50 + 1000 * (CASE WHEN s.n_filings >= 20 THEN s.shrunk_score ELSE (SELECT max(shrunk) FROM factors WHERE factor = 'all') END
+  + coalesce(a.shrunk - a.pooled, 0) + coalesce(b.shrunk - b.pooled, 0) + coalesce(c.shrunk - c.pooled, 0) + coalesce(d.shrunk - d.pooled, 0) + coalesce(e.shrunk - e.pooled, 0)), 0))) AS INT) AS score
+FROM trades t JOIN lev l ON l.trade_id = t.trade_id LEFT JOIN scores s ON s.member_id = t.member_id LEFT JOIN factors a ON a.factor = 'mcap' AND a.level = l.mcap LEFT JOIN factors b ON b.factor = 'delay' AND b.level = l.delay
+LEFT JOIN factors c ON c.factor = 'amount' AND c.level = l.amount LEFT JOIN factors d ON d.factor = 'committee' AND d.level = l.committee LEFT JOIN factors e ON e.factor = 'kind' AND e.level = l.kind WHERE t.action = 'BUY'""")
+def _(fx):
+    out = outcomes_of(fx)
+    return rk.score_v2(fx["trades"].where("action = 'BUY'"), rk.signal_factors(out, fx["trades"]), rk.member_scores(out)).select("trade_id", "score")
+
+
+@query("d18_suggested_entry", """, k AS (SELECT * FROM delays WHERE best_k IS NOT NULL) SELECT trade_id, coalesce(m.best_k, c.best_k, a.best_k) AS best_k, coalesce(m.n, c.n, a.n) AS basis_n, coalesce(m.group_type, c.group_type, a.group_type) AS basis
+FROM trades t LEFT JOIN k m ON m.group_type = 'member' AND m.group_key = t.member_id LEFT JOIN k c ON c.group_type = 'mcap' AND c.group_key = coalesce(t.mcap_bucket, 'unknown') LEFT JOIN k a ON a.group_type = 'all' WHERE action = 'BUY'""")
+def _(fx):
+    stats = rk.inflation_stats(rk.inflation_groups(outcomes_of(fx), fx["trades"], ATTENTION))
+    return rk.suggested_entry(fx["trades"].where("action = 'BUY'"), rk.entry_delays(stats)).select("trade_id", "best_k", "basis_n", "basis")
+
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(f):
         return lambda spark, sf_dir: f(Fixture(spark, sf_dir))
