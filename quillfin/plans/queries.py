@@ -353,8 +353,7 @@ def _(fx):
     return rd.rebased(p, fresh)
 
 
-@query("j05_size_at_disclosure", """, ref AS (SELECT symbol, arg_max(close, date) AS r FROM prices GROUP BY symbol), then_ AS (SELECT t.trade_id, t.symbol, (SELECT max(date) FROM prices p WHERE p.symbol = t.symbol AND p.date <= t.disclosure_date) AS d FROM trades t WHERE symbol IS NOT NULL),
-c AS (SELECT t.trade_id, CASE WHEN p.close > 0 AND r > 0 THEN market_cap * p.close / r ELSE market_cap END AS cap FROM then_ t LEFT JOIN prices p ON p.symbol = t.symbol AND p.date = t.d LEFT JOIN securities s ON s.symbol = t.symbol LEFT JOIN ref ON ref.symbol = t.symbol)
+@query("j05_size_at_disclosure", """, ref AS (SELECT symbol, close AS r FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn FROM prices) WHERE rn = 1), c AS (SELECT t.trade_id, CASE WHEN p.close > 0 AND r > 0 THEN market_cap * p.close / r ELSE market_cap END AS cap FROM (SELECT * FROM trades WHERE symbol IS NOT NULL) t ASOF LEFT JOIN prices p ON p.symbol = t.symbol AND p.date <= t.disclosure_date LEFT JOIN securities s ON s.symbol = t.symbol LEFT JOIN ref ON ref.symbol = t.symbol)
 SELECT trade_id, CASE WHEN cap IS NULL THEN NULL WHEN cap >= 200e9 THEN 'mega' WHEN cap >= 10e9 THEN 'large' WHEN cap >= 2e9 THEN 'mid' WHEN cap >= 300e6 THEN 'small' ELSE 'micro' END AS bucket FROM c""")
 def _(fx):
     return rd.size_at_disclosure(fx["trades"], fx["prices"], fx["securities"])
