@@ -160,10 +160,10 @@ def fit(
         return Model({}, base=n_toxic / max(n_clean + n_toxic, 1), beta=())
     pdf = pdf[pdf.f != ""]
     c, t = pdf.clean.to_numpy(float), pdf.toxic.to_numpy(float)
-    prior = PRIOR * (c + t) / (n_clean + n_toxic)
-    toxic = np.log((t + prior) / (n_toxic + PRIOR - t - prior))
-    clean = np.log((c + prior) / (n_clean + PRIOR - c - prior))
-    z = (toxic - clean) / np.sqrt(1 / (t + prior) + 1 / (c + prior))
+    prior = PRIOR * (c + t + 1) / (n_clean + n_toxic + 2)
+    without_t, without_c = n_toxic + PRIOR - t - prior, n_clean + PRIOR - c - prior
+    toxic, clean = np.log((t + prior) / without_t), np.log((c + prior) / without_c)
+    z = (toxic - clean) / np.sqrt(1 / (t + prior) + 1 / (c + prior) + 1 / without_t + 1 / without_c)
     chosen = np.abs(z) >= MIN_Z
     model = Model(dict(zip(pdf.f[chosen], np.clip((toxic - clean)[chosen], *WEIGHTS).tolist())))
 
