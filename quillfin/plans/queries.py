@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scalars as sc
 from ..operators import exits as ex
+from ..operators import matching, merge
+from ..operators.asof import asof
 from ..operators.calendar import trading_days, with_entry
 from ..sources.fixture import Fixture
 from . import backtest as bt
@@ -406,6 +409,180 @@ def _(fx):
 
 
 
+# --- normalisation, resolution, merges, work lists
+
+
+@query("f01_clean_text", "SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v\\x{a0}]+', ' ', 'g')) AS text FROM documents")
+def _(fx):
+    return fx["documents"].select("doc_id", sc.clean(F.col("text")).alias("text"))
+
+
+@query("f02_enum_maps", """SELECT trade_id, CASE action WHEN 'EXCHANGE' THEN 'EXCHANGE' WHEN 'SELL' THEN 'SELL' WHEN 'SELL_PARTIAL' THEN 'SELL_PARTIAL' END AS action,
+  CASE trade_id % 5 WHEN 0 THEN 'self' WHEN 1 THEN 'spouse' WHEN 2 THEN 'joint' WHEN 3 THEN 'dependent' END AS owner, CASE asset_type WHEN 'other' THEN 'other' ELSE asset_type END AS kind FROM trades""")
+def _(fx):
+    t = fx["trades"]
+    raw = F.when(t["action"] == "SELL", " Sale (Full) ").when(t["action"] == "SELL_PARTIAL", "S  (partial)").when(t["action"] == "EXCHANGE", "e").otherwise("unknown")
+    who = F.element_at(F.array(F.lit(""), F.lit("SP"), F.lit("Joint"), F.lit(" DC "), F.lit("?")), (t["trade_id"] % 5 + 1).cast("int"))
+    code = F.when(t["asset_type"] == "stock", "ST").when(t["asset_type"] == "option", "Stock Option").otherwise("GS")
+    return t.select("trade_id", sc.action(raw).alias("action"), sc.owner(who).alias("owner"), sc.asset_type(code).alias("kind"))
+
+
+@query("f04_amount_range", "SELECT trade_id, amount_min + CASE WHEN amount_max IS NULL THEN 1 ELSE 0 END AS low, amount_max AS high FROM trades")
+def _(fx):
+    t = fx["trades"]
+    raw = F.when(t["amount_max"].isNull(), F.concat(F.lit("Over $"), F.format_number("amount_min", 0))).otherwise(F.concat(F.lit("$"), F.format_number("amount_min", 0), F.lit(" -  $"), F.format_number("amount_max", 0)))
+    low, high = sc.amount(raw)
+    return t.select("trade_id", low.alias("low"), high.alias("high"))
+
+
+@query("f05_us_dates", "SELECT doc_id, filing_date AS d FROM filings")
+def _(fx):
+    return fx["filings"].select("doc_id", sc.us_date(F.date_format("filing_date", "M/d/yyyy")).alias("d"))
+
+
+@query("f06_ticker_in_name", "SELECT trade_id, ticker FROM trades")
+def _(fx):
+    name = F.when(F.col("trade_id") % 2 == 0, F.concat(F.lit("Old (X) Corp. ("), "ticker", F.lit(")"))).otherwise(F.concat(F.lit("Some Bank ("), "ticker", F.lit(") common")))
+    return fx["trades"].select("trade_id", sc.ticker_in_name(name).alias("ticker"))
+
+
+@query("f13_delay_and_weekdays", """SELECT trade_id, CAST(disclosure_date - tx_date AS INT) AS days,
+  CAST((SELECT count(*) FROM range(1, CAST(disclosure_date - tx_date AS BIGINT) + 1) r(k) WHERE dayofweek(tx_date + CAST(k AS INT)) NOT IN (0, 6)) AS INT) AS weekdays FROM trades""")
+def _(fx):
+    return fx["trades"].select("trade_id", F.datediff("disclosure_date", "tx_date").alias("days"), sc.business_days(F.col("tx_date"), F.col("disclosure_date")).alias("weekdays"))
+
+
+@query("f14_rule_labels")
+def _(fx):
+    name, params = sc.rule_parts(F.col("exit_rule"))
+    return fx["positions"].select("position_id", name.alias("rule"), F.to_json(params).alias("params"), sc.rule_text(F.col("exit_rule")).alias("text"))
+
+
+@query("f20_periods", "SELECT doc_id, isoyear(filing_date) || '-W' || lpad(CAST(week(filing_date) AS VARCHAR), 2, '0') AS week, CAST(date_trunc('month', filing_date) AS DATE) AS month_start, last_day(filing_date) AS month_end, year(filing_date) AS year FROM filings")
+def _(fx):
+    d = F.col("filing_date")
+    return fx["filings"].select("doc_id", sc.iso_week(d).alias("week"), F.trunc(d, "month").alias("month_start"), F.last_day(d).alias("month_end"), F.year(d).cast("long").alias("year"))
+
+
+@query("f08_row_problems", """SELECT trade_id, CASE WHEN trade_id % 7 = 0 THEN 'owner' ELSE '' END || CASE WHEN trade_id % 7 = 0 AND tx_date > disclosure_date - 5 THEN ',' ELSE '' END || CASE WHEN tx_date > disclosure_date - 5 THEN 'tx_date after filing date' ELSE '' END AS problems,
+  CASE WHEN trade_id % 7 = 0 OR tx_date > disclosure_date - 5 THEN 0.5::DOUBLE ELSE 1::DOUBLE END AS confidence FROM trades""")
+def _(fx):
+    t = fx["trades"]
+    found = sc.problems(F.when(t["trade_id"] % 7 != 0, "self"), t["action"], t["tx_date"], t["amount_min"], F.date_sub("disclosure_date", 5))
+    return t.select("trade_id", F.array_join(found, ",").alias("problems"), sc.confidence(found, F.lit(False)).cast("double").alias("confidence"))
+
+
+@query("j12_member_resolution", "SELECT 'Hon. A. ' || n_name || ', Jr.' AS filer_name, 'P' || CAST(n_nationkey AS STRING) AS member_id, 'matched' AS status FROM nation UNION ALL SELECT 'Nobody Known', NULL, 'unmatched'")
+def _(fx):
+    n = fx["nation"].withColumn("st", F.concat(F.lit("S"), F.col("n_regionkey").cast("string")))
+    seat = F.concat("st", F.lpad(F.col("n_nationkey").cast("string"), 2, "0"))
+    people = n.select(F.concat(F.lit("P"), F.col("n_nationkey").cast("string")).alias("member_id"), F.col("n_name").alias("last_name"), F.lit("A B").alias("given_names"), F.array(seat).alias("house_seats"), F.array("st").alias("states"), F.lit(False).alias("senator"))
+    filers = n.select(F.concat(F.lit("Hon. A. "), "n_name", F.lit(", Jr.")).alias("filer_name"), F.lit("house").alias("chamber"), seat.alias("state_district"))
+    filers = filers.unionByName(filers.limit(1).select(F.lit("Nobody Known").alias("filer_name"), "chamber", "state_district"))
+    return matching.resolve_members(filers, people).select("filer_name", "member_id", "status")
+
+
+@query("j13_ticker_resolution", """SELECT trade_id, CASE ticker WHEN 'N20' THEN 'N1' WHEN 'N21' THEN NULL WHEN 'N22' THEN CASE WHEN tx_date < DATE '1998-01-01' THEN 'N2' ELSE 'N22' END ELSE ticker END AS symbol,
+  CASE WHEN ticker = 'N20' THEN 'renamed' WHEN ticker = 'N21' THEN 'delisted' WHEN ticker = 'N22' THEN CASE WHEN tx_date < DATE '1998-01-01' THEN 'renamed' ELSE 'unlisted' END WHEN CAST(substr(ticker, 2) AS INT) < 16 THEN 'listed' ELSE 'unlisted' END AS ticker_status,
+  CASE WHEN ticker = 'N20' THEN false WHEN ticker = 'N21' THEN false WHEN ticker = 'N22' THEN tx_date < DATE '1998-01-01' ELSE CAST(substr(ticker, 2) AS INT) < 16 AND CAST(substr(ticker, 2) AS INT) % 2 = 0 END AS is_etf FROM trades""")
+def _(fx):
+    listed = fx["nation"].where("n_nationkey < 16").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("symbol"), (F.col("n_nationkey") % 2 == 0).alias("is_etf"))
+    aliases = fx.spark.createDataFrame([("n20", "N1", None), ("N21", "-", None), ("N22", "N2", "1998-01-01")], "old string, new string, until string").withColumn("until", F.col("until").cast("date"))
+    return matching.resolve_tickers(fx["trades"], listed, aliases)
+
+
+@query("j06_last_close_before", "SELECT t.trade_id, p.date AS asof_date FROM (SELECT * FROM trades WHERE symbol IS NOT NULL) t ASOF LEFT JOIN (SELECT * FROM prices WHERE close IS NOT NULL) p ON p.symbol = t.symbol AND p.date <= t.tx_date")
+def _(fx):
+    t = fx["trades"].where("symbol is not null").select("trade_id", "symbol", "tx_date")
+    return asof(t, fx["prices"].where("close is not null"), "symbol", "tx_date", ["close"]).select("trade_id", "asof_date")
+
+
+@query("j07_first_bar_after", "SELECT t.position_id, p.date AS asof_date, round(p.close, 3) AS close FROM positions t ASOF LEFT JOIN (SELECT * FROM prices WHERE close IS NOT NULL) p ON p.symbol = t.ticker AND p.date >= t.buy_date")
+def _(fx):
+    t = fx["positions"].select("position_id", F.col("ticker").alias("symbol"), "buy_date")
+    return asof(t, fx["prices"].where("close is not null"), "symbol", "buy_date", ["close"], forward=True).select("position_id", "asof_date", F.round("asof_close", 3).alias("close"))
+
+
+@query("w01_merge_filings", """, n AS (SELECT doc_id, DATE '2002-01-01' AS filing_date, 'New ' || filer_name AS filer_name, parse_method FROM filings WHERE CAST(substr(doc_id, 2) AS BIGINT) % 4 = 0), o AS (SELECT doc_id, CASE WHEN CAST(substr(doc_id, 2) AS BIGINT) % 8 = 0 THEN NULL ELSE filing_date END AS filing_date, filer_name, parse_method FROM filings WHERE CAST(substr(doc_id, 2) AS BIGINT) % 3 > 0)
+SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, coalesce(o.filing_date, n.filing_date) AS filing_date, coalesce(n.filer_name, o.filer_name) AS filer_name, CASE WHEN o.doc_id IS NULL THEN n.parse_method ELSE o.parse_method END AS parse_method FROM o FULL JOIN n ON o.doc_id = n.doc_id""")
+def _(fx):
+    key = F.substring("doc_id", 2, 20).cast("bigint")
+    f = fx["filings"].select("doc_id", "filing_date", "filer_name", "parse_method")
+    new = f.where(key % 4 == 0).select("doc_id", F.lit("2002-01-01").cast("date").alias("filing_date"), F.concat(F.lit("New "), "filer_name").alias("filer_name"), "parse_method")
+    old = f.where(key % 3 > 0).withColumn("filing_date", F.when(key % 8 != 0, F.col("filing_date")))
+    return merge.merge(old, new, ["doc_id"], {"filing_date": "first", "filer_name": "fill", "parse_method": "keep"})
+
+
+@query("w05_drop_stale_rows", "SELECT trade_id FROM trades WHERE NOT (line_no > 3 AND trade_id NOT IN (SELECT trade_id FROM alerts UNION ALL SELECT trade_id FROM positions))")
+def _(fx):
+    keep = fx["filings"].select("doc_id", F.lit(3).alias("keep"))
+    return merge.drop_stale(fx["trades"], keep, fx["alerts"], fx["positions"]).select("trade_id")
+
+
+@query("u01_priced_symbols", "SELECT DISTINCT upper(symbol) AS symbol FROM (SELECT symbol FROM trades WHERE symbol IS NOT NULL UNION ALL SELECT ticker FROM positions)")
+def _(fx):
+    return fx["trades"].where("symbol is not null").select(F.upper("symbol").alias("symbol")).union(fx["positions"].select(F.upper("ticker"))).distinct()
+
+
+@query("u03_symbols_without_prices", "SELECT DISTINCT symbol FROM trades WHERE symbol IS NOT NULL AND symbol NOT IN (SELECT symbol FROM prices WHERE date < DATE '1995-01-10')")
+def _(fx):
+    early = fx["prices"].where(F.col("date") < F.lit("1995-01-10").cast("date")).select("symbol")
+    return fx["trades"].where("symbol is not null").select("symbol").distinct().join(early, "symbol", "left_anti")
+
+
+@query("t07_reading_queue", """, c AS (SELECT doc_id, first_seen_at, CASE WHEN first_seen_at >= TIMESTAMP '2001-06-01' THEN 'live' ELSE 'backlog' END AS class FROM filings WHERE doc_format = 'scanned' AND parse_status IN ('pending', 'needs_review')),
+r AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY first_seen_at DESC, doc_id DESC) AS rn FROM c) SELECT doc_id, class FROM r WHERE rn <= CASE class WHEN 'live' THEN 5 ELSE 3 END""")
+def _(fx):
+    from pyspark.sql import Window
+
+    c = fx["filings"].where((F.col("doc_format") == "scanned") & F.col("parse_status").isin("pending", "needs_review"))
+    c = c.withColumn("class", F.when(F.col("first_seen_at") >= F.lit("2001-06-01").cast("timestamp_ntz"), "live").otherwise("backlog"))
+    rn = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("first_seen_at"), F.desc("doc_id")))
+    return c.withColumn("rn", rn).where(F.col("rn") <= F.when(F.col("class") == "live", 5).otherwise(3)).select("doc_id", "class")
+
+
+@query("t10_gaps_most_traded", "SELECT symbol, count(*) AS n_trades FROM trades WHERE symbol IS NOT NULL AND ticker_status = 'unlisted' GROUP BY symbol ORDER BY n_trades DESC, symbol LIMIT 10")
+def _(fx):
+    return fx["trades"].where("symbol is not null and ticker_status = 'unlisted'").groupBy("symbol").agg(F.count("*").alias("n_trades")).orderBy(F.desc("n_trades"), "symbol").limit(10)
+
+
+@query("a14_symbols_per_filing", "SELECT doc_id, string_agg(DISTINCT symbol, ',' ORDER BY symbol) AS symbols, max(CASE WHEN trade_id IN (SELECT trade_id FROM alerts) THEN 1 ELSE 0 END) AS alerted FROM trades WHERE symbol IS NOT NULL GROUP BY doc_id")
+def _(fx):
+    marked = fx["trades"].where("symbol is not null").join(fx["alerts"].select("trade_id", F.lit(1).alias("hit")).distinct(), "trade_id", "left")
+    return marked.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("symbol")), ",").alias("symbols"), F.max(F.coalesce("hit", F.lit(0))).alias("alerted"))
+
+
+@query("a29_enrichment_counts", "SELECT ticker_status, coalesce(mcap_bucket, 'none') AS bucket, count(*) AS n, count(*) FILTER (committee_relevant = 1) AS relevant FROM trades GROUP BY ALL")
+def _(fx):
+    return fx["trades"].groupBy("ticker_status", F.coalesce("mcap_bucket", F.lit("none")).alias("bucket")).agg(F.count("*").alias("n"), F.count_if(F.col("committee_relevant") == 1).alias("relevant"))
+
+
+@query("p05_trades_without_alert", "SELECT trade_id FROM trades WHERE action = 'BUY' AND NOT EXISTS (SELECT 1 FROM alerts a WHERE a.trade_id = trades.trade_id) AND EXISTS (SELECT 1 FROM watchlist w WHERE w.member_id = trades.member_id AND w.active = 1)")
+def _(fx):
+    return fx["trades"].where("action = 'BUY'").join(fx["alerts"], "trade_id", "left_anti").join(F.broadcast(fx["watchlist"].where("active = 1")), "member_id", "left_semi").select("trade_id")
+
+
+@query("d56_filing_status", """SELECT doc_id, CASE WHEN count(*) FILTER (trade_id % 7 = 0) > 0 THEN 'needs_review' ELSE 'parsed' END AS status, count(*) = max(line_no) AS gapless FROM trades GROUP BY doc_id""")
+def _(fx):
+    return fx["trades"].groupBy("doc_id").agg(F.when(F.count_if(F.col("trade_id") % 7 == 0) > 0, "needs_review").otherwise("parsed").alias("status"), (F.count("*") == F.max("line_no")).alias("gapless"))
+
+
+@query("d44_outcomes_today", "SELECT trade_id, horizon, round(abn, 6) AS abn FROM matured WHERE d0_date = (SELECT max(d0_date) FROM matured WHERE horizon = 60) ORDER BY abs(abn) DESC, trade_id, horizon LIMIT 5")
+def _(fx):
+    m = rk.matured(outcomes_of(fx))
+    last = m.where("horizon = 60").agg(F.max("d0_date").alias("d0_date"))
+    return m.join(F.broadcast(last), "d0_date", "left_semi").orderBy(F.desc(F.abs("abn")), "trade_id", "horizon").limit(5).select("trade_id", "horizon", *r6("abn"))
+
+
+@query("j18_rank_changes", """, b AS (SELECT member_id, CASE WHEN n_filings >= 20 THEN row_number() OVER (PARTITION BY n_filings >= 20 ORDER BY shrunk_score DESC, mean_ret - mean_spy_ret DESC, member_id) END AS rank FROM member_stats WHERE horizon = 5)
+SELECT * FROM (SELECT coalesce(b.member_id, s.member_id) AS member_id, b.rank AS old_rank, s.rank AS new_rank, CASE WHEN b.rank IS NULL THEN 'entered' WHEN s.rank IS NULL THEN 'left' WHEN b.rank <> s.rank THEN 'moved' END AS change
+FROM (SELECT * FROM b WHERE rank IS NOT NULL) b FULL JOIN (SELECT * FROM scores WHERE rank IS NOT NULL) s ON s.member_id = b.member_id) WHERE change IS NOT NULL""")
+def _(fx):
+    out = outcomes_of(fx)
+    return rd.snapshot_changes(rk.member_scores(out), rk.member_scores(out, 5))
+
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(f):
         return lambda spark, sf_dir: f(Fixture(spark, sf_dir))
