@@ -1,10 +1,55 @@
 """The corpus pipeline, stage by stage, against brute force on a small table."""
 
+import random
+
 import pytest
 
 import corpus_pipeline
 from quillfin.llm import toxicity
-from tests.llm.test_operators import EDGE, SCHEMA, brute_components, brute_fingerprint, brute_secrets, packed_ok, rows
+from quillfin.llm import neardup
+from tests.llm.test_operators import EDGE, SCHEMA, brute_secrets, packed_ok, rows
+
+
+def shingles(text):
+    w = (text or "").lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def brute_representatives(texts):
+    """The least id of each component of documents at least 0.8 alike."""
+    sets, least = {i: shingles(t) for i, t in texts.items()}, {i: i for i in texts}
+
+    def find(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if j < i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                least[b] = a
+    return {find(i) for i in texts}
+
+
+def test_near_copies_of_one_text(spark):
+    """Variants are alike the text, but less so each other; a group of them is one component."""
+    rng = random.Random(4)
+    base = [f"word{k}" for k in range(300)]
+    texts = {0: " ".join(base)}
+    for i in range(1, 120):
+        w = base[:]
+        for k in rng.sample(range(300), 5):
+            w[k] = f"new{i}x{k}"
+        texts[i] = " ".join(w)
+    texts |= {500 + i: " ".join(f"own{i}w{k}" for k in range(50)) for i in range(40)}
+    docs = spark.createDataFrame(rows(texts.items()), SCHEMA)
+    kept = {r.doc_id for r in neardup.keep_one(docs).collect()}
+    assert kept == brute_representatives(texts) == {0, *range(500, 540)}
+    edge = spark.createDataFrame(rows(EDGE), SCHEMA)
+    out = neardup.keep_one(edge)
+    assert out.columns == edge.columns and sorted((r.doc_id is None, r.doc_id) for r in out.collect()) == [(False, 0), (False, 3), (False, 7), (False, 9), (True, None)]
+    assert neardup.keep_one(edge.limit(0)).count() == 0
 
 
 def test_stages_against_brute_force(spark, sf):
@@ -18,11 +63,7 @@ def test_stages_against_brute_force(spark, sf):
         if name == "toxicity":
             want = {i: r for i, r in want.items() if model.score(r.text) < 0.3}
         elif name == "simhash near-dedup":
-            fps = {i: brute_fingerprint(r.text) for i, r in want.items()}
-            comp, least = brute_components(set(fps.values())), {}
-            for i in sorted(fps):
-                least.setdefault(comp[fps[i]], i)
-            want = {i: want[i] for i in least.values()}
+            want = {i: want[i] for i in brute_representatives({i: r.text for i, r in want.items()})}
         elif name == "benchmark decontamination":
             gone = set(want) - {r.doc_id for r in docs.collect()}
             assert {i for i, r in want.items() if any(b in r.text for b in benchmark)} <= gone
