@@ -87,17 +87,22 @@ def next_sale(signals: DataFrame, sales: DataFrame) -> DataFrame:
     return signals.join(after.groupBy("trade_id").agg(F.min("s").alias("sale")), "trade_id", "left")
 
 
-def simulate(signals: DataFrame, bars: DataFrame, rule: Rule, n_days: int, entry_col: str | None = None) -> DataFrame:
-    """(trade_id, rule, entry, exit_i, exit_price, exit_at, reason) for each signal (trade_id, symbol, d0[, sale]) with an entry price.
+def simulate(signals: DataFrame, bars: DataFrame, rules: Rule | tuple[Rule, ...], n_days: int, entry_col: str | None = None, intraday: bool = False) -> DataFrame:
+    """(trade_id, rule_no, rule, entry, exit_i, exit_price, exit_at, reason) for each signal (trade_id, symbol, d0[, sale]) with an entry price, under each rule.
 
     Every signal meets the bars of its holding period in bins of 64 days (an equi-join), and one bar past it
     where the exit day has none; running highs are windows over
     those; the first bar with an exit is its ``min_by``. ``data_end`` is the symbol's last bar, ``open`` the calendar's end.
+    ``entry_col`` gives the fill of a real position; with ``intraday`` its first day's low and high may lie before the purchase, so only that
+    day's close counts.
     """
-    sale = F.col("sale") if rule.kind == "member_sale" and "sale" in signals.columns else F.lit(None).cast("int")
-    sig = signals.select("trade_id", "symbol", "d0", F.when(sale > F.col("d0"), sale).alias("sale"), *([F.col(entry_col).alias("fill")] if entry_col else []))
+    rules = (rules,) if isinstance(rules, Rule) else tuple(rules)
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("rule_no"), F.lit(r.hold).alias("hold"), F.lit(r.kind == "member_sale").alias("follows")) for k, r in enumerate(rules)))).alias("r")
+    signals = signals.select("*", kinds).select("*", "r.*").drop("r")
+    sale = F.when(F.col("follows"), F.col("sale")) if "sale" in signals.columns else F.lit(None).cast("int")
+    sig = signals.select("trade_id", "rule_no", "hold", "symbol", "d0", F.when(sale > F.col("d0"), sale).alias("sale"), *([F.col(entry_col).alias("fill")] if entry_col else []))
     last = bars.where("c is not null").groupBy("symbol").agg(F.max("i").alias("last"), F.max_by("c", "i").alias("last_c"))
-    ends = F.least(F.col("d0") + rule.hold, F.coalesce("sale", F.lit(1 << 30)))
+    ends = F.least(F.col("d0") + F.col("hold"), F.coalesce("sale", F.lit(1 << 30)))
     after = bars.where("c is not null").select("symbol", F.col("i").alias("v"))
     sig = sig.join(F.broadcast(last), "symbol").withColumn("end", ends)
     # the first usable bar at or after the end
@@ -110,19 +115,28 @@ def simulate(signals: DataFrame, bars: DataFrame, rule: Rule, n_days: int, entry
     entry = F.col("fill") if entry_col else F.col("entry")
     first = bars.select("symbol", F.col("i").alias("d0"), F.col("o").alias("entry"))
     path = path.join(first, ["symbol", "d0"], "left").where(entry.isNotNull())
-    if rule.kind == "atr_stop":
-        before = atr(bars, rule.n)
+    widths = {r.n for r in rules if r.kind == "atr_stop"}
+    if len(widths) > 1:
+        raise ValueError("one number of bars for all true ranges")
+    if widths:
+        before = atr(bars, widths.pop())
         nxt = before.select("symbol", (F.col("i") + 1).alias("d0"), "atr", F.lead("i").over(Window.partitionBy("symbol").orderBy("i")).alias("n"))
         held = nxt.select("symbol", "atr", F.explode(F.sequence(F.col("d0"), F.coalesce("n", F.greatest(F.lit(n_days), F.col("d0"))))).alias("d0"))
         path = path.join(held, ["symbol", "d0"], "left")
     else:
         path = path.withColumn("atr", F.lit(None).cast("double"))
-    w = Window.partitionBy("trade_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    high = F.greatest(entry, F.coalesce(F.max("h").over(w), entry))
+    w = Window.partitionBy("trade_id", "rule_no").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.when(F.col("i") == F.col("d0"), F.col("c")).otherwise(F.col("h")) if intraday else F.col("h")
+    high = F.greatest(entry, F.coalesce(F.max(seen).over(w), entry))
     path = path.withColumn("high", high)
-    stop, target = rule.levels(entry, F.col("high"), F.col("atr"))
+    stop = target = F.lit(None).cast("double")
+    for k, r in enumerate(rules):
+        s, t = r.levels(entry, F.col("high"), F.col("atr"))
+        stop, target = F.when(F.col("rule_no") == k, s).otherwise(stop), F.when(F.col("rule_no") == k, t).otherwise(target)
+    path = path.withColumn("stop", stop).withColumn("target", target)
+    stop, target = F.col("stop"), F.col("target")
     i, d0, o = F.col("i"), F.col("d0"), F.col("o")
-    hold_end = d0 + rule.hold
+    hold_end = d0 + F.col("hold")
     overdue = (i > F.col("end")) | (i == F.coalesce("sale", F.lit(-1)))
     due = F.when((F.col("end") == F.col("sale")), "sale").otherwise("hold")
 
@@ -130,20 +144,25 @@ def simulate(signals: DataFrame, bars: DataFrame, rule: Rule, n_days: int, entry
         return F.struct(i.alias("exit_i"), price.alias("exit_price"), F.lit(at).alias("exit_at") if isinstance(at, str) else at.alias("exit_at"), (F.lit(reason) if isinstance(reason, str) else reason).alias("reason"))
 
     opened = (i > d0) & o.isNotNull()
+    bought = (i == d0) & F.lit(intraday)
     exit_ = (
-        F.when(overdue, out(F.coalesce(o, "c"), F.when(o.isNotNull(), "open").otherwise("close"), due))
+        F.when(bought & (F.col("c") <= stop), out(F.col("c"), "close", "stop"))
+        .when(bought & (F.col("c") >= target), out(F.col("c"), "close", "target"))
+        .when(bought & (i < hold_end), F.lit(None))
+        .when(overdue, out(F.coalesce(o, "c"), F.when(o.isNotNull(), "open").otherwise("close"), due))
         .when(opened & (o <= stop), out(o, "open", "stop"))
         .when(opened & (o >= target), out(o, "open", "target"))
         .when(F.col("l") <= stop, out(stop, "intraday", "stop"))
         .when(F.col("h") >= target, out(target, "intraday", "target"))
         .when(i >= hold_end, out(F.col("c"), "close", "hold"))
     )
-    hit = path.withColumn("x", exit_).groupBy("trade_id").agg(
+    hit = path.withColumn("x", exit_).groupBy("trade_id", "rule_no").agg(
         F.min_by(F.when(F.col("x").isNotNull(), F.col("x")), F.when(F.col("x").isNotNull(), F.col("i"))).alias("x"), F.first(entry).alias("entry"), F.first("last").alias("last"), F.first("last_c").alias("last_c")
     )
     end_i = F.when(F.col("last") < n_days - 1, F.col("last")).otherwise(F.lit(n_days - 1))
     none = F.struct(end_i.alias("exit_i"), F.col("last_c").alias("exit_price"), F.lit("close").alias("exit_at"), F.when(F.col("last") < n_days - 1, "data_end").otherwise("open").alias("reason"))
-    return hit.withColumn("x", F.coalesce("x", none)).select("trade_id", F.lit(rule.label).alias("rule"), "entry", "x.*")
+    labels = F.array(*(F.lit(r.label) for r in rules))
+    return hit.withColumn("x", F.coalesce("x", none)).select("trade_id", "rule_no", F.get(labels, F.col("rule_no")).alias("rule"), "entry", "x.*")
 
 
 def slippage(bucket: str = "mcap_bucket") -> Column:

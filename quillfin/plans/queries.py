@@ -14,6 +14,7 @@ from ..operators.asof import asof
 from ..operators.calendar import trading_days, with_entry
 from ..sources.fixture import Fixture
 from . import backtest as bt
+from . import facts as ft
 from . import outcomes as oc
 from . import rankings as rk
 from . import reads as rd
@@ -583,6 +584,76 @@ def _(fx):
 
 
 
+# --- facts, positions, nested reads
+
+
+@query("d33_recommendation")
+def _(fx):
+    _, sig, sales = signals_of(fx)
+    return ft.recommendation(bt.evaluate_grid(sig, sales, fx["prices"]), sig, trading_days(fx["prices"])).select("rule", "n", "fallback", *r6("train_score"))
+
+
+@query("d35_position_exits")
+def _(fx):
+    days, _ = ex.benchmark(fx["prices"])
+    n_days = int(days.agg(F.max("i")).first()[0]) + 1
+    p = fx["positions"].withColumn("buy_price", F.col("buy_price") * 50)
+    return ft.position_exits(p, ex.series(fx["prices"], days), days, n_days, ex.Rule("trailing_stop", pct=0.1)).select("position_id", "exit_i", *r6("exit_price"), "exit_at", "reason")
+
+
+@query("q10_trade_detail", """SELECT t.trade_id, t.symbol, coalesce(m.name, f.filer_name) AS member_name, f.filing_date, o.d0_date, o.complete, round(ret_20, 6) AS ret_20 FROM trades t LEFT JOIN members m ON m.member_id = t.member_id LEFT JOIN filings f ON f.doc_id = t.doc_id
+LEFT JOIN outcomes o ON o.trade_id = t.trade_id WHERE t.trade_id = 10011""")
+def _(fx):
+    return ft.trade_detail(10011, fx["trades"], fx["members"], fx["filings"], outcomes_of(fx)).select("trade_id", "symbol", "member_name", "filing_date", "d0_date", "complete", *r6("ret_20"))
+
+
+@query("q14_watchlist_changes", """SELECT coalesce(w.member_id, c.member_id) AS member_id, coalesce(c.active, w.active) AS active, coalesce(c.reason, w.reason) AS reason FROM watchlist w FULL JOIN (SELECT 'M1' AS member_id, 0 AS active, NULL AS reason UNION ALL SELECT 'M5', 1, 'again' UNION ALL SELECT 'M9', 1, 'new') c ON c.member_id = w.member_id""")
+def _(fx):
+    return ft.watch(fx["watchlist"], fx.spark.createDataFrame([("M1", 0, None), ("M5", 1, "again"), ("M9", 1, "new")], "member_id string, active int, reason string"))
+
+
+@query("q16_exit_rules", "SELECT * FROM (VALUES " + ", ".join(f"({k}, '{r.label}')" for k, r in enumerate(ex.GRID)) + ") x(position, label)")
+def _(fx):
+    return fx.spark.createDataFrame([(k, r.label) for k, r in enumerate(ex.GRID)], "position int, label string").orderBy("position")
+
+
+@query("q17_close_positions", "SELECT position_id, CASE WHEN status = 'open' AND position_id % 2 = 0 THEN 'closed' ELSE status END AS status, CASE WHEN status = 'open' AND position_id % 2 = 0 THEN 99::DOUBLE ELSE sell_price END AS sell_price FROM positions")
+def _(fx):
+    sold = fx["positions"].where("position_id % 2 = 0").select("position_id", F.lit("2002-01-01").cast("date").alias("sell_date"), F.lit(99.0).alias("sell_price"))
+    return ft.close_positions(fx["positions"], sold).select("position_id", "status", "sell_price")
+
+
+@query("q19_history", NEED + """, have AS (SELECT symbol, min(date) AS first_date, max(date) AS last_date FROM prices WHERE close IS NOT NULL GROUP BY symbol),
+c AS (SELECT symbol, CASE WHEN first_date IS NULL THEN 'missing' WHEN first_date > needed_from + 4 OR last_date < needed_to - 7 THEN 'partial' ELSE 'ok' END AS status FROM need LEFT JOIN have USING (symbol))
+SELECT s.status, (SELECT count(*) FROM c WHERE c.status = s.status) AS symbols, (SELECT count(*) FROM trades t JOIN c ON c.symbol = t.symbol WHERE c.status = s.status) AS trades FROM (VALUES ('ok'), ('partial'), ('missing')) s(status)""")
+def _(fx):
+    return ft.history(rd.coverage(rd.price_needs(fx["trades"], "1995-12-01"), fx["prices"]), fx["trades"])
+
+
+@query("q21_nested_reads", """SELECT f.doc_id, string_agg(CAST(t.line_no AS VARCHAR) || ':' || t.action, ',' ORDER BY t.line_no) AS lines FROM (SELECT doc_id FROM filings ORDER BY doc_id DESC LIMIT 50) f LEFT JOIN trades t ON t.doc_id = f.doc_id GROUP BY f.doc_id""")
+def _(fx):
+    rows = ft.nested(fx["filings"].select("doc_id"), fx["trades"].select("doc_id", "line_no", "action"), "doc_id", "line_no", "lines")
+    text = F.array_join(F.transform("lines", lambda x: F.concat_ws(":", x["line_no"].cast("string"), x["action"])), ",")
+    return rows.select("doc_id", text.alias("lines"))
+
+
+@query("d42_month_positions", """, h AS (SELECT * FROM positions WHERE buy_date <= DATE '1999-06-30' AND (sell_date IS NULL OR sell_date >= DATE '1999-06-01')), c AS (SELECT * FROM prices WHERE close IS NOT NULL),
+v AS (SELECT h.*, b.close AS b, e.close AS e FROM (SELECT *, DATE '1999-05-31' AS lo, DATE '1999-06-30' AS hi FROM h) h ASOF LEFT JOIN c b ON b.symbol = h.ticker AND b.date <= h.lo ASOF LEFT JOIN c e ON e.symbol = h.ticker AND e.date <= h.hi)
+SELECT position_id, round((CASE WHEN sell_date <= DATE '1999-06-30' THEN sell_price ELSE e END - CASE WHEN buy_date >= DATE '1999-06-01' THEN buy_price ELSE b END) * shares, 2) AS pnl FROM v""")
+def _(fx):
+    return ft.month_positions(fx["positions"], fx["prices"], "1999-06-01", "1999-06-30").select("position_id", F.round("pnl", 2).alias("pnl"))
+
+
+@query("d58_checked_proposals", """, p AS (SELECT CAST(row_number() OVER (ORDER BY member_id) AS INT) AS proposal_id, CASE WHEN substr(member_id, 2, 1) < '5' THEN 'add' ELSE 'remove' END AS kind, member_id, CASE WHEN member_id LIKE '%7' THEN NULL ELSE 'x' END AS evidence FROM members)
+SELECT proposal_id, member_id, CASE WHEN r IS NULL THEN kind ELSE 'note' END AS kind, r AS reason FROM (SELECT *, CASE WHEN evidence IS NULL THEN 'no evidence' WHEN kind = 'add' AND member_id IN (SELECT member_id FROM watchlist WHERE active = 1) THEN 'already watched' WHEN kind = 'remove' AND member_id NOT IN (SELECT member_id FROM watchlist WHERE active = 1) THEN 'not watched' END AS r FROM p)""")
+def _(fx):
+    from pyspark.sql import Window
+
+    p = fx["members"].select(F.row_number().over(Window.orderBy("member_id")).alias("proposal_id"), F.when(F.substring("member_id", 2, 1) < "5", "add").otherwise("remove").alias("kind"), "member_id", F.when(~F.col("member_id").endswith("7"), "x").alias("evidence"))
+    return ft.checked_proposals(p, fx["members"], fx["watchlist"])
+
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(f):
         return lambda spark, sf_dir: f(Fixture(spark, sf_dir))
