@@ -125,8 +125,8 @@ def verified_links(shared: DataFrame, sets: DataFrame, similarity: float) -> Dat
     Only links that join components are wanted, so a pair is left out where both
     nodes are in one component already, or where the sizes of their sets rule the
     similarity out. The first round compares a node with the highest of its
-    centres alone, which joins most of a group; the second with all of them; the
-    later ones rank centres by their links.
+    centres alone, which joins most of a group; the later ones, with all of its
+    centres, rank these by the links of all rounds before, until one finds nothing new.
     """
     spread = shared.groupBy("node").agg(F.sum("n").alias("spread"))
     nodes = checkpoint(spread.join(sets.select("node", F.octet_length("grams").alias("size")), "node"))
@@ -152,9 +152,8 @@ def verified_links(shared: DataFrame, sets: DataFrame, similarity: float) -> Dat
             return links
         seen = scored.select("a", "b") if seen is None else seen.unionAll(scored.select("a", "b"))
         degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-        ranks = F.coalesce("degree", F.lit(0)) if turn > 0 else F.lit(0)
         joined = nodes.join(connected_components(links), "node", "left").join(degree, "node", "left")
-        at = checkpoint(joined.select("node", "spread", "size", ranks.cast("long").alias("degree"), F.coalesce("component", "node").alias("component")))
+        at = checkpoint(joined.select("node", "spread", "size", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"), F.coalesce("component", "node").alias("component")))
         turn += 1
 
 

@@ -52,6 +52,31 @@ def test_near_copies_of_one_text(spark):
     assert neardup.keep_one(edge.limit(0)).count() == 0
 
 
+def components_of_buckets(spark, texts, buckets):
+    """Sets of nodes that ``verified_links`` joins, of texts by node and buckets of nodes."""
+    shared = spark.createDataFrame([(k, i, len(b)) for k, b in enumerate(buckets) for i in b], "k long, node long, n long")
+    sets = neardup.shingle_sets(spark.createDataFrame(list(texts.items()), "node long, text string"))
+    groups = {}
+    for r in neardup.connected_components(neardup.verified_links(shared, sets, neardup.SIMILARITY)).collect():
+        groups.setdefault(r.component, set()).add(r.node)
+    return sorted(map(sorted, groups.values()))
+
+
+def changed(base, name, at):
+    return " ".join(f"{name}{k}" if k in at else w for k, w in enumerate(base))
+
+
+def test_centres_are_ranked_by_first_links(spark):
+    """A bucket's widest node is unlike all; the text that the first round gave links is met there afterwards."""
+    base = [f"word{k}" for k in range(300)]
+    texts = {1: " ".join(base), 2: changed(base, "a", {10, 60}), 3: changed(base, "b", {110, 160}), 4: changed(base, "w", {210, 260})}
+    texts |= {i: " ".join(f"own{i}w{k}" for k in range(300)) for i in range(9, 30)}
+    # 9 is the widest node of the bucket of 1 and 4; 1 is that of its bucket with 2 and 3
+    buckets = [[1, 2, 3], [1, 4, 9], [2, 3], *([9, i] for i in range(10, 30))]
+    texts[9] = " ".join(f"far{k}" for k in range(600))
+    assert components_of_buckets(spark, texts, buckets) == [[1, 2, 3, 4]]
+
+
 def test_stages_against_brute_force(spark, sf):
     model = corpus_pipeline.toxicity_model(spark, sf)
     benchmark = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
