@@ -10,8 +10,11 @@ hashes of the document's three-word shingles, which keeps strangers apart.
 Within a bucket, every document is compared with the most central one; all pairs would be
 quadratic in a group. At first that is the one which shares the most keys with others, then,
 round by round, the one with the most verified links (of variants of one text, the text itself, to
-which the first centres are linked), until a round finds no new link. A document lies in up to
-48 buckets, so that relatives meet in several. Pairs are verified by the Jaccard similarity of
+which the first centres are linked), while rounds find many new links. These rounds only join
+large groups cheaply. Then an exact join compares all that share a bucket with any document and
+are in different components: of each set, the shingles that are rare in a sample come first, and
+two sets alike must share one of their first few (prefix filter), far enough from both ends
+(positional filter). Pairs are verified by the Jaccard similarity of
 their sets of five-word shingles; links form components.
 
 Texts are compared in lower case (A-Z) and with single spaces; texts equal in that form
@@ -25,13 +28,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint, connected_components, utf8
 from .simhash import decode
 
 WORDS, BITS, SHINGLE, SIMILARITY = 8, 23, 5, 0.8
+#: Rounds end when one finds links for no more than this share of nodes; sampled nodes and most shingles taken from them.
+FEW, SAMPLE, COMMON = 0.01, 4096, 200_000
 _U = np.uint64
 _MIX = [_U(0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64) for k in range(WORDS)]
 
@@ -126,11 +131,14 @@ def verified_links(shared: DataFrame, sets: DataFrame, similarity: float) -> Dat
     nodes are in one component already, or where the sizes of their sets rule the
     similarity out. The first round compares a node with the highest of its
     centres alone, which joins most of a group; the later ones, with all of its
-    centres, rank these by the links of all rounds before, until one finds nothing new.
+    centres, rank these by the links of all rounds before, until one finds few new
+    ones. All pairs left are then met by ``prefix_pairs``, so where the rounds end
+    changes the work, not the result.
     """
     spread = shared.groupBy("node").agg(F.sum("n").alias("spread"))
     nodes = checkpoint(spread.join(sets.select("node", F.octet_length("grams").alias("size")), "node"))
     at = nodes.withColumn("degree", F.lit(0).cast("long")).withColumn("component", F.col("node"))
+    few = nodes.count() * FEW
     seen = links = None
     turn = 0
     while True:
@@ -143,18 +151,77 @@ def verified_links(shared: DataFrame, sets: DataFrame, similarity: float) -> Dat
         pairs = met.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        first = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
-        both = first.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
-        scored = checkpoint(both.select("a", "b", (jaccard("ga", "gb") >= similarity).alias("alike")))
+        scored = checkpoint(verified(pairs, sets, similarity))
         new = scored.where("alike").select("a", "b")
         links = new if links is None else links.unionAll(new)
-        if turn > 0 and new.isEmpty():
-            return links
         seen = scored.select("a", "b") if seen is None else seen.unionAll(scored.select("a", "b"))
         degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
         joined = nodes.join(connected_components(links), "node", "left").join(degree, "node", "left")
         at = checkpoint(joined.select("node", "spread", "size", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"), F.coalesce("component", "node").alias("component")))
         turn += 1
+        if turn > 1 and new.count() <= few:
+            break
+    pairs = prefix_pairs(sets, at.select("node", "component"), similarity).join(seen, ["a", "b"], "left_anti")
+    return links.unionAll(checkpoint(verified(pairs, sets, similarity).where("alike").select("a", "b")))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, alike) of pairs (a, b)."""
+    first = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
+    both = first.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
+    return both.select("a", "b", (jaccard("ga", "gb") >= similarity).alias("alike"))
+
+
+def common_grams(sets: DataFrame, components: DataFrame) -> np.ndarray:
+    """Shingles of several components in a sample, at most ``COMMON``; any choice gives the same pairs."""
+    chosen = components.orderBy(F.xxhash64("node"), "node").limit(SAMPLE)
+
+    def run(batches):
+        for b in batches:
+            for node, grams in zip(b.column(0).to_pylist(), b.column(1)):
+                g = np.frombuffer(grams.as_buffer(), dtype=np.int64)
+                for k in range(0, len(g), 65_536):
+                    part = g[k : k + 65_536]
+                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), node))], names=["gram", "component"])
+
+    rows = sets.join(F.broadcast(chosen), "node").select("component", "grams").mapInArrow(run, "gram long, component long")
+    counts = rows.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high")
+    return np.sort(np.array([r.gram for r in counts.orderBy(F.desc("n"), "gram").select("gram").limit(COMMON).collect()], dtype=np.int64))
+
+
+def prefix_pairs(sets: DataFrame, components: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes in different components, all with a similarity of at least ``similarity`` among them.
+
+    In an order of all shingles (those common in a sample last), sets of m and n
+    shingles so alike share at least t = s / (1 + s) * (m + n), so their first common
+    shingle is among the first n - ceil(s * n) + 1 of each, and t or more, it
+    included, are left from there in each.
+    """
+    common = sets.sparkSession.sparkContext.broadcast(common_grams(sets, components))
+
+    def run(batches):
+        late = common.value
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                p = b.slice(k, 256)
+                first, size = [], []
+                for grams in p.column(1):
+                    g = np.frombuffer(grams.as_buffer(), dtype=np.int64)
+                    keep = len(g) - int(np.ceil(similarity * len(g) - 1e-9)) + 1
+                    is_late = np.isin(g, late)
+                    first.append(np.concatenate([g[~is_late], g[is_late]])[:keep])
+                    size.append(len(g))
+                yield pa.RecordBatch.from_arrays([p.column(0), pa.array(size, pa.int32()), pa.array(first, pa.list_(pa.int64()))], names=["node", "size", "first"])
+
+    prefixes = sets.select("node", "grams").mapInArrow(run, "node long, size int, first array<long>")
+    rows = prefixes.join(components, "node").select("node", "size", "component", F.posexplode("first").alias("at", "gram"))
+    rows = rows.select("gram", "node", "component", "size", (F.col("size") - F.col("at")).alias("left"))
+    w = Window.partitionBy("gram")
+    open_ = rows.withColumns({"low": F.min("component").over(w), "high": F.max("component").over(w)}).where("low < high").drop("low", "high")
+    x, y = open_.alias("x"), open_.alias("y")
+    enough = F.least("x.left", "y.left") >= similarity / (1 + similarity) * (F.col("x.size") + F.col("y.size")) - 1e-6
+    met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & enough)
+    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:

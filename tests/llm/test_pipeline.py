@@ -77,6 +77,32 @@ def test_centres_are_ranked_by_first_links(spark):
     assert components_of_buckets(spark, texts, buckets) == [[1, 2, 3, 4]]
 
 
+def test_copies_meet_without_a_centre(spark):
+    """The only centre of all buckets is alike to nobody; an edited copy is found all the same, in every group."""
+    license_ = [f"license{k}" for k in range(60)]
+    texts = {i: " ".join(license_ + [f"own{i}w{k}" for k in range(80)]) for i in range(1, 60)}
+    texts |= {100 + i: changed(texts[i].split(), "new", {70}) for i in (3, 4, 50)} | {203: changed(texts[3].split(), "x", {75, 90})}
+    texts[900] = " ".join(license_ + [f"hub{k}" for k in range(90)])
+    buckets = [list(texts), list(texts), *([900, i] for i in range(1, 60))]
+    assert components_of_buckets(spark, texts, buckets) == [[3, 103, 203], [4, 104], [50, 150]]
+
+
+def test_prefix_pairs_hold_all_alike(spark):
+    rng = random.Random(7)
+    texts = {}
+    for i in range(150):
+        w = texts[rng.randrange(i)].split() if i and rng.random() < 0.7 else [f"t{i}w{k}" for k in range(rng.choice([1, 4, 6, 40, 120]))]
+        for k in rng.sample(range(len(w)), min(len(w), rng.choice([0, 1, 1, 2]))):
+            w[k] = f"e{i}x{k}"
+        texts[i] = " ".join(w[: len(w) - rng.choice([0, 0, 1, 3])] or w)
+    sets = neardup.shingle_sets(spark.createDataFrame(list(texts.items()), "node long, text string"))
+    alone = sets.select("node", sets["node"].alias("component"))
+    found = {(r.a, r.b) for r in neardup.prefix_pairs(sets, alone, 0.8).collect()}
+    s = {i: shingles(t) for i, t in texts.items()}
+    alike = {(i, j) for i in s for j in s if i < j and len(s[i] & s[j]) / len(s[i] | s[j]) >= 0.8}
+    assert len(alike) > 20 and alike <= found and len(found) < 150 * 149 / 2
+
+
 def test_stages_against_brute_force(spark, sf):
     model = corpus_pipeline.toxicity_model(spark, sf)
     benchmark = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
