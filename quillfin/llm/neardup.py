@@ -208,7 +208,7 @@ def prefix_pairs(sets: DataFrame, components: DataFrame, similarity: float) -> D
                 for grams in p.column(1):
                     g = np.frombuffer(grams.as_buffer(), dtype=np.int64)
                     keep = len(g) - int(np.ceil(similarity * len(g) - 1e-9)) + 1
-                    is_late = np.isin(g, late)
+                    is_late = late[np.minimum(np.searchsorted(late, g), len(late) - 1)] == g if len(late) else np.zeros(len(g), bool)
                     first.append(np.concatenate([g[~is_late], g[is_late]])[:keep])
                     size.append(len(g))
                 yield pa.RecordBatch.from_arrays([p.column(0), pa.array(size, pa.int32()), pa.array(first, pa.list_(pa.int64()))], names=["node", "size", "first"])
