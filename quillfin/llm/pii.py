@@ -14,8 +14,9 @@ and the word before, transition and skip weights by smoothed counts of labels
 on linked mentions.
 
 Null texts count as empty, without spans; rows stay as many as they are; an
-empty table gives an empty result; other columns are ignored. Work and memory are linear in a
-text's length: every mention has at most two edges to earlier ones.
+empty table gives an empty result; other columns are ignored. Memory is linear in a
+text's length: every mention has at most two edges to earlier ones. So is each round and sweep of
+messages; sweeps go on until messages settle, as a rule after a few.
 """
 
 from __future__ import annotations
@@ -43,6 +44,7 @@ NOT_DIGIT = re.compile(r"[^0-9]")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 CONTEXT = 32
 NEAR = 300
+SETTLED = 1e-3
 
 
 def luhn(digits: str) -> bool:
@@ -138,7 +140,7 @@ class Field:
     skip: np.ndarray
 
     def marginals(self, ns: list[Node], rounds: int = 12, damping: float = 0.3) -> np.ndarray:
-        """Label probabilities of each node by loopy belief propagation."""
+        """Label probabilities of each node by loopy belief propagation: rounds in step, then sweeps where these don't settle."""
         u = np.array([self.unary[list(n.features)].sum(axis=0) for n in ns])
         seen = np.array([-1 if n.label is None else n.label for n in ns])
         u[seen >= 0] = -1e3
@@ -158,12 +160,37 @@ class Field:
                 out = belief[src] - msg[back]
                 new = np.logaddexp.reduce(out[:, :, None] + pot, axis=1)
                 new -= new.max(axis=1, keepdims=True)
+                moved = np.abs(new - msg).max()
                 msg = damping * msg + (1 - damping) * new
+            if moved > SETTLED:
+                self.sweep(u, src, dst, pot, back, msg)
             np.add.at(u, dst, msg)
         u -= u.max(axis=1, keepdims=True)
         p = np.exp(u)
         return p / p.sum(axis=1, keepdims=True)
 
+    @staticmethod
+    def sweep(u, src, dst, pot, back, msg, damping: float = 0.3) -> None:
+        """Passes messages on in the order of the text, then against it, until they
+        settle: one sweep takes a label along a whole skip chain. At most as many
+        sweeps as there are nodes."""
+        belief = u.copy()
+        np.add.at(belief, dst, msg)
+        ahead = src < dst
+        order = np.concatenate([np.nonzero(ahead)[0][np.lexsort((dst[ahead], src[ahead]))], np.nonzero(~ahead)[0][np.lexsort((-dst[~ahead], -src[~ahead]))]])
+        for _ in range(len(u)):
+            moved = 0.0
+            for e in order:
+                t = (belief[src[e]] - msg[back[e]])[:, None] + pot[e]
+                top = t.max(axis=0)
+                new = top + np.log(np.exp(t - top).sum(axis=0))
+                step = (1 - damping) * (new - new.max() - msg[e])
+                msg[e] += step
+                belief[dst[e]] += step
+                moved = max(moved, np.abs(step).max())
+            if moved <= SETTLED:
+                return
+
     def spans(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
         """(base spans, all spans): (kind, start, end), by kind, then start."""
         base = base_spans(text)

@@ -210,6 +210,28 @@ def test_skip_edges_carry_labels(spark):
     assert set(field.spans(lone)[0]) == set()
 
 
+def test_labels_reach_the_end_of_a_skip_chain():
+    """Mentions apart form a path, on which message passing is exact: compared with sums over all labels."""
+    unary = np.zeros((len(pii.FEATURES) + pii.CONTEXT, pii.NONE + 1))
+    unary[0, pii.NONE] = 0.05
+    field = pii.Field(unary, np.zeros((pii.NONE + 1, pii.NONE + 1)), 6.0 * np.eye(pii.NONE + 1))
+    text = "+49 30 1234567. " + ("word " * 100 + "Again 030 1234567 please. ") * 60
+    ns = pii.nodes(text, pii.base_spans(text))
+    assert len(ns) == 61 and pii.edges(ns)[0] == []
+    local = np.array([np.eye(pii.NONE + 1)[n.label] if n.label is not None else np.exp(unary[0]) for n in ns])
+    ahead, behind = np.ones_like(local), np.ones_like(local)
+    for i in range(1, len(ns)):
+        ahead[i] = (ahead[i - 1] * local[i - 1]) @ np.exp(field.skip)
+        ahead[i] /= ahead[i].sum()
+        j = len(ns) - 1 - i
+        behind[j] = np.exp(field.skip) @ (behind[j + 1] * local[j + 1])
+        behind[j] /= behind[j].sum()
+    exact = ahead * local * behind
+    exact /= exact.sum(axis=1, keepdims=True)
+    assert np.abs(field.marginals(ns) - exact).max() < 0.01
+    assert len(field.spans(text)[1]) == 1 + (exact[1:].argmax(axis=1) == 3).sum() > 13
+
+
 def test_pii_edge_cases(edge, none):
     out = pii.find(edge).collect()
     assert len(out) == len(EDGE) and all(len(r.spans) == 0 for r in out)
