@@ -8,19 +8,58 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder of ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (unit tests on one machine) a temporary
-    folder is set.
+    Only a local master (tests on one machine) may do without: there it is a temporary folder.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="ckpt-")
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def fresh(columns: list[str], stem: str) -> str:
+    """A column name that none of ``columns`` has, in either case."""
+    taken = {c.lower() for c in columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
+def row_hash(docs: DataFrame):
+    """A hash of all columns; those that Spark can't hash (maps, variants) by their JSON."""
+
+    def hashable(f):
+        c = F.col(f"`{f.name.replace('`', '``')}`")
+        kind = f.dataType.simpleString()
+        return F.to_json(F.struct(c.alias("v"))) if "map<" in kind or "variant" in kind else c
+
+    return F.xxhash64(*(hashable(f) for f in docs.schema.fields))
+
+
+def keep_rows(docs: DataFrame, key, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``key`` (a column expression) is in ``kept`` (key, count); of equal rows one.
+
+    Rows travel inside one struct, so their column names can't clash with those used here.
+    """
+    rows = docs.select(key.alias("key"), F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns)).alias("row"))
+    joined = rows.join(kept.hint("shuffle_hash"), "key")
+    single = joined.where("count = 1").select("row")
+    return single.unionAll(joined.where("count > 1").dropDuplicates(["key"]).select("row")).select("row.*")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,41 +1,54 @@
 """Benchmark decontamination with BM25 and block-max WAND.
 
-The index holds the test items: for each word its postings with BM25 impacts,
-as shares of the score that the item gets from its own text, and for each word and block
-of items the largest impact. Every training passage is a query: windows of twice
-the longest item's words at strides of that length, so that a copy of any item
-lies whole in some window. Blocks whose bounds can't reach the threshold are skipped;
-in the others WAND walks the postings and scores every item that can reach
-it. Items found are verified: the share of the five-word shingles of question
-and answer that the window has must be 0.8 or more.
-
-The test set is indexed in blocks of at most ``max_items`` items; each block is
-broadcast and run over all documents, so that a larger test set needs more
-passes and no more memory.
+Spark counts the test items' words; so the number of items, mean length, document frequencies and
+the longest item are those of the whole test set. An item's BM25 impacts are shares of the score
+that it gets from its own text. Every training passage is a query: windows of twice
+the longest item's words at strides of that length, so that a copy of any item lies whole in some
+window. Postings are sorted by item and cut into blocks of items with the largest impact
+of each word and block. The sums of these bounds say which blocks may hold an item that reaches its limit;
+in those WAND walks the postings from the block's offset on and scores every item that can.
+
+The limit follows from the verification: a text that has ``overlap`` of an item's
+five-word shingles has at least a certain share of the item's score, whichever shingles are missing
+(``least_share``), so the search loses no item that verification would accept. Items found are verified: the window
+must have that share of the whole item's shingles, and that of the question's or of the answer's.
+
+The index is cut into parts of bounded size, each broadcast for one job of its own over all
+documents and dropped afterwards, so that a larger test set needs more passes and no more memory. A
+part changes what is searched at a time, not the statistics, so results don't depend on it.
 
 An item's first sentence is its question, the rest its answer; items of fewer than
-five words are one shingle. Items without words, null texts and empty ones match nothing.
-Equal items each match. Rows with null ids keep their nulls.
+five words are one shingle. Items without words, null texts and empty ones match nothing; equal items each
+match. Rows with null ids keep their nulls, repeated rows are each judged, other columns are left alone. Very long
+texts are searched whole, some windows at a time. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpoint
+
 SHINGLE = 5
 OVERLAP = 0.8
-THRESHOLD = 0.65
 K1, B = 1.2, 0.75
 BLOCK = 4
-MAX_ITEMS = 4096
-MEMO = 400_000
+#: Bounds of one part of the index: items, and their words in all unless one item has more.
+MAX_ITEMS, MAX_WORDS = 4096, 400_000
+#: Tokens remembered by a worker, and the longest ones that are.
+MEMO, MEMO_LENGTH = 400_000, 48
+#: (windows, blocks) cells and words looked at together.
+CELLS = 1 << 20
 #: Not part of a word at its ends.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»„“”‘’¿¡…–—·"
 
@@ -45,41 +58,84 @@ def words(text: str) -> list[str]:
     return [w for t in text.lower().split() if (w := t.strip(PUNCTUATION))]
 
 
-def shingles(ws: list[str]) -> set[tuple[str, ...]]:
-    return {tuple(ws[i : i + SHINGLE]) for i in range(max(1, len(ws) - SHINGLE + 1))} if ws else set()
-
-
 def question_answer(text: str) -> tuple[str, str]:
     parts = re.split(r"(?<=[.?!])\s+|\n+", text.strip(), maxsplit=1)
     return parts[0], parts[1] if len(parts) > 1 else ""
 
 
+def shingles(numbers: list[int]) -> set[tuple[int, ...]]:
+    return {tuple(numbers[i : i + SHINGLE]) for i in range(max(1, len(numbers) - SHINGLE + 1))} if numbers else set()
+
+
+def least_share(numbers: np.ndarray, shares: dict[int, float], overlap: float) -> float:
+    """The least share of an item's score left in a text that has ``overlap`` of its distinct shingles.
+
+    A word is gone only if all shingles with it are. At most r of the m shingles are missing and each
+    has five words at most, so the words gone have 5 r places in shingles between them, and none more than r:
+    the worst choice is bounded by taking the most score per place, the last word in part.
+    """
+    own = shingles(numbers.tolist())
+    missing = len(own) - math.ceil(overlap * len(own) - 1e-9)
+    places: dict[int, int] = {}
+    for s in own:
+        for w in set(s):
+            places[w] = places.get(w, 0) + 1
+    room, lost = SHINGLE * missing, 0.0
+    for w, k in sorted(((w, k) for w, k in places.items() if k <= missing), key=lambda x: -shares[x[0]] / x[1]):
+        lost += shares[w] * min(1.0, room / k)
+        room -= k
+        if room <= 0:
+            break
+    return max(1.0 - lost, 1e-6)
+
+
 class Index:
-    """BM25 impacts of items, by word; see the module."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        self.items = [(i, t, ws) for i, t in items if (ws := words(t))]
-        n = len(self.items)
-        counts = [Counter(ws) for _, _, ws in self.items]
-        self.longest = max((len(ws) for _, _, ws in self.items), default=1)
-        mean = sum(len(ws) for _, _, ws in self.items) / max(n, 1)
-        df = Counter(w for c in counts for w in c)
-        self.number = {w: k for k, w in enumerate(df)}
-        idf = {w: math.log(1 + (n - d + 0.5) / (d + 0.5)) for w, d in df.items()}
-        self.postings: list[list[tuple[int, float]]] = [[] for _ in df]
-        blocks = -(-n // BLOCK)
-        self.bound = np.zeros((len(df), max(blocks, 1)), dtype=np.float32)
-        for k, c in enumerate(counts):
-            size = sum(c.values())
-            raw = {w: idf[w] * f * (K1 + 1) / (f + K1 * (1 - B + B * size / mean)) for w, f in c.items()}
-            own = sum(raw.values())
-            for w, x in raw.items():
-                self.postings[self.number[w]].append((k, x / own))
-                self.bound[self.number[w], k // BLOCK] = max(self.bound[self.number[w], k // BLOCK], x / own)
-        self.shingles = []
-        for _, t, ws in self.items:
-            q, a = (shingles(words(x)) for x in question_answer(t))
-            self.shingles.append((shingles(ws), q, a))
+    """Items, and their words' postings with impacts as multiples of the item's limit; see the module.
+
+    ``stats``: items in all, mean length, longest item, document frequency of each word, of the whole test set.
+    """
+
+    def __init__(self, items: list[tuple[int | None, str]], stats: tuple[int, float, int, dict[str, int]], overlap: float = OVERLAP):
+        n, mean, self.longest, df = stats
+        self.overlap = overlap
+        self.ids: list[int | None] = []
+        self.number: dict[str, int] = {}
+        self.sequences: list[np.ndarray] = []  # word numbers
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []  # question, answer
+        posts: list[tuple[int, int, float]] = []
+        for item_id, text in items:
+            ws = words(text)
+            if not ws:
+                continue
+            as_numbers = lambda x: np.array([self.number.setdefault(w, len(self.number)) for w in x], dtype=np.int32)
+            own = as_numbers(ws)
+            q, a = (as_numbers(words(x)) for x in question_answer(text))
+            at = len(self.ids)
+            self.ids.append(item_id)
+            self.sequences.append(own)
+            self.parts.append((q, a))
+            counts: dict[str, int] = {}
+            for w in ws:
+                counts[w] = counts.get(w, 0) + 1
+            raw = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(ws) / mean)) for w, f in counts.items()}
+            whole = sum(raw.values())
+            shares = {self.number[w]: x / whole for w, x in raw.items()}
+            limit = least_share(own, shares, overlap)
+            posts += [(w, at, x / limit) for w, x in shares.items()]
+        posts.sort()
+        self.word_of = np.array([p[0] for p in posts], dtype=np.int32)
+        self.item = np.array([p[1] for p in posts], dtype=np.int32)
+        self.impact = np.array([p[2] for p in posts], dtype=np.float64)
+        self.n_blocks = max(1, -(-len(self.ids) // BLOCK))
+        # one entry for each word and block with postings: where these start, and the largest impact
+        key = self.word_of.astype(np.int64) * self.n_blocks + self.item // BLOCK
+        begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        self.entry_block = (key[begins] % self.n_blocks).astype(np.int32)
+        self.entry_begin = np.r_[begins, len(key)].astype(np.int64)
+        self.entry_bound = np.maximum.reduceat(self.impact, begins) if len(begins) else np.zeros(0)
+        self.first_entry = np.searchsorted(key[begins] // self.n_blocks, np.arange(len(self.number) + 1)).astype(np.int64)
+        self.largest = np.zeros(len(self.number))
+        np.maximum.at(self.largest, self.word_of, self.impact)
         self.memo: dict[str, int] = {}
 
     def numbers(self, tokens: list[str]) -> list[int]:
@@ -87,118 +143,186 @@ class Index:
         got = list(map(self.memo.get, tokens))
         if None in got:
             fresh = {t for t, g in zip(tokens, got) if g is None}
-            if len(self.memo) + len(fresh) > MEMO:
-                self.memo.clear()
             new = {t: self.number.get(w, -1) if (w := t.strip(PUNCTUATION)) else -2 for t in fresh}
-            self.memo.update(new)
+            if len(self.memo) + len(new) > MEMO:
+                self.memo.clear()
+            self.memo.update((t, k) for t, k in new.items() if len(t) <= MEMO_LENGTH)
             got = [new[t] if g is None else g for t, g in zip(tokens, got)]
         return got
 
-    def wand(self, terms: list[int], block: int, threshold: float) -> list[tuple[int, float]]:
-        """All items of a block which these distinct words score at the threshold or above."""
-        low, high = block * BLOCK, (block + 1) * BLOCK
-        lists = [(float(self.bound[t, block]), [p for p in self.postings[t] if low <= p[0] < high]) for t in terms if self.bound[t, block] > 0]
-        cursors = [[p[0][0], 0, ub, p] for ub, p in lists if p]  # current item, position, bound, postings
+    def blocks(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(blocks whose bounds let some item reach its limit, entries of these words in order of block)."""
+        count = self.first_entry[terms + 1] - self.first_entry[terms]
+        entries = np.repeat(self.first_entry[terms] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
+        sums = np.bincount(self.entry_block[entries], self.entry_bound[entries], minlength=self.n_blocks)
+        can = sums >= 1 - 1e-6
+        entries = entries[can[self.entry_block[entries]]]
+        return np.flatnonzero(can), entries[np.argsort(self.entry_block[entries], kind="stable")]
+
+    def wand(self, entries: list[int]) -> list[tuple[int, float]]:
+        """(item, score) of all items of one block that reach their limit, from the block's entries of the query's words."""
+        begin, item, impact = self.entry_begin, self.item, self.impact
+        # current item, position, end, bound
+        cursors = [[int(item[begin[e]]), int(begin[e]), int(begin[e + 1]), float(self.entry_bound[e])] for e in entries]
         out = []
         while cursors:
-            cursors.sort(key=lambda c: c[0])
+            cursors.sort()
             total, pivot = 0.0, None
             for c in cursors:
-                total += c[2]
-                if total >= threshold - 1e-6:
+                total += c[3]
+                if total >= 1 - 1e-9:
                     pivot = c[0]
                     break
             if pivot is None:
                 break
+            target = pivot
             if cursors[0][0] == pivot:
-                score = sum(c[3][c[1]][1] for c in cursors if c[0] == pivot)
-                if score >= threshold:
+                score = sum(float(impact[c[1]]) for c in cursors if c[0] == pivot)
+                if score >= 1 - 1e-9:
                     out.append((pivot, score))
                 target = pivot + 1
-            else:
-                target = pivot
+            alive = []
             for c in cursors:
-                if c[0] < target:
-                    while c[1] < len(c[3]) and c[3][c[1]][0] < target:
-                        c[1] += 1
-                    c[0] = c[3][c[1]][0] if c[1] < len(c[3]) else -1
-            cursors = [c for c in cursors if c[0] >= 0]
+                while c[1] < c[2] and item[c[1]] < target:
+                    c[1] += 1
+                if c[1] < c[2]:
+                    c[0] = int(item[c[1]])
+                    alive.append(c)
+            cursors = alive
         return out
 
-    def matches(self, text: str, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> list[tuple[int, float, float, float, float]]:
-        """(item id, best BM25 share, overlap, question's, answer's) of each verified item."""
-        if not self.items or not text:
-            return []
-        tokens = text.lower().split()
-        numbers = np.array(self.numbers(tokens), dtype=np.int32)
-        if (numbers == -2).any():
-            real = np.flatnonzero(numbers > -2)
-            tokens, numbers = [tokens[j] for j in real.tolist()], numbers[real]
+    def search(self, terms: np.ndarray) -> list[tuple[int, float]]:
+        """(item, score as a multiple of its limit) of all items that a set of distinct words brings to their limit."""
+        blocks, entries = self.blocks(terms)
+        cuts = np.searchsorted(self.entry_block[entries], np.r_[blocks, self.n_blocks])
+        return [x for k in range(len(blocks)) for x in self.wand(entries[cuts[k] : cuts[k + 1]].tolist())]
+
+    def windows(self, numbers: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(first word, distinct words known) of the windows whose words' largest impacts sum up to a limit."""
         hits = np.flatnonzero(numbers >= 0)
         if not len(hits):
-            return []
+            return
         terms = numbers[hits]
-        stride = self.longest
-        begins = np.arange(0, max(len(numbers) - stride, 1), stride)
-        first, last = np.searchsorted(hits, begins), np.searchsorted(hits, begins + 2 * stride)
-        best: dict[int, list[float]] = {}
-        for at in range(0, len(begins), 256):  # bounded memory for very long texts
-            f, l = first[at : at + 256], last[at : at + 256]
-            sums = np.zeros((l[-1] - f[0] + 1, self.bound.shape[1]))
-            np.cumsum(self.bound[terms[f[0] : l[-1]]], axis=0, out=sums[1:])
-            can = sums[l - f[0]] - sums[f - f[0]] >= threshold - 1e-4
-            for k in np.flatnonzero(can.any(axis=1)):
-                own = np.unique(terms[f[k] : l[k]])
-                blocks = np.flatnonzero(can[k] & (self.bound[own].sum(axis=0) >= threshold - 1e-4))
-                have = None
-                for block in blocks.tolist():
-                    for item, score in self.wand(own.tolist(), block, threshold):
-                        if have is None:
-                            b = int(begins[at + k])
-                            window = [t.strip(PUNCTUATION) for t in tokens[b : b + 2 * stride]]
-                            have = {n: {tuple(window[i : i + n]) for i in range(len(window) - n + 1)} for n in range(1, SHINGLE + 1)}
-                        share = [sum(s in have[len(s)] for s in part) / len(part) if part else None for part in self.shingles[item]]
-                        if share[0] >= overlap:
-                            old = best.setdefault(item, [0.0, 0.0, 0.0, 0.0])
-                            new = [score, share[0], share[1] if share[1] is not None else share[0], share[2] if share[2] is not None else share[0]]
-                            best[item] = max(old, new, key=lambda x: (x[1], x[0]))
-        return [(self.items[k][0], *v) for k, v in sorted(best.items())]
-
-
-def item_blocks(benchmark: DataFrame, max_items: int = MAX_ITEMS, id_col: str = "item_id", text_col: str = "text"):
-    """Indexes of at most ``max_items`` items each, one after another."""
+        begins = np.arange(0, max(len(numbers) - self.longest, 1), self.longest)
+        first, last = np.searchsorted(hits, begins), np.searchsorted(hits, begins + 2 * self.longest)
+        sums = np.r_[0.0, np.cumsum(self.largest[terms])]
+        for k in np.flatnonzero(sums[last] - sums[first] >= 1 - 1e-6).tolist():
+            own = np.unique(terms[first[k] : last[k]])
+            if self.largest[own].sum() >= 1 - 1e-6:
+                yield int(begins[k]), own
+
+    def matches(self, text: str) -> list[tuple[int | None, float, float, float, float]]:
+        """(item id, score, overlap, question's, answer's) of each verified item; score is that of the best window, as a multiple of the item's limit."""
+        if not self.ids or not text:
+            return []
+        numbers = np.array(self.numbers(text.lower().split()), dtype=np.int32)
+        numbers = numbers[numbers > -2]
+        best: dict[int, tuple[float, ...]] = {}
+        for begin, own in self.windows(numbers):
+            have: dict[int, set] = {}
+            for item, score in self.search(own):
+                window = numbers[begin : begin + 2 * self.longest].tolist()
+                whole, q, a = self.sets(item)
+                shares = []
+                for part in (whole, q, a):
+                    size = len(next(iter(part))) if part else 0
+                    if size and size not in have:
+                        have[size] = {tuple(window[i : i + size]) for i in range(len(window) - size + 1)}
+                    shares.append(len(part & have[size]) / len(part) if part else None)
+                w, q, a = shares
+                q, a = w if q is None else q, w if a is None else a
+                if w >= self.overlap and max(q, a) >= self.overlap:
+                    best[item] = max(best.get(item, (0.0,) * 4), (w, score, q, a))
+        return [(self.ids[k], s, w, q, a) for k, (w, s, q, a) in sorted(best.items())]
+
+    def sets(self, item: int) -> tuple[set, set, set]:
+        """Shingles of an item, its question and its answer."""
+        q, a = self.parts[item]
+        return _sets(self.sequences[item].tobytes()), _sets(q.tobytes()), _sets(a.tobytes())
+
+
+@lru_cache(512)
+def _sets(numbers: bytes) -> frozenset:
+    return frozenset(shingles(np.frombuffer(numbers, dtype=np.int32).tolist()))
+
+
+def parts_of_index(benchmark: DataFrame, max_items: int = MAX_ITEMS, max_words: int = MAX_WORDS, overlap: float = OVERLAP, id_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:
+    """The index in parts, one after another; their statistics are those of all items."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    n = rows.count()
-    parts = max(1, -(-n // max_items))
-    for k in range(parts):
-        own = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == k)
-        yield Index([(r.id, r.text) for r in own.orderBy("id", "text").toLocalIterator()])
+
+    def cut(batches):
+        part, items, size = TaskContext.get().partitionId() << 32, 0, 0
+        for b in batches:
+            out = []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if ws := words(t):
+                    if items and (items >= max_items or size + len(ws) > max_words):
+                        part, items, size = part + 1, 0, 0
+                    items, size = items + 1, size + len(ws)
+                    out.append((i, t, part, ws))
+            columns = list(zip(*out)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.list_(pa.string())))], names=["id", "text", "part", "words"])
+
+    count, characters = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    few = max(1, -(-count // max_items), -(-characters // (6 * max_words)))
+    found = rows.coalesce(few).mapInArrow(cut, "id long, text string, part long, words array<string>")
+    items = checkpoint(found)
+    n, total, longest = items.agg(F.count("*"), F.sum(F.size("words")), F.max(F.size("words"))).first()
+    if not n:
+        return
+    df = checkpoint(items.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("df")))
+    for p in sorted(r.part for r in items.select("part").distinct().collect()):
+        own = items.where(F.col("part") == p)
+        known = own.select(F.explode("words").alias("word")).distinct().join(df, "word").collect()  # bounded by max_words
+        yield Index(sorted(((r.id, r.text) for r in own.select("id", "text").toLocalIterator()), key=lambda x: (x[0] is None, x[0] or 0, x[1])), (n, total / n, longest, {r.word: r.df for r in known}), overlap)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, max_items: int = MAX_ITEMS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP, max_items: int = MAX_ITEMS, max_words: int = MAX_WORDS, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """(id, item_id, score, overlap, question_overlap, answer_overlap) for each document and test item found in it."""
     schema = "id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double"
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    result = None
-    for index in item_blocks(benchmark, max_items):
+    result, one = None, None
+    for index in parts_of_index(benchmark, max_items, max_words, overlap):
+        if one is not None:  # several parts: a job for each
+            result = _done(one, result)
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches, shared=shared):
             for pdf in batches:
-                out = [(i, *m) for i, t in zip(pdf.id, pdf.text) for m in shared.value.matches(t, threshold, overlap)]
+                out = [(i, *m) for i, t in zip(pdf.id, pdf.text) for m in shared.value.matches(t)]
                 yield pd.DataFrame(out, columns=[f.split()[0] for f in schema.split(", ")]).astype({"id": "Int64", "item_id": "Int64"})
 
-        found = rows.mapInPandas(run, schema)
-        result = found if result is None else result.unionAll(found)
-    return result
+        one = (rows.mapInPandas(run, schema), shared)
+    if one is None:
+        return docs.sparkSession.createDataFrame([], schema)
+    return one[0] if result is None else _done(one, result)
+
+
+def _done(one, result: DataFrame | None) -> DataFrame:
+    """The rows of a part are written and its index is dropped."""
+    found, shared = one
+    found = checkpoint(found)
+    shared.destroy()
+    return found if result is None else result.unionAll(found)
+
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP, max_items: int = MAX_ITEMS, max_words: int = MAX_WORDS, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` in which no test item is found."""
+    before = None
+    for index in parts_of_index(benchmark, max_items, max_words, overlap):
+        if before is not None:
+            docs = checkpoint(docs)
+            before.destroy()
+        before = docs.sparkSession.sparkContext.broadcast(index)
+        docs = docs.where(_clean(before)(F.col(text_col)))
+    return docs
 
-def clean_column(index: Index, spark, threshold: float = THRESHOLD, overlap: float = OVERLAP, text_col: str = "text"):
-    """True where a text has no item of ``index``."""
-    shared = spark.sparkContext.broadcast(index)
 
+def _clean(shared):
     @F.pandas_udf("boolean")
     def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([not t or not shared.value.matches(t, threshold, overlap) for t in texts], dtype=bool)
+        return pd.Series([not t or not shared.value.matches(t) for t in texts], dtype=bool)
 
-    return clean(F.col(text_col))
+    return clean

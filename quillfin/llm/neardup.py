@@ -1,25 +1,25 @@
 """Near copies by exact similarity of word shingles, found with SimHash and Golay keys.
 
 ``simhash`` links fingerprints at three bits, which near copies with a few
-changed words often exceed. Here a document's SimHash has 184 bits, over its distinct
-words, in eight words of the Golay code. Each of them decodes to the indices of
+changed words often exceed. Here a document's SimHash has 138 bits, over its distinct
+words, in six words of the Golay code. Each of them decodes to the indices of
 the codewords of all words within one error (up to six keys), so that two words
-at most two errors apart always share one. A key also holds the least of eight
+at most two errors apart always share one. A key also holds the least of six
 hashes of the document's three-word shingles, which keeps strangers apart.
 
-Within a bucket, every document is compared with the most central one; all pairs would be
-quadratic in a group. At first that is the one which shares the most keys with others, then,
-round by round, the one with the most verified links (of variants of one text, the text itself, to
-which the first centres are linked), while rounds find many new links. These rounds only join
-large groups cheaply. Then an exact join compares all that share a bucket with any document and
-are in different components: of each set, the shingles that are rare in a sample come first, and
-two sets alike must share one of their first few (prefix filter), far enough from both ends
-(positional filter). Pairs are verified by the Jaccard similarity of
-their sets of five-word shingles; links form components.
+Documents that share a key with another are candidates. Comparing all pairs in a bucket would be quadratic in a
+group of copies, so candidates first meet their buckets' centres, for a few rounds: in the first the one which
+shares the most keys with others, then the one with the most verified links (of variants of one text, the text
+itself). These rounds only join large groups cheaply. Then an exact join compares all candidates in
+different components: two sets alike must share one of their first few shingles in an order that puts
+shingles common in a sample last (prefix filter), far enough from both ends (positional
+filter). Pairs are verified by the Jaccard similarity of their sets of five-word shingles, as 64-bit hashes; links form components.
 
 Texts are compared in lower case (A-Z) and with single spaces; texts equal in that form
 are one node, with a 64-bit hash as its name. Nulls count as empty, and empty texts are
-copies of each other; texts of fewer words than a shingle are one shingle.
+copies of each other; texts of fewer words than a shingle are one shingle; very long ones are taken whole. Rows with null ids
+come last in the choice of a group's row, equal rows are one row, and all other columns, whatever their names or
+types, come out as they were. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,15 +28,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, connected_components, utf8
+from .common import checkpoint, connected_components, keep_rows, row_hash, utf8
 from .simhash import decode
 
-WORDS, BITS, SHINGLE, SIMILARITY = 8, 23, 5, 0.8
-#: Rounds end when one finds links for no more than this share of nodes; sampled nodes and most shingles taken from them.
-FEW, SAMPLE, COMMON = 0.01, 4096, 200_000
+WORDS, BITS, SHINGLE, SIMILARITY = 6, 23, 5, 0.8
+#: Rounds of centres at most, and the share of nodes that the next one must gain links for.
+ROUNDS, FEW = 4, 0.01
+#: Sampled nodes, and the most shingles taken from them.
+SAMPLE, COMMON = 4096, 200_000
 _U = np.uint64
 _MIX = [_U(0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64) for k in range(WORDS)]
 
@@ -57,7 +59,7 @@ def _hashes(words: list[bytes], size: int) -> np.ndarray:
 
 
 def signature(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(eight 23-bit words of the SimHash, eight least hashes of three-word shingles)."""
+    """(23-bit words of the SimHash, least hashes of three-word shingles)."""
     digest = xxhash.xxh64_intdigest
     own = np.array([digest(w) for w in set(words)], dtype=_U)
     ones = np.zeros(192, dtype=np.int64)
@@ -125,51 +127,48 @@ def shared_buckets(nodes: DataFrame) -> DataFrame:
 
 
 def verified_links(shared: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) found by comparing nodes with the centres of their buckets, round by round.
+    """Links (a, b) between nodes, enough to join all that a chain of similar pairs joins.
 
     Only links that join components are wanted, so a pair is left out where both
     nodes are in one component already, or where the sizes of their sets rule the
-    similarity out. The first round compares a node with the highest of its
-    centres alone, which joins most of a group; the later ones, with all of its
-    centres, rank these by the links of all rounds before, until one finds few new
-    ones. All pairs left are then met by ``prefix_pairs``, so where the rounds end
-    changes the work, not the result.
+    similarity out. The first round compares a node with the widest of its
+    centres alone; the later ones, with all of its centres, rank these by the links of the rounds
+    before. All pairs left are then met by ``prefix_pairs``, so how many rounds there
+    are changes the work, not the result.
     """
     spread = shared.groupBy("node").agg(F.sum("n").alias("spread"))
     nodes = checkpoint(spread.join(sets.select("node", F.octet_length("grams").alias("size")), "node"))
     at = nodes.withColumn("degree", F.lit(0).cast("long")).withColumn("component", F.col("node"))
     few = nodes.count() * FEW
     seen = links = None
-    turn = 0
-    while True:
+    for turn in range(ROUNDS):
         ranked = shared.select("k", "node").join(at, "node")
         centre = ranked.groupBy("k").agg(F.max(F.struct("degree", "spread", "node", "size", "component")).alias("c"))
         fits = F.least("size", "c.size") / F.greatest("size", "c.size") >= similarity
         met = ranked.join(centre, "k").where(fits & (F.col("component") != F.col("c.component")))
-        if turn == 0:
-            met = met.groupBy("node").agg(F.max("c").alias("c"))
-        pairs = met.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
+        met = met.groupBy("node").agg(F.max("c").alias("c")) if turn == 0 else met
+        pairs = met.select("node", F.col("c.node").alias("centre")).distinct()
         if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
+            pairs = pairs.join(seen, ["node", "centre"], "left_anti")
         scored = checkpoint(verified(pairs, sets, similarity))
-        new = scored.where("alike").select("a", "b")
+        new = scored.where("alike").select(F.col("node").alias("a"), F.col("centre").alias("b"))
         links = new if links is None else links.unionAll(new)
-        seen = scored.select("a", "b") if seen is None else seen.unionAll(scored.select("a", "b"))
+        seen = scored.select("node", "centre") if seen is None else seen.unionAll(scored.select("node", "centre"))
         degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
         joined = nodes.join(connected_components(links), "node", "left").join(degree, "node", "left")
         at = checkpoint(joined.select("node", "spread", "size", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"), F.coalesce("component", "node").alias("component")))
-        turn += 1
-        if turn > 1 and new.count() <= few:
+        if turn and new.count() <= few:
             break
-    pairs = prefix_pairs(sets, at.select("node", "component"), similarity).join(seen, ["a", "b"], "left_anti")
-    return links.unionAll(checkpoint(verified(pairs, sets, similarity).where("alike").select("a", "b")))
+    pairs = checkpoint(prefix_pairs(sets, at.select("node", "component"), similarity).toDF("node", "centre"))
+    rest = verified(pairs, sets, similarity).where("alike")
+    return links.unionAll(checkpoint(rest.select(F.col("node").alias("a"), F.col("centre").alias("b"))))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, alike) of pairs (a, b)."""
-    first = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
-    both = first.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
-    return both.select("a", "b", (jaccard("ga", "gb") >= similarity).alias("alike"))
+    """(node, centre, alike) of pairs (node, centre). Sets are shuffled once for both joins."""
+    first = pairs.join(sets.select("node", F.col("grams").alias("own")), "node")
+    both = first.join(sets.select(F.col("node").alias("centre"), "grams"), "centre")
+    return both.select("node", "centre", (jaccard("own", "grams") >= similarity).alias("alike"))
 
 
 def common_grams(sets: DataFrame, components: DataFrame) -> np.ndarray:
@@ -195,7 +194,11 @@ def prefix_pairs(sets: DataFrame, components: DataFrame, similarity: float) -> D
     In an order of all shingles (those common in a sample last), sets of m and n
     shingles so alike share at least t = s / (1 + s) * (m + n), so their first common
     shingle is among the first n - ceil(s * n) + 1 of each, and t or more, it
-    included, are left from there in each.
+    included, are left from there in each. So a row with ``left`` shingles from there on fits partners of
+    at most (1 + s) / s * left - n shingles. Where that is less than its own n it can't meet another such
+    row, as both would have to be the smaller one; the documents that are mostly one
+    template are such rows. And under a shingle, the nodes of the component that has the most meet only those outside it. So
+    what is compared is far from all pairs of a shingle's nodes.
     """
     common = sets.sparkSession.sparkContext.broadcast(common_grams(sets, components))
 
@@ -216,12 +219,18 @@ def prefix_pairs(sets: DataFrame, components: DataFrame, similarity: float) -> D
     prefixes = sets.select("node", "grams").mapInArrow(run, "node long, size int, first array<long>")
     rows = prefixes.join(components, "node").select("node", "size", "component", F.posexplode("first").alias("at", "gram"))
     rows = rows.select("gram", "node", "component", "size", (F.col("size") - F.col("at")).alias("left"))
-    w = Window.partitionBy("gram")
-    open_ = rows.withColumns({"low": F.min("component").over(w), "high": F.max("component").over(w)}).where("low < high").drop("low", "high")
-    x, y = open_.alias("x"), open_.alias("y")
+    each = rows.groupBy("gram", "component").agg(F.count("*").alias("n"))
+    open_ = each.groupBy("gram").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("several")).where("several > 1")
+    rows = checkpoint(rows.join(open_.select("gram", "main"), "gram"))
+    most = (1 + similarity) / similarity * F.col("left") - F.col("size") + 1e-6
+    x = rows.where(most >= F.col("size")).alias("x")
+    y = rows.alias("y")
     enough = F.least("x.left", "y.left") >= similarity / (1 + similarity) * (F.col("x.size") + F.col("y.size")) - 1e-6
-    met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & enough)
-    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    fits = (F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size") - 1e-6) & enough & (F.col("x.component") != F.col("y.component"))
+    outside = x.where("component <> main").join(y, (F.col("x.gram") == F.col("y.gram")) & fits)
+    inside = x.where("component = main").join(y.where("component <> main"), (F.col("x.gram") == F.col("y.gram")) & fits)
+    met = outside.select("x.node", F.col("y.node").alias("other")).unionAll(inside.select("x.node", F.col("y.node").alias("other")))
+    return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -256,19 +265,16 @@ def jaccard(left: str, right: str):
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component: the least id (nulls last), then the least hash of all
     columns; of equal rows one. Columns are those of ``docs``."""
-    key = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).cast("long").alias("i"), F.xxhash64(*[F.col(c) for c in docs.columns]).alias("h"))
-    rows = checkpoint(signatures(docs.select(key.alias("key"), F.col(text_col).alias("text"))))
+    key = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).cast("long").alias("i"), row_hash(docs).alias("h"))
+    keyed = docs.select(key.alias("key"), F.col(text_col).alias("text"))
+    rows = checkpoint(signatures(keyed))
     nodes = checkpoint(rows.groupBy("node").agg(F.min("key").alias("key"), F.first("codes").alias("codes"), F.first("least").alias("least")))
     shared = checkpoint(shared_buckets(nodes))
     wanted = shared.select("node").distinct().join(nodes.select("node", "key"), "node")
     # of rows with equal keys any will do: their texts are equal
-    texts = docs.select(key.alias("key"), F.col(text_col).alias("text")).join(wanted.hint("shuffle_hash"), "key").select("node", "text")
-    sets = checkpoint(shingle_sets(texts.groupBy("node").agg(F.first("text").alias("text"))))
+    texts = keyed.join(wanted.hint("shuffle_hash"), "key").select("node", "text")
+    sets = checkpoint(shingle_sets(texts).groupBy("node").agg(F.first("grams").alias("grams")))
     links = verified_links(shared, sets, similarity)
     members = connected_components(links)
     best = nodes.select("node", "key").join(members, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("key").alias("key"))
-    once = rows.groupBy("key").count()
-    kept = best.select("key").join(once, "key").select(F.col("key").alias("_key"), F.col("count").alias("_count"))
-    joined = docs.withColumn("_key", key).join(kept.hint("shuffle_hash"), "_key")
-    single = joined.where("_count = 1").select(*docs.columns)
-    return single.unionAll(joined.where("_count > 1").dropDuplicates(["_key"]).select(*docs.columns))
+    return keep_rows(docs, key, best.select("key").join(rows.groupBy("key").count(), "key"))

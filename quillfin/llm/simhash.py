@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, connected_components, utf8
+from .common import checkpoint, connected_components, keep_rows, row_hash, utf8
 
 SEED = 42
 SEGMENTS = 4
@@ -139,59 +139,72 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     return rows.mapInArrow(run, "id long, fp long")
 
 
+def _keyed(fps: DataFrame, probe: bool, name: str) -> DataFrame:
+    """(key, name, component) of (fp, component)."""
+
+    def run(batches):
+        for b in batches:
+            for k in range(0, b.num_rows, 4096):
+                v, c = (b.column(i).slice(k, 4096).to_numpy(zero_copy_only=False) for i in (0, 1))
+                keys, rows = golay_keys(v.view(np.uint64), probe)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(v[rows]), pa.array(c[rows])], names=["key", "fp", "component"])
+
+    rows = fps.select("fp", "component").mapInArrow(run, "key long, fp long, component long")
+    return rows.withColumnsRenamed({"fp": name, "component": f"{name}_component"})
+
+
 def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     """Pairs (a, b), a < b, of distinct values of ``fp`` at most ``max_bits`` (3 or fewer) apart."""
     if not 0 <= max_bits <= 3:
         raise ValueError("the keys cover up to three differing bits")
-
-    def keyed(probe: bool):
-        def run(batches):
-            for b in batches:
-                for k in range(0, b.num_rows, 4096):
-                    v = b.column(0).slice(k, 4096).to_numpy(zero_copy_only=False)
-                    keys, rows = golay_keys(v.view(np.uint64), probe)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(v[rows])], names=["key", "fp"])
-
-        return run
-
-    probe = fps.select("fp").mapInArrow(keyed(True), "key long, fp long").withColumnRenamed("fp", "a")
-    index = fps.select("fp").mapInArrow(keyed(False), "key long, fp long").withColumnRenamed("fp", "b")
-    near = probe.join(
-        index, (probe["key"] == index["key"]) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
-    )
+    own = fps.select("fp", F.col("fp").alias("component"))
+    probe, index = _keyed(own, True, "a"), _keyed(own, False, "b")
+    near = probe.join(index, (probe["key"] == index["key"]) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits))
     return near.select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component_id, n_links): a row for each row of ``docs``.
+def components(fps: DataFrame, max_bits: int = 3) -> DataFrame:
+    """(fp, component) of distinct values of ``fp`` joined by links of at most ``max_bits``; component is the least signed value.
 
-    n_links counts the other fingerprints linked to the row's own.
+    Many links say the same where fingerprints crowd, so they aren't all made: first every key's rows
+    meet the key's least one only (an aggregate, combined before the shuffle), which joins most of a crowd; then all
+    pairs under a key meet, but only those in different components become rows. Each link is
+    either made or lies inside a component, so none is lost. A hot key's sort-merge partition is split by AQE.
     """
+    if not 0 <= max_bits <= 3:
+        raise ValueError("the keys cover up to three differing bits")
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
+    own = fps.select("fp", F.col("fp").alias("component"))
+    centre = _keyed(own, False, "b").groupBy("key").agg(F.min("b").alias("b"))
+    first = checkpoint(_keyed(own, True, "a").join(centre, "key").where((F.col("a") != F.col("b")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    placed = own.select("fp").join(connected_components(first).withColumnRenamed("node", "fp"), "fp", "left")
+    placed = checkpoint(placed.select("fp", F.coalesce("component", "fp").alias("component")))
+    probe, index = _keyed(placed, True, "a"), _keyed(placed, False, "b")
+    met = probe.join(index, (probe["key"] == index["key"]) & (F.col("a_component") != F.col("b_component")) & near)
+    second = checkpoint(met.select(F.least("a_component", "b_component").alias("a"), F.greatest("a_component", "b_component").alias("b")).distinct())
+    last = connected_components(second).select(F.col("node").alias("component"), F.col("component").alias("last"))
+    return placed.join(last, "component", "left").select("fp", F.coalesce("last", "component").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp, component_id): a row for each row of ``docs``."""
     rows = checkpoint(fingerprints(docs, shingle, id_col, text_col))
     nodes = checkpoint(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    pairs = checkpoint(links(nodes, max_bits))
-    members = connected_components(pairs).select(F.col("node").alias("fp"), F.col("component"))
-    degree = pairs.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
-    joined = nodes.join(members, "fp", "left").join(degree, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    joined = nodes.join(components(nodes, max_bits), "fp")
     named = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = joined.join(named, "component").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return rows.join(classes, "fp").select("id", "fp", "component_id", "n_links")
+    classes = joined.join(named, "component").select("fp", "component_id")
+    return rows.join(classes, "fp").select("id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component: the least id (nulls last), then the least hash of all
-    columns; of equal rows one. Columns are those of ``docs``."""
-    key = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).cast("long").alias("i"), F.xxhash64(*[F.col(c) for c in docs.columns]).alias("h"))
+    columns; of equal rows one. Columns are those of ``docs``, whatever their names."""
+    key = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).cast("long").alias("i"), row_hash(docs).alias("h"))
     keyed = docs.select(key.alias("key"), F.col(text_col).alias("text"))
     rows = checkpoint(_keyed_fingerprints(keyed, shingle))
     nodes = checkpoint(rows.groupBy("fp").agg(F.min("key").alias("least")))
-    members = connected_components(checkpoint(links(nodes, max_bits))).select(F.col("node").alias("fp"), "component")
-    best = nodes.join(members, "fp", "left").groupBy(F.coalesce("component", "fp").alias("component")).agg(F.min("least").alias("key"))
-    once = rows.groupBy("key").count()
-    kept = best.select("key").join(once, "key").select("key", "count")
-    joined = docs.withColumn("_key", key).join(kept.withColumnRenamed("key", "_key").withColumnRenamed("count", "_count").hint("shuffle_hash"), "_key")
-    single = joined.where("_count = 1").select(*docs.columns)
-    return single.unionAll(joined.where("_count > 1").dropDuplicates(["_key"]).select(*docs.columns))
+    best = nodes.join(components(nodes, max_bits), "fp").groupBy("component").agg(F.min("least").alias("key"))
+    return keep_rows(docs, key, best.select("key").join(rows.groupBy("key").count(), "key"))
 
 
 def _keyed_fingerprints(keyed: DataFrame, shingle: int) -> DataFrame:

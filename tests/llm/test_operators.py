@@ -16,6 +16,9 @@ from quillfin.llm import decontam, mpegts, packing, pii, queries, secrets, simha
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, fp string, bytes string, key string"
 
 
+SCHEMA_NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
+
+
 def rows(texts):
     """Documents with columns whose names the operators use inside."""
     return [(i, t, None, "s", None if t is None else len(t), "x", "y", None, "k") for i, t in texts]
@@ -283,25 +286,103 @@ def test_decontamination(spark, none):
     out = sorted(((r.id is None, r.id or 0, r.item_id) for r in found.collect()))
     assert [x for x in out if x[2] == 1] == [(False, 1, 1), (False, 8, 1), (True, 0, 1)]
     assert [x for x in out if x[2] != 1] == [(False, 6, 2), (False, 6, 5)]
-    blocks = decontam.contaminated(spark.createDataFrame(rows(docs), SCHEMA), spark.createDataFrame(ITEMS, "item_id long, text string"), max_items=2)
-    assert {(r.id, r.item_id) for r in blocks.collect()} >= {(1, 1), (8, 1)}
+    for most in (2, 7, 4096):
+        blocks = decontam.contaminated(spark.createDataFrame(rows(docs), SCHEMA), spark.createDataFrame(ITEMS, "item_id long, text string"), max_items=most)
+        assert sorted(map(str, blocks.collect())) == sorted(map(str, found.collect()))
+    kept = decontam.drop_contaminated(spark.createDataFrame(rows(docs), SCHEMA), spark.createDataFrame(ITEMS, "item_id long, text string"), max_items=2)
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 4, 5] and kept.columns == SCHEMA_NAMES
     assert decontam.contaminated(none, spark.createDataFrame(ITEMS, "item_id long, text string")).count() == 0
     assert decontam.contaminated(none, spark.createDataFrame([], "item_id long, text string")).count() == 0
+    assert decontam.drop_contaminated(none, spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
+def bm25(items):
+    """Statistics of all items; share of each item's own score by word."""
+    from math import log
 
+    bags = [decontam.words(t) for _, t in items]
+    n, mean = len(bags), sum(map(len, bags)) / len(bags)
+    df = {w: sum(w in b for b in bags) for b in bags for w in b}
+    out = []
+    for b in bags:
+        raw = {w: log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * b.count(w) * 2.2 / (b.count(w) + 1.2 * (0.25 + 0.75 * len(b) / mean)) for w in b}
+        out.append({w: x / sum(raw.values()) for w, x in raw.items()})
+    return (n, mean, max(map(len, bags)), df), out
 
-def test_wand_finds_all_above_the_threshold():
-    rng = random.Random(2)
+
+def random_items(n, seed):
+    rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(60)]
-    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(3, 20)))) for i in range(50)]
-    index = decontam.Index(items)
-    for _ in range(50):
-        terms = sorted({index.number[w] for w in rng.sample(vocabulary, 25) if w in index.number})
-        got = {k: s for b in range(index.bound.shape[1]) for k, s in index.wand(terms, b, 0.5)}
-        want = {}
-        for t in terms:
-            for k, s in index.postings[t]:
-                want[k] = want.get(k, 0) + s
-        assert got.keys() == {k for k, s in want.items() if s >= 0.5} or all(abs(want[k] - 0.5) < 1e-6 for k in got.keys() ^ {k for k, s in want.items() if s >= 0.5})
+    return [(i, " ".join(rng.choices(vocabulary, weights=[60 - k for k in range(60)], k=rng.randint(3, 30)))) for i in range(n)]
+
+
+def test_wand_finds_all_above_their_limits():
+    items = random_items(50, 2)
+    stats, shares = bm25(items)
+    index = decontam.Index(items, stats)
+    limits = [decontam.least_share(s, {index.number[w]: x for w, x in own.items()}, 0.8) for s, own in zip(index.sequences, shares)]
+    rng = random.Random(3)
+    for _ in range(200):
+        terms = rng.sample(sorted(index.number), rng.randint(1, 45))
+        got = dict(index.search(np.array(sorted(index.number[w] for w in terms))))
+        want = {k: sum(own.get(w, 0) for w in terms) / limit for k, (own, limit) in enumerate(zip(shares, limits))}
+        assert {k for k, s in want.items() if s >= 1 + 1e-6} <= got.keys() <= {k for k, s in want.items() if s >= 1 - 1e-6}
+        assert all(s == pytest.approx(want[k]) for k, s in got.items())
+
+
+def test_no_verified_item_is_under_its_limit():
+    """Whatever shingles are missing, a text with enough of an item reaches the item's limit: matches are those of plain comparison."""
+    items = random_items(40, 5)
+    index = decontam.Index(items, bm25(items)[0])
+    rng = random.Random(6)
+    found = 0
+    for _ in range(400):
+        i, text = rng.choice(items)
+        w = text.split()
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            w[rng.choice([0, len(w) - 1, rng.randrange(len(w))])] = "zz"
+        passage = " ".join(w)
+        have = {k: {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} for k in range(1, 6)}
+        want = set()
+        for k, t in items:
+            own = t.split()
+            grams = {tuple(own[j : j + 5]) for j in range(max(1, len(own) - 4))}
+            if len(grams & have[min(5, len(own))]) >= 0.8 * len(grams):
+                want.add(k)
+        assert {m[0] for m in index.matches(passage)} == want
+        found += len(want)
+    assert found > 100
+
+
+def test_decontamination_does_not_depend_on_parts(spark):
+    items = random_items(120, 7)
+    docs = [(i, " ".join(x for _, x in random.Random(i).sample(items, 3))) for i in range(60)]
+    d, b = spark.createDataFrame(rows(docs), SCHEMA), spark.createDataFrame(items, "item_id long, text string")
+    results = [sorted(map(str, decontam.contaminated(d, b, max_items=most).collect())) for most in (7, 4096)]
+    assert results[0] == results[1] and len(results[0]) >= 180
+    assert sorted(map(str, decontam.contaminated(d, b, max_words=400).collect())) == results[0]
+
+
+def test_memory_of_a_wide_index():
+    """4,096 items, one of them of 10,000 words: what the index and a search take stays far under 500 MB."""
+    import tracemalloc
+
+    rng = random.Random(8)
+    items = [(i, " ".join(f"w{rng.randrange(20_000)}" for _ in range(10_000 if i == 9 else 40))) for i in range(4096)]
+    stats = bm25_counts(items)
+    tracemalloc.start()
+    index = decontam.Index(items, stats)
+    text = " ".join(f"w{rng.randrange(20_000)}" for _ in range(30_000)) + " " + items[9][1]
+    assert 9 in {m[0] for m in index.matches(text)}
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+
+
+def bm25_counts(items):
+    from collections import Counter
+
+    bags = [decontam.words(t) for _, t in items]
+    return len(bags), sum(map(len, bags)) / len(bags), max(map(len, bags)), Counter(w for b in bags for w in set(b))
 
 
 def test_whole_items_are_found(spark, sf):
