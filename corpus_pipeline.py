@@ -4,17 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
-
 from quillfin.llm import decontam, neardup, packing, secrets, toxicity
-from quillfin.llm.common import checkpoint, table
+from quillfin.llm.common import shared_folder, table
 from quillfin.llm.queries import toxicity_model
 
 
 def drop_toxic(spark, docs, sf_dir):
     """Documents that score 0.3 or more go."""
-    score = toxicity.score_column(toxicity_model(spark, sf_dir))
-    return docs.withColumn("_score", score).where("_score < 0.3").drop("_score")
+    return docs.where(toxicity.score_column(toxicity_model(spark, sf_dir)) < 0.3)
 
 
 def drop_near_duplicates(spark, docs, sf_dir):
@@ -25,19 +22,12 @@ def drop_near_duplicates(spark, docs, sf_dir):
 
 def drop_contaminated(spark, docs, sf_dir):
     """Documents that hold a benchmark item go."""
-    for index in decontam.item_blocks(table(spark, sf_dir, "benchmark")):
-        docs = docs.where(decontam.clean_column(index, spark))
-    return docs
+    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark, docs, sf_dir):
     """Secrets are masked in the text; null texts stay null."""
-    found = secrets.scan(docs)
-    masked = F.when(F.col("text").isNotNull(), secrets.redacted(F.col("text"), F.col("secret_spans")))
-    found = found.withColumn("text", masked)
-    if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.size("secret_spans") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return found.select(*docs.columns)
+    return secrets.mask(docs)
 
 
 def pack_sequences(spark, docs, sf_dir):
@@ -59,8 +49,7 @@ ORACLE_SQL = None
 def run(spark, sf_dir):
     """All stages over ``documents``; the folders between them lie in the shared checkpoint folder."""
     docs = table(spark, sf_dir, "documents")
-    checkpoint(spark.range(1))  # sets the folder where the session has none
-    root = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         out = f"{root}/{k}"
         stage(spark, docs, sf_dir).write.parquet(out)
