@@ -1,10 +1,10 @@
 """Benchmark decontamination with BM25 and block-max WAND.
 
-Spark counts the test items' words; so the number of items, mean length, document frequencies and
-the longest item are those of the whole test set. An item's BM25 impacts are shares of the score
-that it gets from its own text. Every training passage is a query: windows of twice
-the longest item's words at strides of that length, so that a copy of any item lies whole in some
-window. Postings are sorted by item and cut into blocks of items with the largest impact
+Spark counts the test items' words; so the number of items, mean length and document frequencies
+are those of the whole test set. An item's BM25 impacts are shares of the score
+that it gets from its own text. Every training passage is a query: windows of twice as many
+words as an item may have at strides of that length, so that a copy of an item lies whole in some
+window. Items are searched by length (up to 64 words, up to 512, and so on), so one long item doesn't widen the windows of all. Postings are sorted by item and cut into blocks of items with the largest impact
 of each word and block. The sums of these bounds say which blocks may hold an item that reaches its limit;
 in those WAND walks the postings from the block's offset on and scores every item that can.
 
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -47,8 +48,8 @@ BLOCK = 4
 MAX_ITEMS, MAX_WORDS = 4096, 400_000
 #: Tokens remembered by a worker, and the longest ones that are.
 MEMO, MEMO_LENGTH = 400_000, 48
-#: (windows, blocks) cells and words looked at together.
-CELLS = 1 << 20
+#: Most words of the items in the first length class; the next ones have eight times as many each.
+SPAN = 64
 #: Not part of a word at its ends.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»„“”‘’¿¡…–—·"
 
@@ -89,69 +90,28 @@ def least_share(numbers: np.ndarray, shares: dict[int, float], overlap: float) -
     return max(1.0 - lost, 1e-6)
 
 
-class Index:
-    """Items, and their words' postings with impacts as multiples of the item's limit; see the module.
-
-    ``stats``: items in all, mean length, longest item, document frequency of each word, of the whole test set.
-    """
+class Postings:
+    """Postings of the items of one length class: sorted by word and item, with an entry (start, largest impact) for each word and block of items."""
 
-    def __init__(self, items: list[tuple[int | None, str]], stats: tuple[int, float, int, dict[str, int]], overlap: float = OVERLAP):
-        n, mean, self.longest, df = stats
-        self.overlap = overlap
-        self.ids: list[int | None] = []
-        self.number: dict[str, int] = {}
-        self.sequences: list[np.ndarray] = []  # word numbers
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []  # question, answer
-        posts: list[tuple[int, int, float]] = []
-        for item_id, text in items:
-            ws = words(text)
-            if not ws:
-                continue
-            as_numbers = lambda x: np.array([self.number.setdefault(w, len(self.number)) for w in x], dtype=np.int32)
-            own = as_numbers(ws)
-            q, a = (as_numbers(words(x)) for x in question_answer(text))
-            at = len(self.ids)
-            self.ids.append(item_id)
-            self.sequences.append(own)
-            self.parts.append((q, a))
-            counts: dict[str, int] = {}
-            for w in ws:
-                counts[w] = counts.get(w, 0) + 1
-            raw = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(ws) / mean)) for w, f in counts.items()}
-            whole = sum(raw.values())
-            shares = {self.number[w]: x / whole for w, x in raw.items()}
-            limit = least_share(own, shares, overlap)
-            posts += [(w, at, x / limit) for w, x in shares.items()]
+    def __init__(self, posts: list[tuple[int, int, float]], n_words: int, n_items: int, span: int):
+        """``posts``: (word, item, impact as a multiple of the item's limit); ``span``: the most words of an item."""
         posts.sort()
-        self.word_of = np.array([p[0] for p in posts], dtype=np.int32)
+        self.span = span
+        word = np.array([p[0] for p in posts], dtype=np.int64)
         self.item = np.array([p[1] for p in posts], dtype=np.int32)
         self.impact = np.array([p[2] for p in posts], dtype=np.float64)
-        self.n_blocks = max(1, -(-len(self.ids) // BLOCK))
-        # one entry for each word and block with postings: where these start, and the largest impact
-        key = self.word_of.astype(np.int64) * self.n_blocks + self.item // BLOCK
-        begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        self.n_blocks = max(1, -(-n_items // BLOCK))
+        key = word * self.n_blocks + self.item // BLOCK
+        begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         self.entry_block = (key[begins] % self.n_blocks).astype(np.int32)
-        self.entry_begin = np.r_[begins, len(key)].astype(np.int64)
-        self.entry_bound = np.maximum.reduceat(self.impact, begins) if len(begins) else np.zeros(0)
-        self.first_entry = np.searchsorted(key[begins] // self.n_blocks, np.arange(len(self.number) + 1)).astype(np.int64)
-        self.largest = np.zeros(len(self.number))
-        np.maximum.at(self.largest, self.word_of, self.impact)
-        self.memo: dict[str, int] = {}
-
-    def numbers(self, tokens: list[str]) -> list[int]:
-        """A word's number; -1: in no item; -2: no word."""
-        got = list(map(self.memo.get, tokens))
-        if None in got:
-            fresh = {t for t, g in zip(tokens, got) if g is None}
-            new = {t: self.number.get(w, -1) if (w := t.strip(PUNCTUATION)) else -2 for t in fresh}
-            if len(self.memo) + len(new) > MEMO:
-                self.memo.clear()
-            self.memo.update((t, k) for t, k in new.items() if len(t) <= MEMO_LENGTH)
-            got = [new[t] if g is None else g for t, g in zip(tokens, got)]
-        return got
+        self.entry_begin = np.r_[begins, len(key)]
+        self.entry_bound = np.maximum.reduceat(self.impact, begins)
+        self.first_entry = np.searchsorted(key[begins] // self.n_blocks, np.arange(n_words + 1))
+        self.largest = np.zeros(n_words)
+        np.maximum.at(self.largest, word, self.impact)
 
     def blocks(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(blocks whose bounds let some item reach its limit, entries of these words in order of block)."""
+        """(blocks whose bounds let some item reach its limit, their entries of these words in order of block)."""
         count = self.first_entry[terms + 1] - self.first_entry[terms]
         entries = np.repeat(self.first_entry[terms] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
         sums = np.bincount(self.entry_block[entries], self.entry_bound[entries], minlength=self.n_blocks)
@@ -161,15 +121,17 @@ class Index:
 
     def wand(self, entries: list[int]) -> list[tuple[int, float]]:
         """(item, score) of all items of one block that reach their limit, from the block's entries of the query's words."""
-        begin, item, impact = self.entry_begin, self.item, self.impact
-        # current item, position, end, bound
-        cursors = [[int(item[begin[e]]), int(begin[e]), int(begin[e + 1]), float(self.entry_bound[e])] for e in entries]
+        # current item, items and impacts, position, bound
+        cursors = []
+        for e in entries:
+            items = self.item[self.entry_begin[e] : self.entry_begin[e + 1]].tolist()
+            cursors.append([items[0], items, self.impact[self.entry_begin[e] : self.entry_begin[e + 1]].tolist(), 0, float(self.entry_bound[e])])
         out = []
         while cursors:
-            cursors.sort()
+            cursors.sort(key=lambda c: c[0])
             total, pivot = 0.0, None
             for c in cursors:
-                total += c[3]
+                total += c[4]
                 if total >= 1 - 1e-9:
                     pivot = c[0]
                     break
@@ -177,18 +139,15 @@ class Index:
                 break
             target = pivot
             if cursors[0][0] == pivot:
-                score = sum(float(impact[c[1]]) for c in cursors if c[0] == pivot)
+                score = sum(c[2][c[3]] for c in cursors if c[0] == pivot)
                 if score >= 1 - 1e-9:
                     out.append((pivot, score))
                 target = pivot + 1
-            alive = []
             for c in cursors:
-                while c[1] < c[2] and item[c[1]] < target:
-                    c[1] += 1
-                if c[1] < c[2]:
-                    c[0] = int(item[c[1]])
-                    alive.append(c)
-            cursors = alive
+                while c[0] < target:
+                    c[3] += 1
+                    c[0] = c[1][c[3]] if c[3] < len(c[1]) else 1 << 40
+            cursors = [c for c in cursors if c[0] < 1 << 40]
         return out
 
     def search(self, terms: np.ndarray) -> list[tuple[int, float]]:
@@ -197,45 +156,96 @@ class Index:
         cuts = np.searchsorted(self.entry_block[entries], np.r_[blocks, self.n_blocks])
         return [x for k in range(len(blocks)) for x in self.wand(entries[cuts[k] : cuts[k + 1]].tolist())]
 
-    def windows(self, numbers: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    def windows(self, numbers: np.ndarray, hits: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """(first word, distinct words known) of the windows whose words' largest impacts sum up to a limit."""
-        hits = np.flatnonzero(numbers >= 0)
-        if not len(hits):
-            return
         terms = numbers[hits]
-        begins = np.arange(0, max(len(numbers) - self.longest, 1), self.longest)
-        first, last = np.searchsorted(hits, begins), np.searchsorted(hits, begins + 2 * self.longest)
+        begins = np.arange(0, max(len(numbers) - self.span, 1), self.span)
+        first, last = np.searchsorted(hits, begins), np.searchsorted(hits, begins + 2 * self.span)
         sums = np.r_[0.0, np.cumsum(self.largest[terms])]
         for k in np.flatnonzero(sums[last] - sums[first] >= 1 - 1e-6).tolist():
             own = np.unique(terms[first[k] : last[k]])
             if self.largest[own].sum() >= 1 - 1e-6:
                 yield int(begins[k]), own
 
+
+class Index:
+    """Items and their postings by length class; see the module.
+
+    ``stats``: items in all, mean length, document frequency of each word, of the whole test set.
+    """
+
+    def __init__(self, items: list[tuple[int | None, str]], stats: tuple[int, float, dict[str, int]], overlap: float = OVERLAP):
+        n, mean, df = stats
+        self.overlap = overlap
+        self.ids: list[int | None] = []
+        self.number: dict[str, int] = {}
+        self.sequences: list[np.ndarray] = []  # word numbers
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []  # question, answer
+        posts: dict[int, list[tuple[int, int, float]]] = {}
+        for item_id, text in items:
+            ws = words(text)
+            if not ws:
+                continue
+            as_numbers = lambda x: np.array([self.number.setdefault(w, len(self.number)) for w in x], dtype=np.int32)
+            own = as_numbers(ws)
+            at = len(self.ids)
+            self.ids.append(item_id)
+            self.sequences.append(own)
+            self.parts.append(tuple(as_numbers(words(x)) for x in question_answer(text)))
+            raw = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(ws) / mean)) for w, f in Counter(ws).items()}
+            whole = sum(raw.values())
+            shares = {self.number[w]: x / whole for w, x in raw.items()}
+            limit = least_share(own, shares, overlap)
+            span = SPAN
+            while span < len(ws):
+                span *= 8
+            posts.setdefault(span, []).extend((w, at, x / limit) for w, x in shares.items())
+        self.classes = [Postings(p, len(self.number), len(self.ids), span) for span, p in sorted(posts.items())]
+        self.memo: dict[str, int] = {}
+
+    def numbers(self, tokens: list[str]) -> list[int]:
+        """A word's number; -1: in no item; -2: no word."""
+        got = list(map(self.memo.get, tokens))
+        if None in got:
+            fresh = {t for t, g in zip(tokens, got) if g is None}
+            new = {t: self.number.get(w, -1) if (w := t.strip(PUNCTUATION)) else -2 for t in fresh}
+            if len(self.memo) + len(new) > MEMO:
+                self.memo.clear()
+            self.memo.update((t, k) for t, k in new.items() if len(t) <= MEMO_LENGTH)
+            got = [new[t] if g is None else g for t, g in zip(tokens, got)]
+        return got
+
+    def search(self, terms: np.ndarray) -> list[tuple[int, float]]:
+        return [x for c in self.classes for x in c.search(terms)]
+
     def matches(self, text: str) -> list[tuple[int | None, float, float, float, float]]:
         """(item id, score, overlap, question's, answer's) of each verified item; score is that of the best window, as a multiple of the item's limit."""
         if not self.ids or not text:
             return []
         numbers = np.array(self.numbers(text.lower().split()), dtype=np.int32)
         numbers = numbers[numbers > -2]
+        hits = np.flatnonzero(numbers >= 0)
         best: dict[int, tuple[float, ...]] = {}
-        for begin, own in self.windows(numbers):
-            have: dict[int, set] = {}
-            for item, score in self.search(own):
-                window = numbers[begin : begin + 2 * self.longest].tolist()
-                whole, q, a = self.sets(item)
-                shares = []
-                for part in (whole, q, a):
-                    size = len(next(iter(part))) if part else 0
-                    if size and size not in have:
-                        have[size] = {tuple(window[i : i + size]) for i in range(len(window) - size + 1)}
-                    shares.append(len(part & have[size]) / len(part) if part else None)
-                w, q, a = shares
-                q, a = w if q is None else q, w if a is None else a
-                if w >= self.overlap and max(q, a) >= self.overlap:
-                    best[item] = max(best.get(item, (0.0,) * 4), (w, score, q, a))
+        if not len(hits):
+            return []
+        for c in self.classes:
+            for begin, own in c.windows(numbers, hits):
+                have: dict[int, set] = {}
+                for item, score in c.search(own):
+                    window = numbers[begin : begin + 2 * c.span].tolist()
+                    shares = []
+                    for part in self.sets(item):
+                        size = len(next(iter(part))) if part else 0
+                        if size and size not in have:
+                            have[size] = {tuple(window[i : i + size]) for i in range(len(window) - size + 1)}
+                        shares.append(len(part & have[size]) / len(part) if part else None)
+                    w, q, a = shares
+                    q, a = w if q is None else q, w if a is None else a
+                    if w >= self.overlap and max(q, a) >= self.overlap:
+                        best[item] = max(best.get(item, (0.0,) * 4), (w, score, q, a))
         return [(self.ids[k], s, w, q, a) for k, (w, s, q, a) in sorted(best.items())]
 
-    def sets(self, item: int) -> tuple[set, set, set]:
+    def sets(self, item: int) -> tuple[frozenset, frozenset, frozenset]:
         """Shingles of an item, its question and its answer."""
         q, a = self.parts[item]
         return _sets(self.sequences[item].tobytes()), _sets(q.tobytes()), _sets(a.tobytes())
@@ -267,14 +277,14 @@ def parts_of_index(benchmark: DataFrame, max_items: int = MAX_ITEMS, max_words:
     few = max(1, -(-count // max_items), -(-characters // (6 * max_words)))
     found = rows.coalesce(few).mapInArrow(cut, "id long, text string, part long, words array<string>")
     items = checkpoint(found)
-    n, total, longest = items.agg(F.count("*"), F.sum(F.size("words")), F.max(F.size("words"))).first()
+    n, total = items.agg(F.count("*"), F.sum(F.size("words"))).first()
     if not n:
         return
     df = checkpoint(items.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("df")))
     for p in sorted(r.part for r in items.select("part").distinct().collect()):
         own = items.where(F.col("part") == p)
         known = own.select(F.explode("words").alias("word")).distinct().join(df, "word").collect()  # bounded by max_words
-        yield Index(sorted(((r.id, r.text) for r in own.select("id", "text").toLocalIterator()), key=lambda x: (x[0] is None, x[0] or 0, x[1])), (n, total / n, longest, {r.word: r.df for r in known}), overlap)
+        yield Index(sorted(((r.id, r.text) for r in own.select("id", "text").toLocalIterator()), key=lambda x: (x[0] is None, x[0] or 0, x[1])), (n, total / n, {r.word: r.df for r in known}), overlap)
 
 
 def contaminated(

@@ -307,7 +307,7 @@ def bm25(items):
     for b in bags:
         raw = {w: log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * b.count(w) * 2.2 / (b.count(w) + 1.2 * (0.25 + 0.75 * len(b) / mean)) for w in b}
         out.append({w: x / sum(raw.values()) for w, x in raw.items()})
-    return (n, mean, max(map(len, bags)), df), out
+    return (n, mean, df), out
 
 
 def random_items(n, seed):
@@ -382,7 +382,7 @@ def bm25_counts(items):
     from collections import Counter
 
     bags = [decontam.words(t) for _, t in items]
-    return len(bags), sum(map(len, bags)) / len(bags), max(map(len, bags)), Counter(w for b in bags for w in set(b))
+    return len(bags), sum(map(len, bags)) / len(bags), Counter(w for b in bags for w in set(b))
 
 
 def test_whole_items_are_found(spark, sf):
