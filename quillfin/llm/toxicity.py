@@ -3,7 +3,7 @@
 Fitting, on a bounded sample of labelled rows (``max_rows``, the least hashes of
 their ids): document counts of words and word beginnings in toxic and clean
 rows give log-odds with a Dirichlet prior proportional to the whole sample's
-counts; features whose log-odds lie several standard errors from zero form the
+counts; features of five documents or more whose log-odds lie several standard errors from zero form the
 model. A token weighs what its longest feature in the model says, and a fixed
 penalty if it has none.
 
@@ -15,7 +15,7 @@ segments. The score of a document is a logistic function, fitted on the sample,
 best segment and of all its significant segments together.
 
 Null and empty texts have no tokens and get the score of no evidence. Rows stay
-as many as they are. Labelled rows without a document, with a null label or id are
+as many as they are; very long texts are scored whole. An id with several texts is learnt from one of them. Labelled rows without a document, with a null label or id are
 passed over. Without both labels in the sample, the score is its share of toxic rows
 (0 without rows).
 """
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpoint
+
 MAX_ROWS = 20_000
 PREFIXES = (5, 6, 7, 8)
 PRIOR = 50.0
@@ -42,7 +45,8 @@ PENALTY = -0.25
 WEIGHTS = (-2.0, 6.0)
 SIGNIFICANT = 0.05
 WORD = re.compile(r"[^\W\d_]+")
-MEMO = 300_000
+#: Tokens remembered by a worker, and the longest ones that are.
+MEMO, MEMO_LENGTH = 300_000, 48
 
 
 def word_of(token: str) -> str:
@@ -90,9 +94,11 @@ class Model:
     def weight(self, token: str) -> float:
         w = self.memo.get(token)
         if w is None:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            w = self.memo[token] = next((self.weights[f] for f in features_of(word_of(token)) if f in self.weights), PENALTY)
+            w = next((self.weights[f] for f in features_of(word_of(token)) if f in self.weights), PENALTY)
+            if len(token) <= MEMO_LENGTH:
+                if len(self.memo) >= MEMO:
+                    self.memo.clear()
+                self.memo[token] = w
         return w
 
     def spans(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
@@ -116,90 +122,106 @@ class Model:
         each = [self.evidence(s, n) for _, _, s in found]
         return max(each, default=0.0), sum(e for e in each if e >= -math.log(SIGNIFICANT))
 
+    def terms(self, text: str) -> tuple[float, float]:
+        """What the logistic function takes."""
+        best, all_ = self.summary(text)
+        return math.sqrt(best), math.log1p(all_)
+
     def score(self, text: str) -> float:
         if not self.beta:
             return self.base
-        best, all_ = self.summary(text)
-        z = self.beta[0] + self.beta[1] * math.sqrt(best) + self.beta[2] * math.log1p(all_)
+        best, all_ = self.terms(text)
+        z = self.beta[0] + self.beta[1] * best + self.beta[2] * all_
         return 1 / (1 + math.exp(-max(min(z, 40.0), -40.0)))
 
 
 def _sample(docs: DataFrame, labels: DataFrame, max_rows: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """(text, toxic) of at most ``max_rows`` labelled rows; the labels' bound makes them fit to broadcast."""
+    """(text, toxic) of at most ``max_rows`` labelled ids, one text each; the labels' bound makes them fit to broadcast."""
     own = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id is not null and toxic is not null")
-    own = own.groupBy("id").agg(F.max("toxic").alias("toxic"))
+    own = own.groupBy("id").agg((F.max("toxic") == 1).cast("int").alias("toxic"))
     own = own.orderBy(F.xxhash64("id"), "id").limit(max_rows)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(own), "id").select("text", "toxic")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(own), "id")
+    return checkpoint(rows.groupBy("id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "toxic")).alias("r")).select("r.text", "r.toxic"))
 
 
 def fit(
     docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"
 ) -> Model:
-    """``labels`` has the rows to learn from; see the module."""
+    """``labels`` has the rows to learn from; see the module.
+
+    Features are chosen, and scores counted, by Spark: the driver gets the features of the model,
+    and histograms with values rounded to hundredths.
+    """
     sample = _sample(docs, labels, max_rows, id_col, text_col, label_col)
+    n_clean, n_toxic = sample.agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).first()
+    if not n_clean or not n_toxic:
+        return Model({}, base=n_toxic / max(n_clean + n_toxic, 1), beta=())
 
     def count(batches):
-        counts: dict[str, list[int]] = {"": [0, 0]}
+        counts: dict[str, list[int]] = {}
         for b in batches:
-            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                y = int(toxic == 1)
-                counts[""][y] += 1
+            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for f in {f for w in {word_of(t) for t in set(text.split())} for f in features_of(w)}:
                     counts.setdefault(f, [0, 0])[y] += 1
-            if len(counts) > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array([c[0] for c in counts.values()]), pa.array([c[1] for c in counts.values()])], names=["f", "clean", "toxic"])
-                counts = {"": [0, 0]}
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array([c[0] for c in counts.values()]), pa.array([c[1] for c in counts.values()])], names=["f", "clean", "toxic"])
-
-    counted = sample.mapInArrow(count, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    # the size of the sample bounds the features with enough documents
-    pdf = counted.where(f"f = '' or toxic >= {MIN_DOCS} or (toxic = 0 and clean >= 400)").toPandas()
-    totals = pdf[pdf.f == ""]
-    n_clean, n_toxic = (int(totals.clean.sum()), int(totals.toxic.sum()))
-    if not n_clean or not n_toxic:
-        return Model({}, base=n_toxic / max(n_clean + n_toxic, 1), beta=())
-    pdf = pdf[pdf.f != ""]
-    c, t = pdf.clean.to_numpy(float), pdf.toxic.to_numpy(float)
-    prior = PRIOR * (c + t + 1) / (n_clean + n_toxic + 2)
-    without_t, without_c = n_toxic + PRIOR - t - prior, n_clean + PRIOR - c - prior
-    toxic, clean = np.log((t + prior) / without_t), np.log((c + prior) / without_c)
-    z = (toxic - clean) / np.sqrt(1 / (t + prior) + 1 / (c + prior) + 1 / without_t + 1 / without_c)
-    chosen = np.abs(z) >= MIN_Z
-    model = Model(dict(zip(pdf.f[chosen], np.clip((toxic - clean)[chosen], *WEIGHTS).tolist())))
+                if len(counts) > 200_000:
+                    yield _counts(counts)
+                    counts = {}
+        yield _counts(counts)
+
+    counted = sample.mapInArrow(count, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
+    # log-odds with the prior's counts in proportion to those of both labels together, and their standard error
+    prior = PRIOR * (F.col("c") + F.col("t") + 1) / (n_clean + n_toxic + 2)
+    has_t, has_c = F.col("t") + prior, F.col("c") + prior
+    not_t, not_c = n_toxic + PRIOR - has_t, n_clean + PRIOR - has_c
+    odds = F.log(has_t / not_t) - F.log(has_c / not_c)
+    z = odds / F.sqrt(1 / has_t + 1 / has_c + 1 / not_t + 1 / not_c)
+    chosen = counted.where(F.col("c") + F.col("t") >= MIN_DOCS).select("f", odds.alias("odds"), z.alias("z")).where(F.abs("z") >= MIN_Z)
+    model = Model({r.f: min(max(r.odds, WEIGHTS[0]), WEIGHTS[1]) for r in chosen.select("f", "odds").toLocalIterator()})
 
     def scan(batches):
-        for pdf in batches:
-            out = []
-            for text, toxic in zip(pdf.text, pdf.toxic):
-                n, found = model.spans(text)
-                w = [model.weight(x) for x in text.split()] if toxic != 1 else []
-                values, times = np.unique(np.round(w, 2), return_counts=True)
-                out.append((int(toxic == 1), n, [s for _, _, s in found], values.tolist(), times.tolist()))
-            yield pd.DataFrame(out, columns=["toxic", "n", "scores", "values", "times"])
-
-    seen = sample.mapInPandas(scan, "toxic int, n int, scores array<double>, values array<double>, times array<long>").toPandas()
-    background: dict[float, int] = {}
-    for values, times in zip(seen["values"], seen["times"]):
-        for v, k in zip(values, times):
-            background[v] = background.get(v, 0) + k
-    model.lam = _root(background)
-    own = [(max(s), n) for y, n, s in zip(seen.toxic, seen.n, seen.scores) if y == 0 and n > 0 and len(s)]
-    quiet = int(((seen.toxic == 0) & (seen.n > 0)).sum())
+        """Rows (what, value, n): weights of clean tokens, tokens of clean texts, and best segments of clean texts."""
+        seen: Counter = Counter()
+        for b in batches:
+            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if y == 0 and (tokens := text.split()):
+                    weights = list(map(model.weight, tokens))
+                    seen.update(("weight", round(w, 2)) for w in weights)
+                    seen["tokens", 0.0] += len(tokens)
+                    seen["best", round(max((s for _, _, s in segments(weights)), default=0.0), 2)] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.string()), pa.array([v for _, v in seen], pa.float64()), pa.array(list(seen.values()), pa.int64())], names=["what", "value", "n"])
+
+    histogram = sample.mapInArrow(scan, "what string, value double, n long").groupBy("what", "value").agg(F.sum("n").alias("n")).collect()
+    model.lam = _root({r.value: r.n for r in histogram if r.what == "weight"})
+    best = sorted((r.value, r.n) for r in histogram if r.what == "best")
+    own = [(s, n) for s, n in best if s > 0]
     # the mean number of best segments at or above a level, per token, at the level their median reaches
     if own:
-        level = float(np.median([s for s, _ in own]))
-        above = sum(s >= level for s, _ in own)
-        tokens = float(seen.n[seen.toxic == 0].sum())
-        share = min(above / max(quiet, 1), 1 - 1e-6)
-        model.log_k = math.log(-math.log1p(-share) * quiet / tokens) + model.lam * level
-    x, y = [], seen.toxic.to_numpy(float)
-    for n, s in zip(seen.n, seen.scores):
-        each = [model.evidence(v, n) for v in s] if n else []
-        x.append((1.0, math.sqrt(max(each, default=0.0)), math.log1p(sum(e for e in each if e >= -math.log(SIGNIFICANT)))))
-    model.beta = _logistic(np.array(x), y)
+        half, level = sum(n for _, n in own) / 2, own[-1][0]
+        for s, n in own:
+            half -= n
+            if half <= 0:
+                level = s
+                break
+        quiet = sum(n for _, n in best)
+        share = min(sum(n for s, n in own if s >= level) / quiet, 1 - 1e-6)
+        model.log_k = math.log(-math.log1p(-share) * quiet / sum(r.n for r in histogram if r.what == "tokens")) + model.lam * level
+
+    def evidences(batches):
+        seen: Counter = Counter()
+        for b in batches:
+            seen.update((*(round(x, 2) for x in model.terms(text)), y) for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in seen], pa.float64()) for i in (0, 1)), pa.array([k[2] for k in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["best", "all", "toxic", "n"])
+
+    cells = sample.mapInArrow(evidences, "best double, all double, toxic long, n long").groupBy("best", "all", "toxic").agg(F.sum("n").alias("n")).collect()
+    cells.sort()
+    model.beta = _logistic(np.array([(1.0, r.best, r["all"]) for r in cells]), np.array([r.toxic for r in cells], dtype=float), np.array([r.n for r in cells], dtype=float))
     return model
 
 
+def _counts(counts: dict[str, list[int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *(pa.array([c[i] for c in counts.values()], pa.int64()) for i in (0, 1))], names=["f", "clean", "toxic"])
+
+
 def _root(background: dict[float, int]) -> float:
     """The positive lambda with mean exp(lambda weight) = 1, or 1 where none exists."""
     v, k = np.array(list(background)), np.array(list(background.values()), dtype=float)
@@ -212,12 +234,13 @@ def _root(background: dict[float, int]) -> float:
     return low
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, ...]:
+def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0) -> tuple[float, ...]:
+    """Coefficients for rows that count n times each."""
     beta = np.zeros(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -40, 40)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(beta))
-        beta += np.linalg.solve(h, x.T @ (y - p) - ridge * beta)
+        h = (x * (n * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(beta))
+        beta += np.linalg.solve(h, x.T @ (n * (y - p)) - ridge * beta)
     return tuple(beta.tolist())
 
 
