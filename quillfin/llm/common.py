@@ -49,15 +49,28 @@ def row_hash(docs: DataFrame):
     return F.xxhash64(*(hashable(f) for f in docs.schema.fields))
 
 
-def keep_rows(docs: DataFrame, key, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose ``key`` (a column expression) is in ``kept`` (key, count); of equal rows one.
+#: Rows of keys that are broadcast at most (they have under 100 bytes each); more are joined by shuffle.
+BROADCAST_ROWS = 200_000
 
-    Rows travel inside one struct, so their column names can't clash with those used here.
+
+def sized(keys: DataFrame) -> DataFrame:
+    """Narrow rows of keys, ready to be joined to a wide table: broadcast if they are few, which their count decides, so that
+    the wide table isn't shuffled; else by a hash join of both sides."""
+    keys = checkpoint(keys)
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys.hint("shuffle_hash")
+
+
+def keep_rows(docs: DataFrame, key, best: DataFrame, counts: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``key`` (a column expression) is in ``best``; of equal rows one. ``counts`` has the number of rows of every key.
+
+    Rows travel inside one struct, so their column names can't clash with those used here. Rows to drop are fewer
+    than rows to keep, as a rule, so it is they that meet the table.
     """
     rows = docs.select(key.alias("key"), F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns)).alias("row"))
-    joined = rows.join(kept.hint("shuffle_hash"), "key")
-    single = joined.where("count = 1").select("row")
-    return single.unionAll(joined.where("count > 1").dropDuplicates(["key"]).select("row")).select("row.*")
+    marked = checkpoint(counts.join(best.select("key", F.lit(True).alias("kept")), "key", "left").where("kept is null or count > 1"))
+    single = rows.join(sized(marked.select("key")), "key", "left_anti").select("row")
+    repeated = rows.join(sized(marked.where("kept").select("key")), "key", "left_semi").dropDuplicates(["key"]).select("row")
+    return single.unionAll(repeated).select("row.*")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

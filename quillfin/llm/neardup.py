@@ -31,12 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, connected_components, keep_rows, row_hash, utf8
+from .common import checkpoint, connected_components, keep_rows, row_hash, sized, utf8
 from .simhash import decode
 
 WORDS, BITS, SHINGLE, SIMILARITY = 6, 23, 5, 0.8
 #: Rounds of centres at most, and the share of nodes that the next one must gain links for.
 ROUNDS, FEW = 4, 0.01
+#: Equal least hashes of pairs that the rounds look at.
+AGREE = 2
 #: Sampled nodes, and the most shingles taken from them.
 SAMPLE, COMMON = 4096, 200_000
 _U = np.uint64
@@ -126,19 +128,21 @@ def shared_buckets(nodes: DataFrame) -> DataFrame:
     return rows.join(rows.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "k")
 
 
-def verified_links(shared: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def verified_links(shared: DataFrame, signed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) between nodes, enough to join all that a chain of similar pairs joins.
 
     Only links that join components are wanted, so a pair is left out where both
     nodes are in one component already, or where the sizes of their sets rule the
     similarity out. The first round compares a node with the widest of its
     centres alone; the later ones, with all of its centres, rank these by the links of the rounds
-    before. All pairs left are then met by ``prefix_pairs``, so how many rounds there
+    before. Rounds only verify pairs with ``AGREE`` equal least hashes (in ``signed``), as shuffling sets is what
+    costs. All pairs left are then met by ``prefix_pairs``, so what rounds there
     are changes the work, not the result.
     """
     spread = shared.groupBy("node").agg(F.sum("n").alias("spread"))
     nodes = checkpoint(spread.join(sets.select("node", F.octet_length("grams").alias("size")), "node"))
     at = nodes.withColumn("degree", F.lit(0).cast("long")).withColumn("component", F.col("node"))
+    least = signed.select("node", "least")
     few = nodes.count() * FEW
     seen = links = None
     for turn in range(ROUNDS):
@@ -150,7 +154,10 @@ def verified_links(shared: DataFrame, sets: DataFrame, similarity: float) -> Dat
         pairs = met.select("node", F.col("c.node").alias("centre")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["node", "centre"], "left_anti")
-        scored = checkpoint(verified(pairs, sets, similarity))
+        equal = F.zip_with("least", "other", lambda a, b: (a == b).cast("int"))
+        signs = pairs.join(least, "node").join(least.toDF("centre", "other"), "centre")
+        likely = signs.where(F.aggregate(equal, F.lit(0), lambda n, x: n + x) >= AGREE).select("node", "centre")
+        scored = checkpoint(verified(likely, sets, similarity))
         new = scored.where("alike").select(F.col("node").alias("a"), F.col("centre").alias("b"))
         links = new if links is None else links.unionAll(new)
         seen = scored.select("node", "centre") if seen is None else seen.unionAll(scored.select("node", "centre"))
@@ -159,13 +166,14 @@ def verified_links(shared: DataFrame, sets: DataFrame, similarity: float) -> Dat
         at = checkpoint(joined.select("node", "spread", "size", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"), F.coalesce("component", "node").alias("component")))
         if turn and new.count() <= few:
             break
-    pairs = checkpoint(prefix_pairs(sets, at.select("node", "component"), similarity).toDF("node", "centre"))
-    rest = verified(pairs, sets, similarity).where("alike")
+    rest = verified(prefix_pairs(sets, at.select("node", "component"), similarity).toDF("node", "centre"), sets, similarity).where("alike")
     return links.unionAll(checkpoint(rest.select(F.col("node").alias("a"), F.col("centre").alias("b"))))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(node, centre, alike) of pairs (node, centre). Sets are shuffled once for both joins."""
+    """(node, centre, alike) of pairs (node, centre). Only the sets of these are shuffled, once for both joins."""
+    pairs = checkpoint(pairs)
+    sets = sets.join(sized(pairs.select("node").union(pairs.select("centre")).distinct()), "node", "left_semi")
     first = pairs.join(sets.select("node", F.col("grams").alias("own")), "node")
     both = first.join(sets.select(F.col("node").alias("centre"), "grams"), "centre")
     return both.select("node", "centre", (jaccard("own", "grams") >= similarity).alias("alike"))
@@ -270,11 +278,13 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc
     rows = checkpoint(signatures(keyed))
     nodes = checkpoint(rows.groupBy("node").agg(F.min("key").alias("key"), F.first("codes").alias("codes"), F.first("least").alias("least")))
     shared = checkpoint(shared_buckets(nodes))
-    wanted = shared.select("node").distinct().join(nodes.select("node", "key"), "node")
-    # of rows with equal keys any will do: their texts are equal
-    texts = keyed.join(wanted.hint("shuffle_hash"), "key").select("node", "text")
-    sets = checkpoint(shingle_sets(texts).groupBy("node").agg(F.first("grams").alias("grams")))
-    links = verified_links(shared, sets, similarity)
+    counts = checkpoint(rows.groupBy("key").count())
+    wanted = checkpoint(shared.select("node").distinct().join(nodes.select("node", "key"), "node").join(counts, "key"))
+    once = keyed.join(sized(wanted.where("count = 1").select("key", "node")), "key").select("node", "text")
+    # of equal rows any will do
+    again = keyed.join(sized(wanted.where("count > 1").select("key", "node")), "key").groupBy("node").agg(F.first("text").alias("text"))
+    sets = checkpoint(shingle_sets(once.unionAll(again)))
+    links = verified_links(shared, nodes, sets, similarity)
     members = connected_components(links)
     best = nodes.select("node", "key").join(members, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("key").alias("key"))
-    return keep_rows(docs, key, best.select("key").join(rows.groupBy("key").count(), "key"))
+    return keep_rows(docs, key, best, counts)

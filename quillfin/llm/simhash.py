@@ -204,7 +204,7 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col: str =
     rows = checkpoint(_keyed_fingerprints(keyed, shingle))
     nodes = checkpoint(rows.groupBy("fp").agg(F.min("key").alias("least")))
     best = nodes.join(components(nodes, max_bits), "fp").groupBy("component").agg(F.min("least").alias("key"))
-    return keep_rows(docs, key, best.select("key").join(rows.groupBy("key").count(), "key"))
+    return keep_rows(docs, key, best, rows.groupBy("key").count())
 
 
 def _keyed_fingerprints(keyed: DataFrame, shingle: int) -> DataFrame:

@@ -55,9 +55,10 @@ def test_near_copies_of_one_text(spark):
 def components_of_buckets(spark, texts, buckets):
     """Sets of nodes that ``verified_links`` joins, of texts by node and buckets of nodes."""
     shared = spark.createDataFrame([(k, i, len(b)) for k, b in enumerate(buckets) for i in b], "k long, node long, n long")
-    sets = neardup.shingle_sets(spark.createDataFrame(list(texts.items()), "node long, text string"))
+    given = spark.createDataFrame(list(texts.items()), "node long, text string")
+    sets, signed = neardup.shingle_sets(given), neardup.signatures(given.withColumnRenamed("node", "key")).select("key", "least").toDF("node", "least")
     groups = {}
-    for r in neardup.connected_components(neardup.verified_links(shared, sets, neardup.SIMILARITY)).collect():
+    for r in neardup.connected_components(neardup.verified_links(shared, signed, sets, neardup.SIMILARITY)).collect():
         groups.setdefault(r.component, set()).add(r.node)
     return sorted(map(sorted, groups.values()))
 
