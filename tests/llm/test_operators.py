@@ -493,23 +493,60 @@ def test_derivatives_keep_headers_and_digests():
     import json
 
     envelope = json.loads(meta[2])
-    assert envelope["source-headers"] == headers and envelope["payload-digest-matches"] and envelope["title"] == "A & B"
+    assert [tuple(x) for x in envelope["source-headers"]] == headers and envelope["payload-digest-matches"] and envelope["title"] == "A & B"
     assert envelope["links"] == [{"tag": "a", "url": "http://h.example/x?a=1&b=2"}]
     assert text[2].decode() == "One\nTwo <3l"
-    for kind, h, data, whole in (meta, text):
+    for kind, h, data, whole, _ in (meta, text):
         got, body = warc.parse(whole)
-        assert got == h and body == data and h["WARC-Type"] == kind
-        assert h["WARC-Refers-To"] == headers["WARC-Record-ID"] and h["WARC-Source-Payload-Digest"] == headers["WARC-Payload-Digest"]
+        assert got == h and body == data and dict(h)["WARC-Type"] == kind
+        assert dict(h)["WARC-Refers-To"] == dict(headers)["WARC-Record-ID"] and dict(h)["WARC-Source-Payload-Digest"] == dict(headers)["WARC-Payload-Digest"]
     with pytest.raises(ValueError):
         warc.parse(source.replace(b"One", b"Uno"))
 
 
+def test_repeated_headers_are_kept():
+    import json
+
+    block = b"HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nset-cookie: b=2\r\nX-Long: one\r\n two\r\n\r\n<p>x"
+    record = warc.build([("warc-type", "response"), ("WARC-Record-ID", "<urn:x>"), ("WARC-Date", "d"), ("WARC-Concurrent-To", "<urn:y>"), ("WARC-Concurrent-To", "<urn:z>")], block)
+    envelope = json.loads(warc.derivatives(record)[0][2])
+    assert envelope["http-headers"] == [["Set-Cookie", "a=1"], ["set-cookie", "b=2"], ["X-Long", "one two"]]
+    assert [v for k, v in envelope["source-headers"] if k == "WARC-Concurrent-To"] == ["<urn:y>", "<urn:z>"]
+
+
+def brute_text(page):
+    """Visible text by patterns."""
+    hidden = re.compile(r"<!--.*?-->|<(script|style|head|template|noscript)(?![A-Za-z0-9])[^>]*>.*?</\1\s*>|<!\[CDATA\[.*?\]\]>", re.S | re.I)
+    block = re.compile(r"</?(?:" + "|".join(sorted(warc.BLOCKS, reverse=True)) + r")(?![A-Za-z0-9])[^>]*>", re.I)
+    text = re.sub(r"<[/!?]?[A-Za-z][^>]*>", "", block.sub("\n", hidden.sub(" ", page)))
+    return "\n".join(x for x in (" ".join(x.split()) for x in text.split("\n")) if x)
+
+
+@given(st.lists(st.sampled_from(["<p>", "</p>", "<div class='x'>", "<br/>", "<b>", "</b>", "<!-- c -->", "<style>s {}</style>", "<script src=a>no()</script>", "<head>h<link href=l></head>", "<a href='u'>", "</a>", "<![CDATA[d]]>", "text", " x ", "1 < 2", "\n"]), max_size=25).map("".join))
+@settings(max_examples=500, deadline=None)
+def test_visible_text_is_that_of_patterns(page):
+    text, _, found = warc.scan(page)
+    assert text == brute_text(page)
+    assert len(found) == page.count("src=a") + page.count("href=l") + page.count("href='u'")
+
+
+@pytest.mark.parametrize("piece", ["<script>", "<!--", "<a ", "<title>", "<a href=", "<head><", "<![CDATA[", "</script ", "<p", "<style></", "&lt"])
+def test_pages_are_scanned_in_linear_time(piece):
+    import time
+
+    began = time.process_time()
+    warc.scan(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - began < 5
+
+
 def test_warc_edge_cases(spark):
     schema = "page_id long, url string, html string, record string, id string"
     df = spark.createDataFrame([(1, None, None, "r", "i"), (None, "no scheme", "", "r", "i"), (3, "http://a/\r\nX: y", "<p>" * 20_000 + "deep", "r", "i"), (3, "http://[bad", "<a href='http://[x'>", "r", "i")], schema)
     out = warc.derive(warc.responses(df)).collect()
     assert len(out) == 8 and {r.record_type for r in out} == {"metadata", "conversion"}
     assert warc.derive(warc.responses(df.limit(0))).count() == 0
+    bad = spark.createDataFrame([(1, None), (2, b"x"), (3, warc.build([("WARC-Type", "request")], b"q")), (4, warc.response(4, "u", "p").replace(b"<", b"("))], "id long, record binary")
+    assert sorted((r.id, r.record_type) for r in warc.derive(bad).collect()) == [(2, "damaged"), (4, "conversion"), (4, "metadata")]
 
 
 # --- urls
@@ -538,10 +575,62 @@ def test_host_rules(spark):
 def test_mined_rules_block(spark):
     pages = [(i, f"http://a{i % 3}.net/{'es' if i % 2 else 'fr'}/casino/{i}") for i in range(60)] + [(100 + i, f"http://b{i % 3}.com/en/news/{i}") for i in range(60)] + [(500, "http://z.org/casino/9"), (501, "http://z.org/news/9")]
     out = {r.id: r for r in urls.classify(spark.createDataFrame(pages, "page_id long, url string")).collect()}
-    assert (out[500].verdict, out[500].mined) == ("block", "path=casino") and (out[501].verdict, out[501].mined) == ("allow", None)
+    assert (out[500].verdict, out[500].mined) == ("block", '["path=casino"]') and (out[501].verdict, out[501].mined) == ("allow", None)
     assert urls.classify(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def brute_blocked(pages, min_support, min_confidence):
+    """Ids of the pages that plain enumeration of all token combinations blocks beyond the host rules."""
+    from itertools import combinations
+
+    found, labelled = {}, []
+    for i, u in pages:
+        host, path = brute_host_path(u)
+        rule = verdict = None
+        for v, h, p in sorted(urls.RULES, key=lambda r: len(r[1] + r[2])):
+            if (host == h or host.endswith("." + h)) and path.startswith(p):
+                rule, verdict = h + p, v
+        number = lambda x: re.sub("[0-9]+", "#", x.lower())
+        bag = {"end=" + host.split(".")[-1], "first=" + host.split(".")[0]} if host else set()
+        bag |= {"path=" + number(x) for x in path.split("/") if x}
+        if "?" in u.split("#")[0] and "://" in u:
+            bag |= {"query=" + x.split("=")[0].lower() for x in u.split("#")[0].split("?", 1)[1].split("&") if x}
+        found[i] = (rule, bag)
+        if rule:
+            labelled.append((bag, verdict))
+    counts = {}
+    for bag, verdict in labelled:
+        for k in range(1, len(bag) + 1):
+            for c in combinations(sorted(bag), k):
+                n = counts.setdefault(c, [0, 0])
+                n[0] += 1
+                n[1] += verdict == "block"
+    mined = [set(c) for c, (n, bad) in counts.items() if bad >= min_support * len(labelled) and bad / n >= min_confidence]
+    return {i for i, (rule, bag) in found.items() if rule is None and any(m <= bag for m in mined)}
+
+
+def test_mined_rules_are_those_of_plain_enumeration(spark):
+    rng = random.Random(4)
+    words = ["casino", "news", "win", "blog", "shop", "2024", "a&b"]
+    pages = []
+    for i in range(400):
+        host = rng.choice(["a.net", "b.net", "x.com", "example.com", "z.org", "q.io"])
+        path = "/".join([rng.choice(["es", "fr", "en", "de"])] + rng.sample(words, rng.randint(0, 4)))
+        pages.append((i, f"http://{host}/{path}" + rng.choice(["", "?ref=1", "?id=2&ref=3"])))
+    got = urls.classify(spark.createDataFrame(pages, "page_id long, url string"), min_support=0.02, min_confidence=0.8).collect()
+    want = brute_blocked(pages, 0.02, 0.8)
+    assert 5 < len(want) < 200 and {r.id for r in got if r.mined} == want
+
+
+def test_copies_of_a_url_with_many_parts(spark):
+    """A thousand copies of a URL of 40 parts, of which all combinations are frequent: one item."""
+    long = "/".join(f"part{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(40))
+    pages = [(i, f"http://a.net/es/{long}") for i in range(1000)] + [(1000 + i, f"http://b{i % 2}.com/en/{long}x") for i in range(200)] + [(5000, "http://z.org/partcb"), (5001, "http://z.org/none"), (5002, f"http://z.org/{long}x"), (5003, f"http://z.org/{long}")]
+    out = {r.id: r for r in urls.classify(spark.createDataFrame(pages, "page_id long, url string")).collect()}
+    # most parts are in pages of both kinds; the last one is in blocked pages only
+    assert [out[i].verdict for i in (5000, 5001, 5002, 5003)] == ["allow", "allow", "allow", "block"] and len(out) == 1204
+
+
 # --- packing
 
 
