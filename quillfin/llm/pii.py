@@ -8,14 +8,14 @@ previous such mention however far away. Loopy sum-product message passing makes
 consistent: a number seen once as ``+49 30 ...`` is a phone number elsewhere in that document too.
 Mentions whose likeliest label isn't ``none`` are added spans.
 
-Weights are fitted on a bounded sample of documents (``max_docs``, least hashes of
-ids): node weights by multinomial logistic regression on the shape of mentions
-and the word before, transition and skip weights by smoothed counts of labels
-on linked mentions.
-
-Null texts count as empty, without spans; rows stay as many as they are; an
-empty table gives an empty result; other columns are ignored. Memory is linear in a
-text's length: every mention has at most two edges to earlier ones. So is each round and sweep of
+Weights are fitted on a bounded sample of texts (``max_docs`` distinct ones, those of least hash), labelled by the patterns. All of them,
+those of nodes, transitions and skips, maximise the sample's pseudo-likelihood: the chance of each label given its
+mention and the labels of its neighbours, with a Gaussian prior around zero (skips: around ``SKIP_PRIOR`` for equal labels).
+A mention without a pattern may be personal data all the same, so it says nothing about skips in the sample.
+
+Null texts count as empty, without spans; rows stay as many as they are; rows with null ids keep them; an
+empty table gives an empty result; other columns are ignored. Very long texts are searched whole; time and memory are linear in
+a text's length: every mention has at most two edges to earlier ones. So is each round and sweep of
 messages; sweeps go on until messages settle, as a rule after a few.
 """
 
@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,15 +36,19 @@ KINDS = ("email", "ip", "card", "phone")
 NONE = len(KINDS)
 MAX_DOCS = 4_000
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
-DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-MENTION = re.compile(r"(?<![0-9])[0-9](?:[ ().-]{0,2}[0-9]){6,}|[A-Za-z0-9._%+-]+(?:\(at\)|\[at\]| at )[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+")
+NUMBER = re.compile(r"(?<![0-9])[0-9](?:[ ().-]{0,2}[0-9]){6,}")
+MARK = re.compile(r"\(at\)|\[at\]| at ")
+SHORT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+")
+MAILBOX = 64  # most characters of a mailbox name before a mark
 NOT_DIGIT = re.compile(r"[^0-9]")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 CONTEXT = 32
 NEAR = 300
+SKIP_PRIOR = 2.0
 SETTLED = 1e-3
 
 
@@ -91,13 +96,31 @@ class Node:
     features: tuple[int, ...]
 
 
+def mentions(text: str) -> list[tuple[int, int]]:
+    """Spans that look like numbers or addresses, leftmost and not overlapping."""
+    found = [m.span() for m in NUMBER.finditer(text)]
+    for m in MARK.finditer(text):
+        begin = m.start()
+        while begin > 0 and m.start() - begin < MAILBOX and text[begin - 1] in LOCAL_CHARS:
+            begin -= 1
+        if begin < m.start() and (d := DOMAIN.match(text, m.end())):
+            found.append((begin, d.end()))
+    if "@" in text:
+        found += [m.span() for m in SHORT.finditer(text)]
+    out, reach = [], 0
+    for s, e in sorted(found, key=lambda x: (x[0], -x[1])):
+        if s >= reach:
+            out.append((s, e))
+            reach = e
+    return out
+
+
 def nodes(text: str, base: list[tuple[int, int, int]]) -> list[Node]:
     """Base spans and further mentions not overlapping them, by start."""
     taken = sorted((s, e, k) for k, s, e in base)
     found = list(taken)
     i, reach = 0, -1
-    for m in MENTION.finditer(text):
-        s, e = m.span()
+    for s, e in mentions(text):
         while i < len(taken) and taken[i][0] < e:
             reach = max(reach, taken[i][1])
             i += 1
@@ -204,56 +227,73 @@ class Field:
         return base, sorted(base + added)
 
 
-def fit(docs: DataFrame, max_docs: int = MAX_DOCS, id_col: str = "doc_id", text_col: str = "text") -> Field:
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    chosen = rows.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(max_docs)
-    sample = rows.join(F.broadcast(chosen), "id").select("text")
+def fit(docs: DataFrame, max_docs: int = MAX_DOCS, text_col: str = "text") -> Field:
+    rows = docs.select(F.col(text_col).alias("text")).where("text is not null").select("text", F.xxhash64("text").alias("h"))
+    chosen = rows.select("h").distinct().orderBy("h").limit(max_docs)
+    sample = rows.join(F.broadcast(chosen), "h").dropDuplicates(["h"]).select("text")
 
     def run(batches):
+        """Rows (label, features, counts of neighbours' labels, n); counts are those before, after and over skips."""
         counts: Counter = Counter()
-        for pdf in batches:
-            for text in pdf.text:
+        for b in batches:
+            for text in b.column(0).to_pylist():
                 ns = nodes(text, base_spans(text))
-                counts.update(f"u:{NONE if n.label is None else n.label}:{','.join(map(str, n.features))}" for n in ns)
-                for kind, pairs in zip("cs", edges(ns)):
-                    counts.update(f"{kind}:{NONE if ns[i].label is None else ns[i].label}:{NONE if ns[j].label is None else ns[j].label}" for i, j in pairs)
-        yield pd.DataFrame({"what": list(counts), "n": list(counts.values())}).astype({"what": str, "n": "int64"})
-
-    counted = sample.mapInPandas(run, "what string, n long").groupBy("what").agg(F.sum("n").alias("n")).collect()
-    patterns, pairs = [], {"c": np.ones((NONE + 1, NONE + 1)), "s": np.ones((NONE + 1, NONE + 1))}
-    for r in sorted(counted):
-        kind, x, y = r.what.split(":")
-        if kind == "u":
-            patterns.append((int(x), [int(f) for f in y.split(",")], r.n))
-        else:
-            pairs[kind][int(x), int(y)] += r.n
-    width = len(FEATURES) + CONTEXT
-    x, y, n = np.zeros((len(patterns), width)), np.zeros(len(patterns), dtype=int), np.zeros(len(patterns))
-    for i, (label, fs, k) in enumerate(patterns):
-        x[i, fs], y[i], n[i] = 1, label, k
-    # labels chosen by the patterns alone are known too well: half a count goes to all the others
-    target = np.full((len(patterns), NONE + 1), 0.1)
-    target[np.arange(len(patterns)), y] += 1
+                near = np.zeros((len(ns), 3, NONE + 1), dtype=int)
+                chain, skip = edges(ns)
+                label = [NONE if n.label is None else n.label for n in ns]
+                for i, j in chain:
+                    near[j, 0, label[i]] += 1
+                    near[i, 1, label[j]] += 1
+                for i, j in skip:
+                    if NONE not in (label[i], label[j]):
+                        near[j, 2, label[i]] += 1
+                        near[i, 2, label[j]] += 1
+                counts.update((y, n.features, tuple(x.ravel().tolist())) for y, n, x in zip(label, ns, near))
+        keys = list(counts)
+        ints = pa.list_(pa.int32())
+        columns = [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], ints), pa.array([k[2] for k in keys], ints), pa.array([counts[k] for k in keys], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["label", "features", "near", "n"])
+
+    schema = "label int, features array<int>, near array<int>, n long"
+    # patterns of a mention are few kinds of shapes
+    patterns = sorted(sample.mapInArrow(run, schema).groupBy("label", "features", "near").agg(F.sum("n").alias("n")).collect())
+    width, labels = len(FEATURES) + CONTEXT, NONE + 1
+    x, near = np.zeros((len(patterns), width)), np.zeros((len(patterns), 3, labels))
+    for i, r in enumerate(patterns):
+        x[i, r.features], near[i] = 1, np.reshape(r.near, (3, labels))
+    # labels chosen by the patterns alone are known too well: some of the count goes to all the others
+    target = np.full((len(patterns), labels), 0.1)
+    target[np.arange(len(patterns)), np.array([r.label for r in patterns], dtype=int)] += 1
     target /= target.sum(axis=1, keepdims=True)
-    w = np.zeros((width, NONE + 1))
-    share = np.sqrt(n) / max(np.sqrt(n).sum(), 1)
-    for _ in range(400):
-        z = x @ w
+    share = np.sqrt([r.n for r in patterns])
+    share /= max(share.sum(), 1)
+    return Field(*maximise(x, near, target, share))
+
+
+def maximise(x: np.ndarray, near: np.ndarray, target: np.ndarray, share: np.ndarray, steps: int = 400, rate: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, transition, skip weights) of the most penalised pseudo-likelihood, by gradient ascent.
+
+    A label's score is its node weights' sum, plus transitions from the label before and to the one after, plus skips, which have no direction.
+    """
+    labels = target.shape[1]
+    prior = SKIP_PRIOR * np.eye(labels)
+    w, chain, skip = np.zeros((x.shape[1], labels)), np.zeros((labels, labels)), prior.copy()
+    before, after, over = near[:, 0], near[:, 1], near[:, 2]
+    for _ in range(steps):
+        z = x @ w + before @ chain + after @ chain.T + over @ skip
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        w -= 2.0 * (x.T @ ((p - target) * share[:, None]) + 1e-4 * w)
-    both = pairs["c"] + pairs["c"].T
-    chain = np.log(both * both.sum() / np.outer(both.sum(1), both.sum(0)))
-    # what mentions alike have in common: labels observed on both sides
-    known = pairs["s"][:NONE, :NONE]
-    same, apart = np.trace(known), known.sum() - np.trace(known)
-    strength = float(np.clip(np.log(same / apart * (NONE - 1)), 1.0, 6.0))
-    return Field(w, np.clip(chain, -1, 1), strength * np.eye(NONE + 1))
+        error = (target - p) * share[:, None]
+        w += rate * (x.T @ error - 1e-4 * w)
+        chain += rate * (before.T @ error + error.T @ after - 1e-2 * chain)
+        both = over.T @ error
+        skip += rate * ((both + both.T) / 2 - 1e-2 * (skip - prior))
+    return w, chain, skip
 
 
 def find(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, base, spans): arrays of struct<kind, start, end>, by kind, then start; a row for each row of ``docs``."""
-    field = field or fit(docs, id_col=id_col, text_col=text_col)
+    field = field or fit(docs, text_col=text_col)
     shared = docs.sparkSession.sparkContext.broadcast(field)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 

@@ -30,9 +30,9 @@ WINDOW = 20
 #: Character classes: candidates (maximal runs) and the least window entropy in bits.
 CLASSES = {
     "hex": (r"(?<![0-9A-Fa-f])(?=[0-9A-Fa-f]*[0-9])[0-9A-Fa-f]{20,}", 3.0),
-    # one case and digits, not all of them hexadecimal
-    "upper": (r"(?<![A-Za-z0-9])(?=[A-Z]*[0-9])(?=[A-F0-9]*[G-Z])[A-Z0-9]{20,}+(?![a-z])", 3.6),
-    "lower": (r"(?<![A-Za-z0-9])(?=[a-z]*[0-9])(?=[a-f0-9]*[g-z])[a-z0-9]{20,}+(?![A-Z])", 3.6),
+    # one case and digits in several places, not all of them hexadecimal
+    "upper": (r"(?<![A-Za-z0-9])(?=[A-Z]*[0-9]+[A-Z]+[0-9])(?=[A-F0-9]*[G-Z])[A-Z0-9]{20,}+(?![a-z])", 3.6),
+    "lower": (r"(?<![A-Za-z0-9])(?=[a-z]*[0-9]+[a-z]+[0-9])(?=[a-f0-9]*[g-z])[a-z0-9]{20,}+(?![A-Z])", 3.6),
     "base64": (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[a-z0-9+/_=-]*[A-Z])(?=[A-Z0-9+/_=-]*[a-z])[A-Za-z0-9+/_=-]{20,}", 3.7),
 }
 #: Never secrets: identifiers with hyphens in the places of a UUID, paths of words, alphabets, placeholders.

@@ -1,24 +1,29 @@
 """Token counts of whole documents with a public tokenizer.
 
-Huge documents are encoded as overlapping chunks with offsets and spliced where
-both encodings have proved to agree (overlap resynchronisation); the overlap
-doubles until they do. Shorter ones are one chunk.
-
-A chunk is encoded by words between ASCII white space. The tokenizer of
+Huge documents are encoded by the library as overlapping chunks, with the library's offsets of each token
+(overlap resynchronisation). A chunk and a probe that begins before its end both encode their overlap: one knows what comes before,
+the other what follows. Where both have the same tokens at the same places on either side of a place at
+which a word of the tokenizer begins, the tokenizer is in the same state in both (it splits and merges from left to
+right, within words): so the text is cut there, the chunk's tokens up to it are final, and the next chunk begins at it. If
+there is no such place the overlap is widened, and in the end the chunk is doubled, so the work stays linear in the text.
+
+Shorter documents are one chunk, encoded by words between ASCII white space: the tokenizer of
 ``word_bpe_49k.json`` drops white space before it forms words, neither its
 normalisation nor its added tokens reach across it, so the ids of a text are
 those of its words in turn; ids of words are remembered within a worker, up to
-a fixed number of words. Tests hold all this against the library's result for
+a fixed number of words of a bounded length. Tests hold all this against the library's result for
 whole texts.
 
-Null texts count as empty, with no tokens; repeated rows come out as often as
+Null texts count as empty, with no tokens; rows with null ids keep them; repeated rows come out as often as
 they came in; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import utf8
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words, and pieces of words, remembered by a worker; beyond it the memory is emptied.
-MEMO_WORDS = 500_000
+#: Words, and pieces of words, remembered by a worker, beyond which the memory is emptied; the most bytes of those that are.
+MEMO_WORDS, MEMO_BYTES = 500_000, 64
 #: Words of printable ASCII and composed Latin-1 letters, which normalisation only lower-cases.
 SIMPLE = re.compile("[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
 #: The tokenizer's own split into pieces, for lower-case words of SIMPLE.
@@ -44,6 +49,15 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Encoded(NamedTuple):
+    """Tokens: ids, where they begin and end in the text, and the number of the tokenizer's word that each is in."""
+
+    ids: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    word: np.ndarray
+
+
 class WordEncoder:
     """Ids of words, little-endian unsigned 32-bit, with a bounded memory."""
 
@@ -62,24 +76,29 @@ class WordEncoder:
     def _piece(self, piece: str) -> bytes:
         packed = self.pieces.get(piece)
         if packed is None:
-            if len(self.pieces) >= MEMO_WORDS:
-                self.pieces.clear()
-            packed = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(piece.translate(self.table))], dtype="<u4").tobytes()
+            packed = np.array([t.id for t in self.model.tokenize(piece.translate(self.table))], dtype="<u4").tobytes()
+            if len(piece) <= MEMO_BYTES:
+                if len(self.pieces) >= MEMO_WORDS:
+                    self.pieces.clear()
+                self.pieces[piece] = packed
         return packed
 
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.memo) + len(words) > MEMO_WORDS:
-            self.memo.clear()
-        hard = []
+    def _new(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Packed ids of words; those of bounded length are remembered."""
+        found, hard = {}, []
         for w in words:
             s = w.decode("utf-8", "replace")
             if SIMPLE.fullmatch(s) and ("<|" not in s or not any(x in s for x in self.special)):
-                self.memo[w] = b"".join(map(self._piece, PIECES.findall(s.lower())))
+                found[w] = b"".join(map(self._piece, PIECES.findall(s.lower())))
             else:
                 hard.append((w, s))
         if hard:
             for (w, _), e in zip(hard, self.tokenizer.encode_batch([s for _, s in hard], add_special_tokens=False)):
-                self.memo[w] = np.array(e.ids, dtype="<u4").tobytes()
+                found[w] = np.array(e.ids, dtype="<u4").tobytes()
+        if len(self.memo) + len(found) > MEMO_WORDS:
+            self.memo.clear()
+        self.memo.update((w, p) for w, p in found.items() if len(w) <= MEMO_BYTES)
+        return found
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
         """Packed ids of each word."""
@@ -88,11 +107,8 @@ class WordEncoder:
             part = words[k : k + 50_000]
             got = list(map(self.memo.get, part))
             if None in got:
-                self._learn({w for w, g in zip(part, got) if g is None})
-                got = [self.memo.get(w) for w in part]
-                if None in got:  # the memory was emptied meanwhile
-                    self._learn(set(part))
-                    got = list(map(self.memo.__getitem__, part))
+                new = self._new({w for w, g in zip(part, got) if g is None})
+                got = [new[w] if g is None else g for w, g in zip(part, got)]
             out += got
         return out
 
@@ -100,13 +116,11 @@ class WordEncoder:
         """Packed ids of a text."""
         return b"".join(self.encode_words(text.split()))
 
-    def encode_with_offsets(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """ids; for each id where its word starts and ends, in bytes."""
-        spans = [m.span() for m in re.finditer(rb"[^ \t\n\r\x0b\x0c]+", text)]
-        packed = self.encode_words([text[a:b] for a, b in spans])
-        n = np.fromiter((len(p) // 4 for p in packed), dtype=np.int64, count=len(packed))
-        at = np.array(spans, dtype=np.int64).reshape(-1, 2)
-        return np.frombuffer(b"".join(packed), dtype="<u4"), np.repeat(at[:, 0], n), np.repeat(at[:, 1], n)
+    def encode_with_offsets(self, text: str) -> Encoded:
+        """The library's tokens of a text."""
+        e = self.tokenizer.encode(text, add_special_tokens=False)
+        spans = np.array(e.offsets, dtype=np.int64).reshape(-1, 2)
+        return Encoded(np.array(e.ids, dtype=np.uint32), spans[:, 0], spans[:, 1], np.array([-1 if w is None else w for w in e.word_ids], dtype=np.int64))
 
 
 @lru_cache(2)
@@ -120,66 +134,57 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def splice(text: bytes, encode, chunk: int, overlap: int, agree: int = 4) -> np.ndarray:
-    """Ids of ``text`` from overlapping chunks.
+def inert(text: str, at: int) -> bool:
+    """Whether normalisation treats what is left and right of a place apart."""
+    left, right = text[at - 1 : at], text[at : at + 1]
+    return not unicodedata.combining(right) and unicodedata.normalize("NFC", left + right) == unicodedata.normalize("NFC", left) + unicodedata.normalize("NFC", right)
 
-    ``encode(bytes)`` gives ids and the bytes where each id's unit starts and
-    ends. Two encodings are spliced inside their overlap, after the first
-    ``agree`` ids in a row at equal absolute offsets which both have, not touching
-    either end of the overlap and starting after white space: left of them the earlier chunk, which has
-    seen what comes before, is right; right of them the later one, which has seen what follows.
-    If there is no such place the overlap is doubled, up to the
-    whole text.
-    """
-    if len(text) <= chunk:
-        return encode(text)[0]
-    white = b" \t\n\r\x0b\x0c"
 
-    def cut(at: int) -> int:
-        """No cut within a character."""
-        while at < len(text) and text[at] & 0xC0 == 0x80:
-            at += 1
-        return at
+def common_boundary(text: str, one: Encoded, start: int, end: int, other: Encoded, begin: int, agree: int) -> int | None:
+    """The last place, in a text's characters, where both encodings begin a word and have the same ``agree`` tokens on either side.
 
+    ``one`` encodes the text from ``start`` to ``end``, ``other`` from ``begin``, which lies between, to beyond ``end``. What touches
+    an end of either isn't compared.
+    """
+    first = int(np.searchsorted(one.begin + start, begin, side="right"))
+    a = np.stack([one.ids[first:].astype(np.int64), one.begin[first:] + start, one.end[first:] + start])
+    a = a[:, a[2] < end]
+    n = a.shape[1]
+    if n < 2 * agree:
+        return None
+    # each token's place among the other's, where it has one that is the same
+    at = np.minimum(np.searchsorted(other.begin + begin, a[1]), max(len(other.ids) - 1, 0))
+    same = (other.ids[at] == a[0]) & (other.begin[at] + begin == a[1]) & (other.end[at] + begin == a[2])
+    same &= np.r_[True, at[1:] == at[:-1] + 1]
+    run = np.convolve(same, np.ones(2 * agree, dtype=int), "valid") == 2 * agree
+    for k in np.flatnonzero(run)[::-1].tolist():
+        i, j = first + k + agree, int(at[k + agree])
+        place = int(a[1, k + agree])
+        if one.word[i] != one.word[i - 1] and other.word[j] != other.word[j - 1] and a[2, k + agree - 1] <= place and inert(text, place):
+            return place
+    return None
+
+
+def splice(text: str, encode, chunk: int, overlap: int, agree: int = 4) -> np.ndarray:
+    """Ids of ``text`` from overlapping chunks of characters; see the module. ``encode(str)`` gives an ``Encoded``."""
     out: list[np.ndarray] = []
-    start, skip = 0, 0  # the chunk's first byte; its ids before ``skip`` are out already
-    ids, a, b = encode(text[:cut(chunk)])
-    end = cut(chunk)
+    start, size = 0, chunk
     while True:
+        end = start + size
+        own = encode(text[start:end])
         if end >= len(text):
-            out.append(ids[skip:])
+            out.append(own.ids)
             return np.concatenate(out)
-        wide = overlap
-        while True:
-            begin = cut(max(start, end - wide))
-            until = cut(min(len(text), begin + chunk + wide))
-            ids2, a2, b2 = encode(text[begin:until])
-            left = np.flatnonzero((a + start > begin) & (b + start < end))
-            place = None
-            if len(left) >= agree:
-                first = int(left[0])
-                n = len(left)
-                # the same ids at the same places, in both
-                right0 = int(np.searchsorted(a2 + begin, a[first] + start))
-                m = min(n, len(ids2) - right0)
-                same = (ids[first : first + m] == ids2[right0 : right0 + m]) & (a[first : first + m] + start == a2[right0 : right0 + m] + begin)
-                same &= b[first : first + m] + start == b2[right0 : right0 + m] + begin
-                run = np.convolve(same, np.ones(agree, dtype=int), "valid") == agree if m >= agree else np.zeros(0, bool)
-                for k in np.flatnonzero(run):
-                    here = int(a[first + k]) + start
-                    if text[here - 1] in white and (k == 0 and first == 0 or a[first + k - 1] != a[first + k]) and first + k >= skip:
-                        place = (first + int(k), right0 + int(k))
-                        break
-            if place is not None:
-                break
-            if begin == start:  # the overlap is the whole chunk: take one chunk of all up to here
-                until = cut(min(len(text), end + chunk))
-                ids2, a2, b2 = encode(text[start:until])
-                begin, place = start, (skip, skip)
-                break
-            wide *= 2
-        out.append(ids[skip : place[0]])
-        ids, a, b, start, skip, end = ids2, a2, b2, begin, place[1], until
+        wide, place = overlap, None
+        while place is None and wide < 2 * size:
+            begin = max(start, end - wide)
+            place = common_boundary(text, own, start, end, encode(text[begin : end + wide]), begin, agree)
+            wide *= 8
+        if place is None or place <= start:
+            size *= 2  # nothing to splice at: a longer chunk
+            continue
+        out.append(own.ids[: int(np.searchsorted(own.begin + start, place))])
+        start, size = place, chunk
 
 
 def count_tokens(
@@ -194,10 +199,10 @@ def count_tokens(
         for b in batches:
             size, count, chunks = [], [], []
             for t in b.column(1):
-                text = t.as_buffer().to_pybytes()
-                size.append(len(text))
-                if len(text) <= chunk:
-                    count.append(len(enc.encode(text)) // 4)
+                data = t.as_buffer().to_pybytes()
+                size.append(len(data))
+                if len(data) <= chunk:
+                    count.append(len(enc.encode(data)) // 4)
                     chunks.append(1)
                 else:
                     calls = [0]
@@ -206,7 +211,7 @@ def count_tokens(
                         calls[0] += 1
                         return enc.encode_with_offsets(part)
 
-                    count.append(len(splice(text, encode, chunk, overlap)))
+                    count.append(len(splice(data.decode("utf-8", "replace"), encode, chunk, overlap)))
                     chunks.append(calls[0])
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(size, pa.int64()), pa.array(count, pa.int64()), pa.array([c > limit for c in count], pa.bool_()), pa.array(chunks, pa.int64())],

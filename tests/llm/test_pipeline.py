@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline
 from quillfin.llm import toxicity
-from quillfin.llm import neardup
+from quillfin.llm import neardup, simhash
 from tests.llm.test_operators import EDGE, SCHEMA, brute_secrets, packed_ok, rows
 
 
@@ -152,6 +152,29 @@ def test_stages_on_edge_cases(spark, sf, texts):
             assert {r.doc_id for r in out.collect()} <= {i for i, _ in texts}
 
 
+CLASHING = ["_key", "_count", "_score", "secret_spans", "secret_spans__base", "row", "key", "KEPT", "count", "component", "node", "base", "more", "spans", "a.b", "r", "h", "i", "n"]
+
+
+def test_no_column_name_clashes(spark, sf):
+    """All stages but the last give back columns of any name or type as they were."""
+    from pyspark.sql import functions as F
+
+    texts = [(1, "one two three four five six"), (2, "one two three four five six"), (2, "one two three four five six"), (3, "password=abcdef123456 is a secret here"), (None, None), (4, "")]
+    docs = spark.createDataFrame(rows(texts), "doc_id long, text string, lang string, source string, n_chars long, id string, fp string, bytes string, key2 string").drop("key2")
+    docs = docs.select("*", *(F.lit(f"x{k}").alias(c) for k, c in enumerate(CLASHING)), F.create_map(F.lit("a"), F.lit(1)).alias("m"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        if name == "packing":
+            assert {r.doc_id for r in out.collect()} == {1, 3, 4}
+            break
+        assert out.schema.names == docs.schema.names
+        for r in out.collect():
+            assert [r[c] for c in CLASHING] == [f"x{k}" for k in range(len(CLASHING))] and r["m"] == {"a": 1}
+        docs = out
+    once = simhash.keep_one(docs)
+    assert once.columns == docs.columns and once.count() == docs.count()
+
+
 def test_masked_text(spark, sf):
     docs = spark.createDataFrame(rows([(1, "password=abcdef123456"), (2, None)]), SCHEMA)
     out = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.mask_secrets(spark, docs, sf).collect()}
