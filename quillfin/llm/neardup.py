@@ -25,7 +25,6 @@ types, come out as they were. An empty table gives an empty result.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -39,6 +38,8 @@ WORDS, BITS, SHINGLE, SIMILARITY = 6, 23, 5, 0.8
 ROUNDS, FEW = 4, 0.01
 #: Equal least hashes of pairs that the rounds look at.
 AGREE = 2
+#: Bins of hashes that bound what two sets share; a power of two.
+BINS = 128
 #: Sampled nodes, and the most shingles taken from them.
 SAMPLE, COMMON = 4096, 200_000
 _U = np.uint64
@@ -140,7 +141,7 @@ def verified_links(shared: DataFrame, signed: DataFrame, sets: DataFrame, simila
     are changes the work, not the result.
     """
     spread = shared.groupBy("node").agg(F.sum("n").alias("spread"))
-    nodes = checkpoint(spread.join(sets.select("node", F.octet_length("grams").alias("size")), "node"))
+    nodes = checkpoint(spread.join(sets.select("node", "size"), "node"))
     at = nodes.withColumn("degree", F.lit(0).cast("long")).withColumn("component", F.col("node"))
     least = signed.select("node", "least")
     few = nodes.count() * FEW
@@ -166,7 +167,7 @@ def verified_links(shared: DataFrame, signed: DataFrame, sets: DataFrame, simila
         at = checkpoint(joined.select("node", "spread", "size", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"), F.coalesce("component", "node").alias("component")))
         if turn and new.count() <= few:
             break
-    rest = verified(prefix_pairs(sets, at.select("node", "component"), similarity).toDF("node", "centre"), sets, similarity).where("alike")
+    rest = verified(bounded(prefix_pairs(sets, at.select("node", "component"), similarity).toDF("node", "centre"), sets, similarity), sets, similarity).where("alike")
     return links.unionAll(checkpoint(rest.select(F.col("node").alias("a"), F.col("centre").alias("b"))))
 
 
@@ -179,6 +180,15 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.select("node", "centre", (jaccard("own", "grams") >= similarity).alias("alike"))
 
 
+def bounded(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sets may be alike: two sets share no more than, by bins of their hashes, the lesser of both counts."""
+    pairs = checkpoint(pairs)
+    bins = sets.select("node", "size", "bins").join(sized(pairs.select("node").union(pairs.select("centre")).distinct()), "node", "left_semi")
+    both = pairs.join(bins, "node").join(bins.toDF("centre", "size2", "bins2"), "centre")
+    most = F.aggregate(F.zip_with("bins", "bins2", lambda a, b: F.least(a, b)), F.lit(0), lambda n, x: n + x)
+    return both.where(most >= similarity / (1 + similarity) * (F.col("size") + F.col("size2")) - 1e-6).select("node", "centre")
+
+
 def common_grams(sets: DataFrame, components: DataFrame) -> np.ndarray:
     """Shingles of several components in a sample, at most ``COMMON``; any choice gives the same pairs."""
     chosen = components.orderBy(F.xxhash64("node"), "node").limit(SAMPLE)
@@ -186,7 +196,7 @@ def common_grams(sets: DataFrame, components: DataFrame) -> np.ndarray:
     def run(batches):
         for b in batches:
             for node, grams in zip(b.column(0).to_pylist(), b.column(1)):
-                g = np.frombuffer(grams.as_buffer(), dtype=np.int64)
+                g = grams.values.to_numpy()
                 for k in range(0, len(g), 65_536):
                     part = g[k : k + 65_536]
                     yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), node))], names=["gram", "component"])
@@ -217,7 +227,7 @@ def prefix_pairs(sets: DataFrame, components: DataFrame, similarity: float) -> D
                 p = b.slice(k, 256)
                 first, size = [], []
                 for grams in p.column(1):
-                    g = np.frombuffer(grams.as_buffer(), dtype=np.int64)
+                    g = grams.values.to_numpy()
                     keep = len(g) - int(np.ceil(similarity * len(g) - 1e-9)) + 1
                     is_late = late[np.minimum(np.searchsorted(late, g), len(late) - 1)] == g if len(late) else np.zeros(len(g), bool)
                     first.append(np.concatenate([g[~is_late], g[is_late]])[:keep])
@@ -225,11 +235,13 @@ def prefix_pairs(sets: DataFrame, components: DataFrame, similarity: float) -> D
                 yield pa.RecordBatch.from_arrays([p.column(0), pa.array(size, pa.int32()), pa.array(first, pa.list_(pa.int64()))], names=["node", "size", "first"])
 
     prefixes = sets.select("node", "grams").mapInArrow(run, "node long, size int, first array<long>")
-    rows = prefixes.join(components, "node").select("node", "size", "component", F.posexplode("first").alias("at", "gram"))
+    prefixes = checkpoint(prefixes.join(components, "node"))
+    rows = prefixes.select("node", "size", "component", F.posexplode("first").alias("at", "gram"))
     rows = rows.select("gram", "node", "component", "size", (F.col("size") - F.col("at")).alias("left"))
-    each = rows.groupBy("gram", "component").agg(F.count("*").alias("n"))
-    open_ = each.groupBy("gram").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("several")).where("several > 1")
-    rows = checkpoint(rows.join(open_.select("gram", "main"), "gram"))
+    several = rows.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("gram")
+    rows = checkpoint(rows.join(several, "gram"))
+    main = rows.groupBy("gram", "component").agg(F.count("*").alias("n")).groupBy("gram").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
+    rows = checkpoint(rows.join(main, "gram"))
     most = (1 + similarity) / similarity * F.col("left") - F.col("size") + 1e-6
     x = rows.where(most >= F.col("size")).alias("x")
     y = rows.alias("y")
@@ -242,32 +254,25 @@ def prefix_pairs(sets: DataFrame, components: DataFrame, similarity: float) -> D
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
-    """(node, grams: sorted hashes of five-word shingles, packed) of (node, text)."""
+    """(node, grams: sorted hashes of five-word shingles, size, bins: how many hashes are in each of ``BINS``) of (node, text)."""
     rows = texts.select("node", utf8("text").alias("bytes"))
 
     def run(batches):
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 p = b.slice(k, 256)
-                grams = [_hashes(t.as_buffer().to_pybytes().lower().split(), SHINGLE).tobytes() for t in p.column(1)]
-                yield pa.RecordBatch.from_arrays([p.column(0), pa.array(grams, pa.binary())], names=["node", "grams"])
+                grams = [_hashes(t.as_buffer().to_pybytes().lower().split(), SHINGLE).view(np.int64) for t in p.column(1)]
+                bins = [np.bincount(g & (BINS - 1), minlength=BINS) for g in grams]
+                columns = [p.column(0), pa.array(grams, pa.list_(pa.int64())), pa.array([len(g) for g in grams], pa.int32()), pa.array(bins, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "grams", "size", "bins"])
 
-    return rows.mapInArrow(run, "node long, grams binary")
+    return rows.mapInArrow(run, "node long, grams array<long>, size int, bins array<int>")
 
 
 def jaccard(left: str, right: str):
-    """Jaccard similarity of two columns of packed sets."""
-
-    @F.pandas_udf("double")
-    def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b):
-            x, y = np.frombuffer(x, dtype=_U), np.frombuffer(y, dtype=_U)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(both / (len(x) + len(y) - both))
-        return pd.Series(out, dtype="float64")
-
-    return similarity(F.col(left), F.col(right))
+    """Jaccard similarity of two columns of sets."""
+    both = F.size(F.array_intersect(left, right))
+    return both / (F.size(left) + F.size(right) - both)
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
