@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from itertools import chain
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Source spellings of each action, owner and asset type, words that are no names, forms of tickers in names.
 ACTIONS = {
@@ -95,10 +97,15 @@ def confidence(found: Column, vision: Column) -> Column:
     return F.when(F.size(found) == 0, clean_row).otherwise(0.5)
 
 
+@F.pandas_udf(StringType())
+def folded(names: pd.Series) -> pd.Series:
+    """Names with accents taken off (compatibility decomposition without combining marks)."""
+    return names.str.normalize("NFKD").str.replace("[\u0300-\u036f]", "", regex=True)
+
+
 def name_tokens(name: Column) -> Column:
     """Lower-case words of a name without accents, titles and suffixes."""
-    plain = F.translate(F.lower(F.coalesce(name, F.lit(""))), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    words = F.regexp_extract_all(plain, F.lit(r"[a-z][a-z'\-]*"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(folded(F.coalesce(name, F.lit("")))), F.lit(r"[a-z][a-z'\-]*"), F.lit(0))
     return F.transform(F.filter(words, lambda w: ~w.isin(*NOISE)), lambda w: F.replace(w, F.lit("'")))
 
 

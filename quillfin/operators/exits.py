@@ -104,7 +104,7 @@ def simulate(signals: DataFrame, bars: DataFrame, rules: Rule | tuple[Rule, ...]
     last = bars.where("c is not null").groupBy("symbol").agg(F.max("i").alias("last"), F.max_by("c", "i").alias("last_c"))
     ends = F.least(F.col("d0") + F.col("hold"), F.coalesce("sale", F.lit(1 << 30)))
     after = bars.where("c is not null").select("symbol", F.col("i").alias("v"))
-    sig = sig.join(F.broadcast(last), "symbol").withColumn("end", ends)
+    sig = sig.join(last, "symbol").withColumn("end", ends)
     # the first usable bar at or after the end
     reach = after.select("symbol", "v", F.lead("v").over(Window.partitionBy("symbol").orderBy("v")).alias("nv"))
     spans = reach.select("symbol", F.explode(F.sequence(F.col("v"), F.greatest(F.coalesce(F.col("nv") - 1, F.col("v")), F.col("v")))).alias("end"), "v", F.coalesce("nv", "v").alias("nv"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import exits as ex
 from ..operators.asof import asof
+from ..operators.calendar import next_day_map
 from ..operators.merge import merge
 from . import backtest as bt
 
@@ -29,8 +30,10 @@ def exit_report(rows: DataFrame) -> DataFrame:
 
 def position_exits(positions: DataFrame, bars: DataFrame, days: DataFrame, n_days: int, rule: ex.Rule) -> DataFrame:
     """Exits of open positions under a rule from their own fill, bought on the first trading day on or after the purchase date."""
-    own = positions.where("status = 'open'").select(F.col("position_id").alias("trade_id"), F.col("ticker").alias("symbol"), "buy_date", "buy_price").withColumn("k", F.lit(1))
-    placed = asof(own, days.withColumn("k", F.lit(1)), "k", "buy_date", ["i"], forward=True).where("asof_i is not null").withColumn("d0", F.col("asof_i"))
+    own = positions.where("status = 'open'").select(F.col("position_id").alias("trade_id"), F.col("ticker").alias("symbol"), "buy_date", "buy_price")
+    ahead = next_day_map(days).select(F.col("date").alias("buy_date"), F.col("next_i").alias("d0"))
+    before = days.agg(F.min("date").alias("first_day"), F.min("i").alias("first_i"))
+    placed = own.join(F.broadcast(before)).join(F.broadcast(ahead), "buy_date", "left").withColumn("d0", F.when(F.col("buy_date") < F.col("first_day"), F.col("first_i")).otherwise(F.col("d0"))).where("d0 is not null")
     return ex.simulate(placed.select("trade_id", "symbol", "d0", "buy_price"), bars, rule, n_days, entry_col="buy_price", intraday=True).withColumnRenamed("trade_id", "position_id")
 
 
@@ -72,8 +75,8 @@ def close_positions(positions: DataFrame, closed: DataFrame) -> DataFrame:
 
 def checked_proposals(proposals: DataFrame, members: DataFrame, watchlist: DataFrame) -> DataFrame:
     """``proposals`` (proposal_id, kind, member_id, evidence) with ``kind`` lowered to ``note`` and the reason, where it can't be applied."""
-    active = F.broadcast(watchlist.where("active = 1").select("member_id", F.lit(True).alias("_w")))
-    known = F.broadcast(members.select("member_id", F.lit(True).alias("_k")))
+    active = watchlist.where("active = 1").select("member_id", F.lit(True).alias("_w"))
+    known = members.select("member_id", F.lit(True).alias("_k"))
     rows = proposals.join(known, "member_id", "left").join(active, "member_id", "left")
     first = rows.groupBy("kind", "member_id").agg(F.min("proposal_id").alias("_first"))
     rows = rows.join(first, ["kind", "member_id"], "left")

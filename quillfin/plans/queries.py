@@ -18,7 +18,7 @@ from . import facts as ft
 from . import outcomes as oc
 from . import rankings as rk
 from . import reads as rd
-from .oracles import H, K, sql
+from .oracles import COPY, H, K, shrunk, sql
 
 REGISTRY: dict[str, tuple[Callable[[Fixture], DataFrame], str | None]] = {}
 ATTENTION = ["M1", "M2", "M3"]
@@ -42,7 +42,11 @@ def s6(*names: str) -> str:
 
 
 def outcomes_of(fx: Fixture) -> DataFrame:
-    return oc.compute(fx["trades"], fx["filings"], fx["prices"])
+    return fx.keep("outcomes", lambda: oc.compute(fx["trades"], fx["filings"], fx["prices"]))
+
+
+def days_of(fx: Fixture) -> DataFrame:
+    return fx.keep("days", lambda: trading_days(fx["prices"]))
 
 
 @query("n03_trading_calendar", "SELECT date, i FROM cal")
@@ -118,8 +122,19 @@ def _(fx):
 
 def signals_of(fx: Fixture):
     out = outcomes_of(fx)
-    sales = ex.sale_days(with_entry(oc.in_scope(fx["trades"], fx["filings"]), trading_days(fx["prices"])))
-    return out, ex.signals(out, fx["trades"]), sales
+    sales = fx.keep("sales", lambda: ex.sale_days(with_entry(oc.in_scope(fx["trades"], fx["filings"]), days_of(fx))))
+    return out, fx.keep("signals", lambda: ex.signals(out, fx["trades"])), sales
+
+
+def grid_of(fx: Fixture) -> DataFrame:
+    """Every signal under the grid's rules and, last, a hold of one day."""
+    _, sig, sales = signals_of(fx)
+    return fx.keep("grid", lambda: bt.evaluate_grid(sig, sales, fx["prices"], (*ex.GRID, ex.Rule("fixed_hold", 1))))
+
+
+def hold_20_of(fx: Fixture) -> DataFrame:
+    _, sig, sales = signals_of(fx)
+    return fx.keep("hold_20", lambda: bt.evaluate_grid(sig, sales, fx["prices"], (ex.Rule("fixed_hold", 20),)))
 
 
 SIM = """, sig AS (SELECT trade_id, symbol, d0 FROM (SELECT o.*, row_number() OVER (PARTITION BY doc_id, symbol ORDER BY d0, trade_id) AS rn FROM outcomes o WHERE copyable) WHERE rn = 1),
@@ -142,7 +157,7 @@ SELECT trade_id, round(entry, 6) AS entry, CAST(coalesce(exit_i, CASE WHEN last
 def simulated(rule):
     def run(fx):
         _, sig, sales = signals_of(fx)
-        days = trading_days(fx["prices"])
+        days = days_of(fx)
         bars = ex.series(fx["prices"], days)
         n_days = int(days.agg(F.max("i")).first()[0]) + 1
         return ex.simulate(ex.next_sale(sig, sales), bars, rule, n_days).select("trade_id", *r6("entry"), "exit_i", *r6("exit_price"), "exit_at", "reason")
@@ -154,49 +169,89 @@ NONE = "CAST(NULL AS DOUBLE)"
 query("d22_exit_fixed_hold", SIM.format(hold=20, stop=NONE, target=NONE))(simulated(ex.Rule("fixed_hold", 20)))
 query("d22_exit_stop_target", SIM.format(hold=60, stop="entry * (1 - 0.08::DOUBLE)", target="entry * (1 + 0.2::DOUBLE)"))(simulated(ex.Rule("stop_target", stop=0.08, target=0.2)))
 query("d22_exit_trailing_stop", SIM.format(hold=60, stop="coalesce(high, entry) * (1 - 0.1::DOUBLE)", target=NONE))(simulated(ex.Rule("trailing_stop", pct=0.1)))
-query("d22_exit_atr_stop")(simulated(ex.Rule("atr_stop", mult=3)))
-query("d22_exit_member_sale")(simulated(ex.Rule("member_sale")))
+#: True ranges: mean of the last 14 with close and high before the entry day.
+ATR = """, tr AS (SELECT symbol, i, greatest(h, p) - least(l, p) AS tr, row_number() OVER (PARTITION BY symbol ORDER BY i) AS k FROM (SELECT *, lag(c) OVER (PARTITION BY symbol ORDER BY i) AS p FROM ser WHERE c IS NOT NULL AND h IS NOT NULL)),
+atr AS (SELECT symbol, i, CASE WHEN k > 14 THEN avg(tr) OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) END AS atr FROM tr),
+lvl0 AS (SELECT p.*, a.atr FROM path p LEFT JOIN (SELECT g.trade_id, a.atr FROM sig g ASOF LEFT JOIN atr a ON a.symbol = g.symbol AND a.i < g.d0) a USING (trade_id)),"""
+SIM_ATR = SIM.replace("lvl AS (SELECT *,", ATR.removeprefix(", ") + "\nlvl AS (SELECT *,").replace("FROM path),\nact", "FROM lvl0),\nact")
+query("d22_exit_atr_stop", SIM_ATR.format(hold=60, stop="coalesce(high, entry) - 3 * atr", target=NONE))(simulated(ex.Rule("atr_stop", mult=3)))
+SALES = """, own AS (SELECT o.trade_id, o.symbol, o.member_id, o.d0 FROM outcomes o JOIN (SELECT trade_id FROM (SELECT o.*, row_number() OVER (PARTITION BY doc_id, symbol ORDER BY d0, trade_id) AS rn FROM outcomes o WHERE copyable) WHERE rn = 1) USING (trade_id)),
+sold AS (SELECT DISTINCT member_id, symbol, d0 AS s FROM ent WHERE action IN ('SELL', 'SELL_PARTIAL') AND member_id IS NOT NULL),
+due AS (SELECT g.trade_id, min(s.s) AS sale FROM own g JOIN sold s ON s.member_id = g.member_id AND s.symbol = g.symbol AND s.s > g.d0 GROUP BY g.trade_id),
+lim AS (SELECT g.trade_id, least(g.d0 + 60, coalesce(sale, 1000000)) AS fin, sale FROM own g LEFT JOIN due USING (trade_id)),"""
+SIM_SALE = (
+    SIM.replace("lvl AS (SELECT *,", SALES.removeprefix(", ") + "\nlvl AS (SELECT path.*, lim.fin, lim.sale,").replace("FROM path),\nact", "FROM path JOIN lim USING (trade_id)),\nact")
+    .replace("CASE WHEN i > d0 + {hold} THEN 'hold' WHEN", "CASE WHEN i > fin OR i = sale THEN CASE WHEN fin = sale THEN 'sale' ELSE 'hold' END WHEN")
+    .replace("CASE WHEN i > d0 + {hold} THEN CASE", "CASE WHEN i > fin OR i = sale THEN CASE").replace("CASE WHEN i > d0 + {hold} THEN coalesce", "CASE WHEN i > fin OR i = sale THEN coalesce")
+)
+query("d22_exit_member_sale", SIM_SALE.format(hold=60, stop=NONE, target=NONE))(simulated(ex.Rule("member_sale")))
+
+
+COST = """, res AS (SELECT trade_id, entry * (1 + slip) AS entry_net, exit_price * (1 - slip) AS exit_net, exit_i, reason, (CASE exit_at WHEN 'open' THEN x.o ELSE x.c END) / e.o - 1 AS spy
+  FROM ({sim}) r JOIN (SELECT trade_id, symbol, d0 FROM sig) g USING (trade_id) JOIN (SELECT trade_id, CASE mcap_bucket WHEN 'mega' THEN 5 WHEN 'large' THEN 10 WHEN 'mid' THEN 20 WHEN 'small' THEN 40 ELSE 75 END / 10000::DOUBLE AS slip FROM trades) t USING (trade_id)
+  LEFT JOIN ser e ON e.symbol = 'SPY' AND e.i = g.d0 LEFT JOIN ser x ON x.symbol = 'SPY' AND x.i = r.exit_i)
+SELECT trade_id, exit_i, reason, round(entry_net, 6) AS entry_net, round(exit_net, 6) AS exit_net, round(exit_net / entry_net - 1, 6) AS ret, round(exit_net / entry_net - 1 - spy, 6) AS abn FROM res"""
+HOLD_20 = SIM.format(hold=20, stop=NONE, target=NONE)
+_cut = HOLD_20.index("\nSELECT trade_id, round(entry, 6)")
 
 
-@query("d25_evaluated_hold")
+@query("d25_evaluated_hold", HOLD_20[:_cut] + COST.format(sim=HOLD_20[_cut:].replace("round(entry, 6) AS entry", "entry").replace("round(coalesce(price, last_c), 6)", "coalesce(price, last_c)")))
 def _(fx):
-    _, sig, sales = signals_of(fx)
-    return bt.evaluate_grid(sig, sales, fx["prices"], (ex.Rule("fixed_hold", 20),)).select("trade_id", "exit_i", "reason", *r6("entry_net", "exit_net", "ret", "abn"))
+    return hold_20_of(fx).select("trade_id", "exit_i", "reason", *r6("entry_net", "exit_net", "ret", "abn"))
+
+
+QUARTERS = """SELECT CAST(date_trunc('quarter', date) AS DATE) AS q, min(i) AS start, max(i) AS "end", min(date) AS start_date, CAST(min(date) - INTERVAL 24 MONTH AS DATE) >= (SELECT min(date) FROM cal) AND max(i) + 60 < (SELECT count(*) FROM cal) AS is_test FROM cal GROUP BY 1"""
 
 
-@query("d29_quarters")
+@query("d29_quarters", f'SELECT q, CAST(start AS INT) AS start, CAST("end" AS INT) AS "end", start_date, is_test FROM ({QUARTERS})')
 def _(fx):
-    return bt.quarters(trading_days(fx["prices"]))
+    return bt.quarters(days_of(fx))
 
 
 @query("d27_ledger_hold_20")
 def _(fx):
-    _, sig, sales = signals_of(fx)
-    days, _ = ex.benchmark(fx["prices"])
-    trades = bt.evaluate_grid(sig, sales, fx["prices"], (ex.Rule("fixed_hold", 20),)).withColumn("book", F.lit("hold_20"))
-    return bt.ledger(trades, ex.series(fx["prices"], days)).select("book", "kind", "i", "trade_id", *r6("amount", "equity", "drawdown"))
+    trades = hold_20_of(fx).withColumn("book", F.lit("hold_20"))
+    return bt.ledger(trades, ex.series(fx["prices"], days_of(fx))).select("book", "kind", "i", "trade_id", *r6("amount", "equity", "drawdown"))
 
 
-@query("d26_ranked_universe")
+@query("d26_ranked_universe", f""", qs AS (SELECT q, c.date AS cut FROM ({QUARTERS}) s JOIN cal c ON c.i = s.start - 20 WHERE s.start > 20),
+per AS (SELECT q, member_id, doc_id, avg(abn) AS abn FROM matured m JOIN qs ON m.d0_date < qs.cut WHERE horizon = 20 AND member_id IS NOT NULL GROUP BY ALL),
+b AS (SELECT q, max(CASE WHEN r = CAST(round_even(0.01::DOUBLE * (n - 1), 0) AS BIGINT) THEN abn END) AS low, max(CASE WHEN r = CAST(round_even(0.99::DOUBLE * (n - 1), 0) AS BIGINT) THEN abn END) AS high
+  FROM (SELECT q, abn, row_number() OVER (PARTITION BY q ORDER BY abn) - 1 AS r, count(*) OVER (PARTITION BY q) AS n FROM per) GROUP BY q),
+g AS (SELECT q, member_id, count(*) AS n, avg(least(greatest(abn, low), high)) AS m, coalesce(var_samp(least(greatest(abn, low), high)), 0) AS v FROM per JOIN b USING (q) GROUP BY q, member_id),
+z AS ({shrunk("g", "q", "n", "m", "v", "score")}) SELECT q, member_id FROM z WHERE n >= 20 AND score > 0""")
 def _(fx):
-    days = trading_days(fx["prices"])
+    days = days_of(fx)
     return bt.ranked_universe(outcomes_of(fx), bt.quarters(days), days)
 
 
+def books_of(fx: Fixture) -> DataFrame:
+    def make():
+        _, sig, _ = signals_of(fx)
+        days, grid = days_of(fx), grid_of(fx)
+        q = bt.quarters(days)
+        number = {h: next(k for k, r in enumerate((*ex.GRID, ex.Rule("fixed_hold", 1))) if r == ex.Rule("fixed_hold", h)) for h in bt.BASELINES}
+        held = F.coalesce(*(F.when(F.col("rule_no") == k, h) for h, k in number.items()))
+        base = grid.where(F.col("rule_no").isin(*number.values())).withColumn("rule_no", held)
+        trades, _ = bt.walk_forward(grid.where(F.col("rule_no") < len(ex.GRID)), base, sig, q)
+        trades = fx.keep("book_trades", lambda: trades)
+        events = fx.keep("book_events", lambda: bt.ledger(trades, ex.series(fx["prices"], days)))
+        return bt.book_rows(trades, events, q, days)
+
+    return fx.keep("books", make)
+
+
 @query("d31_walk_forward_books")
 def _(fx):
-    out, sig, sales = signals_of(fx)
-    days, _ = ex.benchmark(fx["prices"])
-    q = bt.quarters(days)
-    grid = bt.evaluate_grid(sig, sales, fx["prices"])
-    base = bt.evaluate_grid(sig, sales, fx["prices"], tuple(ex.Rule("fixed_hold", h) for h in bt.BASELINES))
-    base = base.withColumn("rule_no", F.element_at(F.array(*(F.lit(h) for h in bt.BASELINES)), F.col("rule_no") + 1))
-    trades, _ = bt.walk_forward(grid, base, sig, q)
-    events = bt.ledger(trades, ex.series(fx["prices"], days))
-    return bt.book_rows(trades, events, q, days).select("book", "q", "n_filings", *r6("mean_ret", "mean_abn_ret", "hit_rate", "max_drawdown", "total_return"), "skipped_cash")
+    return books_of(fx).select("book", "q", "n_filings", *r6("mean_ret", "mean_abn_ret", "hit_rate", "max_drawdown", "total_return"), "skipped_cash")
+
+
+@query("d53_exit_report")
+def _(fx):
+    return ft.exit_report(books_of(fx)).select("book", "n_filings", *r6("mean_abn_ret"), "beaten", "confidence")
 
 
-@query("d34_engine_self_check")
+@query("d34_engine_self_check", "SELECT horizon, count(*) AS n, 0::DOUBLE AS max_diff FROM matured GROUP BY horizon")
 def _(fx):
     return bt.self_check(outcomes_of(fx), fx["prices"])
 
@@ -306,9 +361,17 @@ def _(fx):
     return fx["runs"].orderBy(F.desc("run_id")).limit(50).select("run_id", "status")
 
 
-@query("n08_schedule_gaps")
+EASTERN = """CASE WHEN {t} >= CAST(make_date(year({t}), 4, 1) + CAST((7 - dayofweek(make_date(year({t}), 4, 1))) % 7 AS INT) AS TIMESTAMP) + to_hours(7)
+  AND {t} < CAST(make_date(year({t}), 10, 31) - CAST(dayofweek(make_date(year({t}), 10, 31)) AS INT) AS TIMESTAMP) + to_hours(6) THEN {t} - to_hours(4) ELSE {t} - to_hours(5) END"""
+
+
+@query("n08_schedule_gaps", """, part_ AS (SELECT run_id, started_at - to_days(9000) AS started_at FROM runs WHERE run_id % 7 < 4), g AS (SELECT run_id, started_at, lag(started_at) OVER (ORDER BY started_at, run_id) AS b FROM part_),
+m AS (SELECT run_id, epoch_us(started_at) - epoch_us(b) AS us, CASE WHEN dayofweek(CAST(""" + EASTERN.format(t="b") + """ AS DATE)) IN (0, 6) THEN 135 ELSE 45 END AS lim FROM g WHERE b IS NOT NULL)
+SELECT run_id, CAST(floor(us / 60000000) AS BIGINT) AS minutes, CAST(lim AS INT) AS "limit" FROM m WHERE floor(us / 60000000) > lim""")
 def _(fx):
-    return rd.schedule_gaps(fx["runs"])
+    # a part of the runs, moved to years with the daylight saving that the oracle knows, leaves gaps
+    some = fx["runs"].where("run_id % 7 < 4").select("run_id", (F.col("started_at") - F.expr("interval 9000 days")).alias("started_at"))
+    return rd.schedule_gaps(some)
 
 
 @query("a21_detection_lag", """, lag AS (SELECT date_diff('day', filing_date, CAST(first_seen_at AS DATE)) AS lag FROM filings WHERE filing_date IS NOT NULL),
@@ -369,17 +432,24 @@ def _(fx):
     return rd.committee_relevance(fx["trades"], fx["committees"], fx["committee_sectors"])
 
 
-@query("d41_alert_candidates", """, fresh AS (SELECT t.* FROM trades t JOIN filings f ON f.doc_id = t.doc_id WHERE f.first_seen_at >= TIMESTAMP '2000-01-01' AND t.trade_id NOT IN (SELECT trade_id FROM alerts))
-SELECT trade_id, 'watchlist' AS rule FROM fresh WHERE action = 'BUY' AND member_id IN (SELECT member_id FROM watchlist WHERE active = 1)
-UNION ALL SELECT trade_id, 'held' FROM fresh WHERE action IN ('SELL', 'SELL_PARTIAL') AND upper(symbol) IN (SELECT upper(ticker) FROM positions WHERE status = 'open')""")
+WATCHED = "(SELECT w.member_id FROM watchlist w JOIN members m ON m.member_id = w.member_id WHERE w.active = 1)"
+
+
+@query("d41_alert_candidates", f""", live AS (SELECT * FROM filings WHERE first_seen_at >= TIMESTAMP '2000-01-01' AND available_basis = 'seen'),
+fresh AS (SELECT t.*, {COPY} AS copy FROM trades t JOIN live f ON f.doc_id = t.doc_id WHERE t.symbol <> '' AND t.member_id IN {WATCHED} AND t.trade_id NOT IN (SELECT trade_id FROM alerts)),
+ruled AS (SELECT CASE WHEN copy THEN 'watchlist_buy' WHEN action IN ('SELL', 'SELL_PARTIAL') AND upper(symbol) IN (SELECT upper(ticker) FROM positions WHERE status = 'open') THEN 'held_sale' END AS rule, trade_id, doc_id FROM fresh)
+SELECT rule, trade_id, doc_id FROM ruled WHERE rule IS NOT NULL
+UNION ALL SELECT 'scanned', NULL, doc_id FROM live WHERE doc_format = 'scanned' AND parse_method IS NULL AND member_id IN {WATCHED} AND doc_id NOT IN (SELECT doc_id FROM filing_alerts)""")
 def _(fx):
-    return rd.alert_candidates(fx["trades"], fx["filings"], fx["watchlist"], fx["positions"], fx["alerts"], "2000-01-01 00:00:00")
+    return rd.alert_candidates(fx["trades"], fx["filings"], fx["members"], fx["watchlist"], fx["positions"], fx["alerts"], fx["filing_alerts"], "2000-01-01 00:00:00")
 
 
-@query("d40_watchlist_candidates", """SELECT member_id, 'add' AS proposal FROM scores WHERE rank <= 5 AND shrunk_score >= 0.005 AND hit_rate >= 0.5 AND member_id NOT IN (SELECT member_id FROM watchlist WHERE active = 1)
-UNION ALL SELECT member_id, 'remove' FROM scores WHERE rank IS NOT NULL AND shrunk_score < 0 AND member_id IN (SELECT member_id FROM watchlist WHERE active = 1)""")
+@query("d40_watchlist_candidates", """, r AS (SELECT s.*, coalesce(w.active, 0) AS watched FROM scores s LEFT JOIN watchlist w ON w.member_id = s.member_id WHERE rank IS NOT NULL),
+k AS (SELECT member_id, CASE WHEN watched = 0 AND rank <= 5 AND shrunk_score >= 0.005 AND hit_rate >= 0.5 THEN 'add' WHEN watched = 1 AND shrunk_score < 0 THEN 'remove' END AS kind FROM r)
+SELECT member_id, kind FROM k WHERE kind IS NOT NULL AND NOT EXISTS (SELECT 1 FROM proposals p WHERE p.member_id = k.member_id AND p.kind = k.kind
+  AND ((applied_on IS NULL AND (approved IS NULL OR approved = 1)) OR (approved = 0 AND decided_on >= DATE '2001-07-01' - 90)))""")
 def _(fx):
-    return rd.watchlist_candidates(rk.member_scores(outcomes_of(fx)), fx["watchlist"])
+    return rd.watchlist_candidates(rk.member_scores(outcomes_of(fx)), fx["watchlist"], fx["proposals"], "2001-07-01")
 
 
 @query("n11_momentum", """, w AS (SELECT symbol, date, close, lag(close, 20) OVER (PARTITION BY symbol ORDER BY date) AS was FROM prices WHERE close IS NOT NULL) SELECT symbol, round(arg_max(close, date) / arg_max(coalesce(was, -1), date) - 1, 6) AS move FROM w GROUP BY symbol""")
@@ -387,7 +457,12 @@ def _(fx):
     return rd.momentum(fx["prices"], 20).select("symbol", *r6("move"))
 
 
-@query("d16_score_v1")
+@query("d16_score_v1", """, p AS (SELECT trade_id, asset_type = 'option' AND lower(coalesce(asset_name, '') || ' ' || coalesce(description, '')) LIKE '%call%' AND lower(coalesce(asset_name, '') || ' ' || coalesce(description, '')) NOT LIKE '%put%' AS call,
+  CASE WHEN amount_min >= 500001 THEN 20 WHEN amount_min >= 250001 THEN 16 WHEN amount_min >= 100001 THEN 13 WHEN amount_min >= 50001 THEN 10 WHEN amount_min >= 15001 THEN 5 ELSE 0 END AS a, filing_delay_days AS d,
+  CASE WHEN d IS NULL THEN 0 WHEN d <= 7 THEN 15 WHEN d <= 14 THEN 10 WHEN d <= 30 THEN 5 WHEN d <= 45 THEN 0 ELSE -5 END AS s, CASE WHEN ticker_status NOT IN ('listed', 'renamed') THEN -10 WHEN is_etf <> 0 THEN 5 ELSE 15 END AS l FROM trades WHERE action = 'BUY')
+SELECT trade_id, CAST(greatest(0, least(100, CASE WHEN call THEN 40 ELSE 50 END + a + s + l)) AS INT) AS score,
+  CASE WHEN call THEN 'bought calls (as the stock) 40' ELSE 'buy 50' END || '; amount +' || a || '; ' || CASE WHEN d IS NULL THEN 'delay unknown +0' ELSE 'disclosed after ' || d || 'd ' || CASE WHEN s >= 0 THEN '+' ELSE '' END || s END || '; '
+  || CASE l WHEN 5 THEN 'listed ETF +5' WHEN 15 THEN 'listed stock +15' ELSE 'not on NYSE/Nasdaq -10' END AS reasons FROM p""")
 def _(fx):
     points, reasons = rk.score_v1()
     return fx["trades"].where("action = 'BUY'").select("trade_id", points.alias("score"), F.array_join(reasons, "; ").alias("reasons"))
@@ -453,7 +528,10 @@ def _(fx):
     return fx["trades"].select("trade_id", F.datediff("disclosure_date", "tx_date").alias("days"), sc.business_days(F.col("tx_date"), F.col("disclosure_date")).alias("weekdays"))
 
 
-@query("f14_rule_labels")
+@query("f14_rule_labels", """, p AS (SELECT position_id, regexp_extract(exit_rule, '^([a-z_]+)', 1) AS rule, regexp_extract(exit_rule, '\\((.*)\\)', 1) AS args, regexp_extract(exit_rule, 'days=([0-9]+)', 1) AS days,
+  CAST(nullif(regexp_extract(exit_rule, 'pct=([0-9.]+)', 1), '') AS DOUBLE) AS pct, CAST(nullif(regexp_extract(exit_rule, 'stop=([0-9.]+)', 1), '') AS DOUBLE) AS stop, CAST(nullif(regexp_extract(exit_rule, 'target=([0-9.]+)', 1), '') AS DOUBLE) AS target FROM positions)
+SELECT position_id, rule, CASE WHEN args <> '' THEN '{"' || replace(replace(replace(args, ' ', ''), '=', '":"'), ',', '","') || '"}' END AS params, CASE rule WHEN 'fixed_hold' THEN 'hold ' || days || ' trading days'
+  WHEN 'stop_target' THEN 'stop ' || CAST(round(stop * 100) AS INT) || '% below entry, target ' || CAST(round(target * 100) AS INT) || '% above entry' WHEN 'trailing_stop' THEN 'stop ' || CAST(round(pct * 100) AS INT) || '% below the high' ELSE 'sell when the member does' END AS text FROM p""")
 def _(fx):
     name, params = sc.rule_parts(F.col("exit_rule"))
     return fx["positions"].select("position_id", name.alias("rule"), F.to_json(params).alias("params"), sc.rule_text(F.col("exit_rule")).alias("text"))
@@ -589,8 +667,8 @@ def _(fx):
 
 @query("d33_recommendation")
 def _(fx):
-    _, sig, sales = signals_of(fx)
-    return ft.recommendation(bt.evaluate_grid(sig, sales, fx["prices"]), sig, trading_days(fx["prices"])).select("rule", "n", "fallback", *r6("train_score"))
+    _, sig, _ = signals_of(fx)
+    return ft.recommendation(grid_of(fx).where(F.col("rule_no") < len(ex.GRID)), sig, days_of(fx)).select("rule", "n", "fallback", *r6("train_score"))
 
 
 @query("d35_position_exits")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.asof import asof
 from ..operators.calendar import eastern
-from .outcomes import HORIZONS
+from .outcomes import HORIZONS, copyable
 from .rankings import MIN_N
 
 LIST_CAP = 1000
@@ -119,7 +119,7 @@ def positions_with_value(positions: DataFrame, prices: DataFrame) -> DataFrame:
     """Positions with the last close (open ones) or sale price, profit, and the benchmark's change since the first bar on or after the purchase."""
     closes = prices.where("close is not null")
     last = closes.groupBy("symbol").agg(F.max_by("close", "date").alias("last_close"), F.max("date").alias("last_date"))
-    rows = positions.join(F.broadcast(last).withColumnRenamed("symbol", "ticker"), "ticker", "left")
+    rows = positions.join(last.withColumnRenamed("symbol", "ticker"), "ticker", "left")
     spy = closes.where("symbol = 'SPY'").select(F.lit("SPY").alias("k"), "date", "close")
     rows = asof(rows.withColumn("k", F.lit("SPY")).withColumn("until", F.coalesce("sell_date", "last_date")), spy.withColumnRenamed("close", "spy_in"), "k", "buy_date", ["spy_in"], forward=True, prefix="in_")
     rows = asof(rows, spy.withColumnRenamed("close", "spy_out"), "k", "until", ["spy_out"], prefix="out_")
@@ -228,7 +228,7 @@ def size_at_disclosure(trades: DataFrame, prices: DataFrame, securities: DataFra
     """``trade_id, bucket``: today's size scaled by the close at disclosure over the symbol's last close; today's size where either is missing or 0."""
     ref = prices.groupBy("symbol").agg(F.max_by("close", "date").alias("close_ref"))
     then = asof(trades.where("symbol is not null").select("trade_id", "symbol", "disclosure_date"), prices, "symbol", "disclosure_date", ["close"], prefix="then_")
-    rows = then.join(F.broadcast(securities.select("symbol", "market_cap")), "symbol", "left").join(F.broadcast(ref), "symbol", "left")
+    rows = then.join(securities.select("symbol", "market_cap"), "symbol", "left").join(ref, "symbol", "left")
     good = F.coalesce((F.col("then_close") > 0) & (F.col("close_ref") > 0), F.lit(False))
     cap = F.when(good, F.col("market_cap") * F.col("then_close") / F.col("close_ref")).otherwise(F.col("market_cap"))
     return rows.select("trade_id", size_bucket(cap).alias("bucket"))
@@ -252,13 +252,17 @@ def committee_relevance(trades: DataFrame, seats: DataFrame, sectors: DataFrame)
     return trades.select("trade_id").join(hit, "trade_id", "left").select("trade_id", F.coalesce("relevant", F.lit(0)).alias("relevant"))
 
 
-def alert_candidates(trades: DataFrame, filings: DataFrame, watchlist: DataFrame, positions: DataFrame, alerts: DataFrame, since: str) -> DataFrame:
-    """(trade_id, rule): buys by watched members and sales of held symbols seen since, without an alert of the same trade yet."""
-    fresh = trades.join(filings.where(F.col("first_seen_at") >= F.lit(since).cast("timestamp_ntz")).select("doc_id"), "doc_id", "left_semi").join(alerts, "trade_id", "left_anti")
-    buys = fresh.where("action = 'BUY'").join(F.broadcast(watchlist.where("active = 1").select("member_id")), "member_id", "left_semi").select("trade_id", F.lit("watchlist").alias("rule"))
-    held = F.broadcast(positions.where("status = 'open'").select(F.upper("ticker").alias("symbol")).distinct())
-    sales = fresh.where(F.col("action").isin("SELL", "SELL_PARTIAL")).withColumn("symbol", F.upper("symbol")).join(held, "symbol", "left_semi").select("trade_id", F.lit("held").alias("rule"))
-    return buys.unionByName(sales)
+def alert_candidates(trades: DataFrame, filings: DataFrame, members: DataFrame, watchlist: DataFrame, positions: DataFrame, alerts: DataFrame, filing_alerts: DataFrame, since: str) -> DataFrame:
+    """(rule, trade_id, doc_id): what watched members' filings, detected live and first seen since, give reason to alert and haven't yet: copyable
+    buys with a symbol, sales of held symbols, and scans that nobody has read."""
+    watched = watchlist.where("active = 1").join(members, "member_id", "left_semi").select("member_id")
+    live = filings.where((F.col("first_seen_at") >= F.lit(since).cast("timestamp_ntz")) & (F.col("available_basis") == "seen"))
+    fresh = trades.where("symbol <> ''").join(live.select("doc_id"), "doc_id", "left_semi").join(watched, "member_id", "left_semi").join(alerts, "trade_id", "left_anti")
+    held = positions.where("status = 'open'").select(F.upper("ticker").alias("held")).distinct()
+    marked = fresh.join(held, F.upper("symbol") == F.col("held"), "left")
+    rule = F.when(copyable(), "watchlist_buy").when(F.col("action").isin("SELL", "SELL_PARTIAL") & F.col("held").isNotNull(), "held_sale")
+    scans = live.where("doc_format = 'scanned' and parse_method is null").join(watched, "member_id", "left_semi").join(filing_alerts, "doc_id", "left_anti")
+    return marked.select(rule.alias("rule"), "trade_id", "doc_id").where("rule is not null").unionByName(scans.select(F.lit("scanned").alias("rule"), F.lit(None).cast("bigint").alias("trade_id"), "doc_id"))
 
 
 def snapshot_changes(now: DataFrame, before: DataFrame) -> DataFrame:
@@ -268,12 +272,17 @@ def snapshot_changes(now: DataFrame, before: DataFrame) -> DataFrame:
     return both.withColumn("change", change).where("change is not null")
 
 
-def watchlist_candidates(scores: DataFrame, watchlist: DataFrame, top: int = 5, least: float = 0.005) -> DataFrame:
-    """(member_id, proposal): add the top ranked with a good record who aren't watched; remove watched ones with a negative score."""
-    active = watchlist.where("active = 1").select("member_id")
-    add = scores.where((F.col("rank") <= top) & (F.col("shrunk_score") >= least) & (F.col("hit_rate") >= 0.5)).join(F.broadcast(active), "member_id", "left_anti").select("member_id", F.lit("add").alias("proposal"))
-    drop = scores.where((F.col("rank").isNotNull()) & (F.col("shrunk_score") < 0)).join(F.broadcast(active), "member_id", "left_semi").select("member_id", F.lit("remove").alias("proposal"))
-    return add.unionByName(drop)
+def watchlist_candidates(scores: DataFrame, watchlist: DataFrame, proposals: DataFrame, today: str, top: int = 5, least: float = 0.005, cooldown: int = 90) -> DataFrame:
+    """(member_id, kind): add the top ranked with a good record who aren't watched; remove watched ones with a negative score. Neither if
+    the same proposal is still open, or was turned down within the cooldown."""
+    active = watchlist.where("active = 1").select("member_id", F.lit(True).alias("watched"))
+    ranked = scores.where("rank is not null").join(active, "member_id", "left").withColumn("watched", F.coalesce("watched", F.lit(False)))
+    add = ~F.col("watched") & (F.col("rank") <= top) & (F.col("shrunk_score") >= least) & (F.coalesce("hit_rate", F.lit(0.0)) >= 0.5)
+    kind = F.when(add, "add").when(F.col("watched") & (F.col("shrunk_score") < 0), "remove")
+    open_ = F.col("applied_on").isNull() & (F.coalesce("approved", F.lit(1)) == 1)
+    refused = (F.col("approved") == 0) & (F.col("decided_on") >= F.date_sub(F.lit(today).cast("date"), cooldown))
+    before = proposals.where(open_ | refused).select("member_id", "kind")
+    return ranked.select("member_id", kind.alias("kind")).where("kind is not null").join(before, ["member_id", "kind"], "left_anti")
 
 
 def momentum(prices: DataFrame, bars: int) -> DataFrame:

@@ -6,8 +6,12 @@ engine. Prices come from whole cents and counts, so both engines get equal doubl
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import written
+
 #: name -> SELECT; ``{hours}`` adds a number of hours to a timestamp.
 TABLES = {
     "px_raw": """
@@ -83,6 +87,13 @@ SELECT l.l_orderkey * 10 + l.l_linenumber AS trade_id, f.doc_id, CAST(l.l_linenu
        CASE l.l_suppkey % 6 WHEN 0 THEN 'mega' WHEN 1 THEN 'large' WHEN 2 THEN 'mid' WHEN 3 THEN 'small' WHEN 4 THEN 'micro' END AS mcap_bucket,
        CASE l.l_suppkey % 4 WHEN 0 THEN 'Technology' WHEN 1 THEN 'Energy' WHEN 2 THEN 'Health' END AS sector
 FROM line_once l JOIN filings f ON f.doc_id = 'F' || CAST(l.l_orderkey AS STRING) JOIN supplier s ON s.s_suppkey = l.l_suppkey""",
+    "filing_alerts": """
+SELECT doc_id, 'scanned' AS kind, first_seen_at AS sent_at FROM filings WHERE doc_format = 'scanned' AND filing_year % 2 = 0""",
+    "proposals": """
+SELECT CAST(substr(member_id, 2, 3) AS INT) AS proposal_id, CASE WHEN member_id LIKE '%1' OR member_id LIKE '%3' THEN 'remove' ELSE 'add' END AS kind, member_id,
+       CASE WHEN member_id LIKE '%2' THEN 0 WHEN member_id LIKE '%4' THEN 1 END AS approved, CASE WHEN member_id LIKE '%4' THEN DATE '2001-05-01' END AS applied_on,
+       CASE WHEN member_id LIKE '%22' THEN DATE '2001-01-01' WHEN member_id LIKE '%2' OR member_id LIKE '%4' THEN DATE '2001-06-01' END AS decided_on
+FROM members WHERE member_id LIKE '%1' OR member_id LIKE '%2' OR member_id LIKE '%4' OR member_id LIKE '%7'""",
     "watchlist": """
 SELECT member_id, CASE WHEN member_id IN ('M5', 'M50') THEN 0 ELSE 1 END AS active, 'watched' AS reason
 FROM members WHERE member_id IN ('M1', 'M2', 'M3', 'M5', 'M8', 'M13', 'M21', 'M34', 'M50', 'M55')""",
@@ -143,13 +154,31 @@ def oracle(body: str, *names: str) -> str:
     return ("WITH " + ",\n".join(ctes) + ("" if body.lstrip().startswith(",") else "\n") + body) if ctes else body
 
 
+#: Tables of the last folder that were written, by application and folder.
+_kept: dict[tuple[str, str], dict[str, DataFrame]] = {}
+MATERIALISED = ("prices", "trades", "filings")
+
+
 class Fixture:
-    """Lazily made fixture tables of one folder, by name."""
+    """Lazily made fixture tables of one folder, by name.
+
+    Tables and results that many queries read are made and written once; those of another folder are forgotten.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self._made: dict[str, DataFrame] = {}
 
+    def keep(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """The frame written under this name, made where there is none."""
+        own = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if own not in _kept:
+            _kept.clear()
+            _kept[own] = {}
+        if name not in _kept[own]:
+            _kept[own][name] = written(make())
+        return _kept[own][name]
+
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._made:
             if name in TABLES:
@@ -159,7 +188,8 @@ class Fixture:
                     import re
 
                     sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
-                self._made[name] = self.spark.sql(sql, **parts)
+                make = lambda: self.spark.sql(sql, **parts)
+                self._made[name] = self.keep(name, make) if name in MATERIALISED else make()
             else:
                 self._made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self._made[name]
