@@ -144,6 +144,20 @@ def test_ledger_cash_settles_a_day_later(spark):
     assert all(r.amount >= 0 for r in ev if r.kind == "buy") and [r.equity for r in ev if r.kind == "day"] == [pytest.approx(100.0)] * 3
 
 
+def test_ledger_refuses_what_is_held_and_what_is_too_much():
+    import pandas as pd
+
+    rows = [(1, "F1", "A", 0, 5, "close", 11.0), (2, "F2", "A", 1, 6, "close", 10.0), (3, "F3", "B", 1, 3, "open", 12.0), (4, "F4", "C", 2, 6, "close", 10.0), (5, "F5", "C", 3, 6, "close", 10.0)]
+    trades = pd.DataFrame(rows, columns=["trade_id", "doc_id", "symbol", "d0", "exit_i", "exit_at", "exit_net"]).assign(entry_net=10.0)
+    closes = {s: ([0, 2], [10.0, 11.0]) for s in "ABC"}
+    events = list(bt.Book(100.0, 0.1, 2, 0.0, closes).run(trades))
+    # A is held on day 1; two positions fill the book on day 2; B is sold at the open of day 3, before the purchase
+    assert [(e[0], e[2]) for e in events if e[0] != "day"] == [("buy", 1), ("held", 2), ("buy", 3), ("full", 4), ("buy", 5)]
+    worth = {e[1]: e[5] for e in events if e[0] == "day"}
+    assert worth[1] == 100.0 and worth[2] == pytest.approx(102.0) and worth[3] == pytest.approx(103.0 + 0.1 * 10.2)
+    assert worth[6] == pytest.approx(100.0 + 1.0 + 2.0) and list(worth) == list(range(7))
+
+
 def test_fixed_holds_equal_outcomes(spark):
     rows = q.queries()["d34_engine_self_check"](spark, "/root/testdata/sf0.001").collect()
     assert sum(r.n for r in rows) > 0 and all((r.max_diff or 0) < 1e-9 for r in rows)
