@@ -130,7 +130,7 @@ def shared_buckets(nodes: DataFrame) -> DataFrame:
 
 
 def verified_links(shared: DataFrame, signed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between nodes, enough to join all that a chain of similar pairs joins.
+    """Links (a, b) of each candidate a to the least node b that a chain of similar pairs joins it to.
 
     Only links that join components are wanted, so a pair is left out where both
     nodes are in one component already, or where the sizes of their sets rule the
@@ -138,7 +138,8 @@ def verified_links(shared: DataFrame, signed: DataFrame, sets: DataFrame, simila
     centres alone; the later ones, with all of its centres, rank these by the links of the rounds
     before. Rounds only verify pairs with ``AGREE`` equal least hashes (in ``signed``), as shuffling sets is what
     costs. All pairs left are then met by ``prefix_pairs``, so what rounds there
-    are changes the work, not the result.
+    are changes the work, not the result. Every round joins the components of the one before
+    by its own links, so links of earlier rounds aren't gone over again.
     """
     spread = shared.groupBy("node").agg(F.sum("n").alias("spread"))
     nodes = checkpoint(spread.join(sets.select("node", "size"), "node"))
@@ -151,33 +152,41 @@ def verified_links(shared: DataFrame, signed: DataFrame, sets: DataFrame, simila
         centre = ranked.groupBy("k").agg(F.max(F.struct("degree", "spread", "node", "size", "component")).alias("c"))
         fits = F.least("size", "c.size") / F.greatest("size", "c.size") >= similarity
         met = ranked.join(centre, "k").where(fits & (F.col("component") != F.col("c.component")))
-        met = met.groupBy("node").agg(F.max("c").alias("c")) if turn == 0 else met
-        pairs = met.select("node", F.col("c.node").alias("centre")).distinct()
+        met = met.groupBy("node", "component").agg(F.max("c").alias("c")) if turn == 0 else met
+        pairs = met.select("node", F.col("c.node").alias("centre"), F.col("component").alias("a"), F.col("c.component").alias("b")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["node", "centre"], "left_anti")
         equal = F.zip_with("least", "other", lambda a, b: (a == b).cast("int"))
         signs = pairs.join(least, "node").join(least.toDF("centre", "other"), "centre")
-        likely = signs.where(F.aggregate(equal, F.lit(0), lambda n, x: n + x) >= AGREE).select("node", "centre")
+        likely = signs.where(F.aggregate(equal, F.lit(0), lambda n, x: n + x) >= AGREE).select("node", "centre", "a", "b")
         scored = checkpoint(verified(likely, sets, similarity))
-        new = scored.where("alike").select(F.col("node").alias("a"), F.col("centre").alias("b"))
+        new = scored.where("alike")
         links = new if links is None else links.unionAll(new)
         seen = scored.select("node", "centre") if seen is None else seen.unionAll(scored.select("node", "centre"))
-        degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-        joined = nodes.join(connected_components(links), "node", "left").join(degree, "node", "left")
-        at = checkpoint(joined.select("node", "spread", "size", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"), F.coalesce("component", "node").alias("component")))
+        degree = links.select(F.explode(F.array("node", "centre")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+        placed = joined(at, new).join(nodes, "node").join(degree, "node", "left")
+        at = checkpoint(placed.select("node", "spread", "size", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"), "component"))
         if turn and new.count() <= few:
             break
-    rest = verified(bounded(prefix_pairs(sets, at.select("node", "component"), similarity).toDF("node", "centre"), sets, similarity), sets, similarity).where("alike")
-    return links.unionAll(checkpoint(rest.select(F.col("node").alias("a"), F.col("centre").alias("b"))))
+    at = at.select("node", "component")
+    rest = verified(bounded(prefix_pairs(sets, at, similarity).toDF("node", "centre"), sets, similarity), sets, similarity).where("alike")
+    ends = rest.join(at.toDF("node", "a"), "node").join(at.toDF("centre", "b"), "centre")
+    return checkpoint(joined(at, ends).toDF("a", "b"))
+
+
+def joined(at: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) of ``at`` after links (a, b) between its components."""
+    last = connected_components(links.select("a", "b")).select(F.col("node").alias("component"), F.col("component").alias("last"))
+    return at.select("node", "component").join(last, "component", "left").select("node", F.coalesce("last", "component").alias("component"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(node, centre, alike) of pairs (node, centre). Only the sets of these are shuffled, once for both joins."""
+    """Pairs (node, centre) and their other columns, with ``alike``. Only the sets of these are shuffled, once for both joins."""
     pairs = checkpoint(pairs)
     sets = sets.join(sized(pairs.select("node").union(pairs.select("centre")).distinct()), "node", "left_semi")
     first = pairs.join(sets.select("node", F.col("grams").alias("own")), "node")
     both = first.join(sets.select(F.col("node").alias("centre"), "grams"), "centre")
-    return both.select("node", "centre", (jaccard("own", "grams") >= similarity).alias("alike"))
+    return both.select(*pairs.columns, (jaccard("own", "grams") >= similarity).alias("alike"))
 
 
 def bounded(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -289,7 +298,6 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc
     # of equal rows any will do
     again = keyed.join(sized(wanted.where("count > 1").select("key", "node")), "key").groupBy("node").agg(F.first("text").alias("text"))
     sets = checkpoint(shingle_sets(once.unionAll(again)))
-    links = verified_links(shared, nodes, sets, similarity)
-    members = connected_components(links)
+    members = verified_links(shared, nodes, sets, similarity).toDF("node", "component")
     best = nodes.select("node", "key").join(members, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("key").alias("key"))
     return keep_rows(docs, key, best, counts)
