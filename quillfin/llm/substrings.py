@@ -185,15 +185,16 @@ def repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
     texts = texts_of(docs, id_col, text_col)
     every = stored(marks(texts, window), "marks")
     shared = every.groupBy("g").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("g")
-    half = stored(every.join(shared, "g"), "half")
+    # written first: AQE splits a join's hot keys only where both sides come straight from a shuffle
+    half = stored(every.join(stored(shared, "shared"), "g"), "half")
     least = stored(half.groupBy("g", "c").agg(F.min("doc").alias("least")), "stretches")
     several = least.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g")
     known = stored(half.join(least, ["g", "c"]), "known")
     gone = known.where("doc > least").select("doc", "h", "at", "n")
-    open_ = stored(known.where("doc = least").join(several, "g").select("g", "doc", "h", "at", "n"), "open")
+    open_ = stored(known.where("doc = least").join(stored(several, "several"), "g").select("g", "doc", "h", "at", "n"), "open")
     single = stored(windows(texts, open_, window), "windows")
     earlier = single.groupBy("g", "w").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("g", "w", "a")
-    alone = single.join(earlier, ["g", "w"]).where("doc > a").select("doc", "h", "at", F.lit(1).alias("n"))
+    alone = single.join(stored(earlier, "earlier"), ["g", "w"]).where("doc > a").select("doc", "h", "at", F.lit(1).alias("n"))
     return gone.unionByName(alone)
 
 
