@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,82 +89,128 @@ def next_sale(signals: DataFrame, sales: DataFrame) -> DataFrame:
     return signals.join(after.groupBy("trade_id").agg(F.min("s").alias("sale")), "trade_id", "left")
 
 
+#: Where on a day an exit was, and why.
+AT = ("", "close", "open", "intraday")
+CLOSE, OPEN, INTRADAY = 1, 2, 3
+WHY = ("", "stop", "target", "hold", "sale", "data_end", "open")
+STOP, TARGET, HOLD, SALE, DATA_END, STILL_OPEN, DUE = range(1, 8)
+#: Days of a bin, and signals that one task takes of a symbol's bin, about; a hotter one is dealt to several.
+BIN, MOST = 256, 100_000
+EXITS = "trade_id long, rule_no int, entry double, exit_i int, exit_price double, exit_at string, reason string"
+
+
+def with_atr(bars: DataFrame, n: int | None) -> DataFrame:
+    """Bars with a close, with ``atr``: the mean true range up to the last bar with close and high before them."""
+    closes = bars.where("c is not null")
+    if n is None:
+        return closes.withColumn("atr", F.lit(None).cast("double"))
+    own = closes.join(atr(closes, n).withColumn("known", F.struct("atr")).drop("atr"), ["symbol", "i"], "left")
+    w = Window.partitionBy("symbol").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    return own.withColumn("atr", F.last("known", ignorenulls=True).over(w)["atr"]).drop("known")
+
+
+def _first_hits(signals: dict[str, np.ndarray], bars: dict[str, np.ndarray], rules: tuple[Rule, ...], intraday: bool) -> dict[str, np.ndarray]:
+    """The first exit of every signal under every rule, day by day for all of them at once; NaN is null. Signals without a bar or an entry have none."""
+    i, o, h, low, c = (bars[k] for k in ("i", "o", "h", "l", "c"))
+    n, r = len(signals["d0"]), len(rules)
+    row, rule_no = np.repeat(np.arange(n), r), np.tile(np.arange(r), n)
+    d0 = signals["d0"][row]
+    j = np.searchsorted(i, d0)
+    has = j < len(i)
+    at0 = np.where(has, j, 0)
+    on_day = has & (i[at0] == d0)
+    entry = signals["fill"][row] if "fill" in signals else np.where(on_day, o[at0], np.nan)
+    keep = has & ~np.isnan(entry)
+    row, rule_no, d0, j, entry, on_day, at0 = (x[keep] for x in (row, rule_no, d0, j, entry, on_day, at0))
+    by_rule = lambda f: np.array([np.nan if (v := f(x)) is None else v for x in rules], dtype=float)[rule_no]
+    hold_end = d0 + by_rule(lambda x: x.hold)
+    sale = np.where(by_rule(lambda x: x.kind == "member_sale") > 0, signals["sale"][row], np.nan)
+    sale = np.where(sale > d0, sale, np.nan)
+    end = np.fmin(hold_end, sale)
+    pct, mult = by_rule(lambda x: x.pct), by_rule(lambda x: x.mult)
+    stop0 = entry * (1 - by_rule(lambda x: x.stop))
+    target = entry * (1 + by_rule(lambda x: x.target))
+    # true ranges of the entry day only
+    atr0 = np.where(on_day, bars["atr"][at0], np.nan)
+    last = np.minimum(np.searchsorted(i, end), len(i) - 1)
+    k = len(row)
+    out = {"row": row, "rule_no": rule_no, "entry": entry, "exit_i": np.full(k, -1), "price": np.full(k, np.nan), "at": np.zeros(k, dtype=int), "reason": np.zeros(k, dtype=int)}
+    high, live = entry.copy(), np.arange(k)
+    while len(live):
+        x = j[live]
+        day, op, hi, lo, cl, e0 = i[x], o[x], h[x], low[x], c[x], d0[live]
+        stop = np.fmax(np.fmax(stop0[live], high[live] * (1 - pct[live])), high[live] - mult[live] * atr0[live])
+        goal, first = target[live], day == e0
+        bought = first & intraday
+        opened = day > e0
+        late = (day > end[live]) | (day == sale[live])
+        checks = [
+            (bought & (cl <= stop), cl, CLOSE, STOP), (bought & (cl >= goal), cl, CLOSE, TARGET), (bought & (day < hold_end[live]), None, 0, 0),
+            (late & ~np.isnan(op), op, OPEN, DUE), (late, cl, CLOSE, DUE), (opened & (op <= stop), op, OPEN, STOP), (opened & (op >= goal), op, OPEN, TARGET),
+            (lo <= stop, stop, INTRADAY, STOP), (hi >= goal, goal, INTRADAY, TARGET), (day >= hold_end[live], cl, CLOSE, HOLD),
+        ]
+        open_, gone = np.ones(len(live), dtype=bool), np.zeros(len(live), dtype=bool)
+        for met, price, at, why in checks:
+            now = open_ & met
+            open_ &= ~met
+            if price is not None and now.any():
+                w = live[now]
+                out["exit_i"][w], out["price"][w], out["at"][w], out["reason"][w] = day[now], price[now], at, why
+                gone |= now
+        seen = np.where(first, cl, hi) if intraday else hi
+        high[live] = np.fmax(high[live], seen)
+        j[live] += 1
+        live = live[~gone & (j[live] <= last[live])]
+    due = out["reason"] == DUE
+    out["reason"] = np.where(due, np.where(end == sale, SALE, HOLD), out["reason"])
+    return out
+
+
 def simulate(signals: DataFrame, bars: DataFrame, rules: Rule | tuple[Rule, ...], n_days: int, entry_col: str | None = None, intraday: bool = False) -> DataFrame:
     """(trade_id, rule_no, rule, entry, exit_i, exit_price, exit_at, reason) for each signal (trade_id, symbol, d0[, sale]) with an entry price, under each rule.
 
-    Every signal meets the bars of its holding period in bins of 64 days (an equi-join), and one bar past it
-    where the exit day has none; running highs are windows over
-    those; the first bar with an exit is its ``min_by``. ``data_end`` is the symbol's last bar, ``open`` the calendar's end.
+    Signals meet the bars of their holding period in bins of days, each signal once for all rules, and the first bar past its end where the exit day has none. A task steps through the days of a bin for all its signals
+    at once; a bin with many signals is dealt to several tasks, each of which gets its bars. ``data_end`` is the symbol's last bar, ``open`` the calendar's end.
     ``entry_col`` gives the fill of a real position; with ``intraday`` its first day's low and high may lie before the purchase, so only that
     day's close counts.
     """
     rules = (rules,) if isinstance(rules, Rule) else tuple(rules)
-    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("rule_no"), F.lit(r.hold).alias("hold"), F.lit(r.kind == "member_sale").alias("follows")) for k, r in enumerate(rules)))).alias("r")
-    signals = signals.select("*", kinds).select("*", "r.*").drop("r")
-    sale = F.when(F.col("follows"), F.col("sale")) if "sale" in signals.columns else F.lit(None).cast("int")
-    sig = signals.select("trade_id", "rule_no", "hold", "symbol", "d0", F.when(sale > F.col("d0"), sale).alias("sale"), *([F.col(entry_col).alias("fill")] if entry_col else []))
-    last = bars.where("c is not null").groupBy("symbol").agg(F.max("i").alias("last"), F.max_by("c", "i").alias("last_c"))
-    ends = F.least(F.col("d0") + F.col("hold"), F.coalesce("sale", F.lit(1 << 30)))
-    after = bars.where("c is not null").select("symbol", F.col("i").alias("v"))
-    sig = sig.join(last, "symbol").withColumn("end", ends)
-    # the first usable bar at or after the end
-    reach = after.select("symbol", "v", F.lead("v").over(Window.partitionBy("symbol").orderBy("v")).alias("nv"))
-    spans = reach.select("symbol", F.explode(F.sequence(F.col("v"), F.greatest(F.coalesce(F.col("nv") - 1, F.col("v")), F.col("v")))).alias("end"), "v", F.coalesce("nv", "v").alias("nv"))
-    spans = spans.select("symbol", "end", F.when(F.col("end") == F.col("v"), F.col("v")).otherwise(F.col("nv")).alias("until"))
-    sig = sig.join(spans, ["symbol", "end"], "left").withColumn("until", F.coalesce("until", F.greatest("end", "d0")))
-    bins = F.explode(F.sequence(F.expr("d0 div 64"), F.expr("until div 64"))).alias("bin")
-    path = sig.select("*", bins).join(bars.where("c is not null").withColumn("bin", F.expr("i div 64")), ["symbol", "bin"]).where("i >= d0 and i <= until")
-    entry = F.col("fill") if entry_col else F.col("entry")
-    first = bars.select("symbol", F.col("i").alias("d0"), F.col("o").alias("entry"))
-    path = path.join(first, ["symbol", "d0"], "left").where(entry.isNotNull())
     widths = {r.n for r in rules if r.kind == "atr_stop"}
     if len(widths) > 1:
         raise ValueError("one number of bars for all true ranges")
-    if widths:
-        before = atr(bars, widths.pop())
-        nxt = before.select("symbol", (F.col("i") + 1).alias("d0"), "atr", F.lead("i").over(Window.partitionBy("symbol").orderBy("i")).alias("n"))
-        held = nxt.select("symbol", "atr", F.explode(F.sequence(F.col("d0"), F.coalesce("n", F.greatest(F.lit(n_days), F.col("d0"))))).alias("d0"))
-        path = path.join(held, ["symbol", "d0"], "left")
-    else:
-        path = path.withColumn("atr", F.lit(None).cast("double"))
-    w = Window.partitionBy("trade_id", "rule_no").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.when(F.col("i") == F.col("d0"), F.col("c")).otherwise(F.col("h")) if intraday else F.col("h")
-    high = F.greatest(entry, F.coalesce(F.max(seen).over(w), entry))
-    path = path.withColumn("high", high)
-    stop = target = F.lit(None).cast("double")
-    for k, r in enumerate(rules):
-        s, t = r.levels(entry, F.col("high"), F.col("atr"))
-        stop, target = F.when(F.col("rule_no") == k, s).otherwise(stop), F.when(F.col("rule_no") == k, t).otherwise(target)
-    path = path.withColumn("stop", stop).withColumn("target", target)
-    stop, target = F.col("stop"), F.col("target")
-    i, d0, o = F.col("i"), F.col("d0"), F.col("o")
-    hold_end = d0 + F.col("hold")
-    overdue = (i > F.col("end")) | (i == F.coalesce("sale", F.lit(-1)))
-    due = F.when((F.col("end") == F.col("sale")), "sale").otherwise("hold")
-
-    def out(price, at, reason):
-        return F.struct(i.alias("exit_i"), price.alias("exit_price"), F.lit(at).alias("exit_at") if isinstance(at, str) else at.alias("exit_at"), (F.lit(reason) if isinstance(reason, str) else reason).alias("reason"))
-
-    opened = (i > d0) & o.isNotNull()
-    bought = (i == d0) & F.lit(intraday)
-    exit_ = (
-        F.when(bought & (F.col("c") <= stop), out(F.col("c"), "close", "stop"))
-        .when(bought & (F.col("c") >= target), out(F.col("c"), "close", "target"))
-        .when(bought & (i < hold_end), F.lit(None))
-        .when(overdue, out(F.coalesce(o, "c"), F.when(o.isNotNull(), "open").otherwise("close"), due))
-        .when(opened & (o <= stop), out(o, "open", "stop"))
-        .when(opened & (o >= target), out(o, "open", "target"))
-        .when(F.col("l") <= stop, out(stop, "intraday", "stop"))
-        .when(F.col("h") >= target, out(target, "intraday", "target"))
-        .when(i >= hold_end, out(F.col("c"), "close", "hold"))
-    )
-    hit = path.withColumn("x", exit_).groupBy("trade_id", "rule_no").agg(
-        F.min_by(F.when(F.col("x").isNotNull(), F.col("x")), F.when(F.col("x").isNotNull(), F.col("i"))).alias("x"), F.first(entry).alias("entry"), F.first("last").alias("last"), F.first("last_c").alias("last_c")
-    )
-    end_i = F.when(F.col("last") < n_days - 1, F.col("last")).otherwise(F.lit(n_days - 1))
-    none = F.struct(end_i.alias("exit_i"), F.col("last_c").alias("exit_price"), F.lit("close").alias("exit_at"), F.when(F.col("last") < n_days - 1, "data_end").otherwise("open").alias("reason"))
-    labels = F.array(*(F.lit(r.label) for r in rules))
-    return hit.withColumn("x", F.coalesce("x", none)).select("trade_id", "rule_no", F.get(labels, F.col("rule_no")).alias("rule"), "entry", "x.*")
+    hold = max(r.hold for r in rules)
+    sale = F.col("sale").cast("double") if "sale" in signals.columns else F.lit(None).cast("double")
+    own = signals.select("trade_id", "symbol", "d0", sale.alias("sale"), *([F.col(entry_col).alias("fill")] if entry_col else []), F.expr(f"d0 div {BIN}").cast("int").alias("bin"))
+    # as many rows as symbols have bins
+    parts = own.groupBy("symbol", "bin").agg(F.expr(f"cast(count(*) div {MOST} + 1 as int)").alias("parts"))
+    own = own.join(parts, ["symbol", "bin"]).withColumn("part", F.pmod(F.xxhash64("trade_id"), F.col("parts")).cast("int")).drop("parts")
+    w = Window.partitionBy("symbol").orderBy("i")
+    every = Window.partitionBy("symbol")
+    known = with_atr(bars, widths.pop() if widths else None)
+    known = known.withColumns({"last": F.max("i").over(every), "last_c": F.max_by("c", "i").over(every), "before": F.coalesce(F.lag("i").over(w), F.lit(0))})
+    # a bin's bars, to the longest hold's end and one more
+    first_bin = F.greatest(F.ceil((F.col("before") - (BIN - 1) - hold) / BIN), F.lit(0)).cast("int")
+    known = known.select("*", F.explode(F.sequence(first_bin, F.expr(f"cast(i div {BIN} as int)"))).alias("bin"))
+    known = known.join(parts, ["symbol", "bin"]).select("symbol", "bin", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "i", "o", "h", "l", "c", "atr", "last", "last_c")
+
+    def run(s: pa.Table, b: pa.Table) -> pa.Table:
+        if not s.num_rows or not b.num_rows:
+            return pa.table([pa.array([], kind) for kind in types], names=names)
+        b = b.sort_by("i")
+        last, last_c = b["last"][0].as_py(), b["last_c"][0].as_py()
+        whole = lambda t, c: t[c].to_numpy().astype(np.int64 if c in ("i", "d0") else float)
+        found = _first_hits({c: whole(s, c) for c in s.column_names if c in ("d0", "sale", "fill")}, {c: whole(b, c) for c in ("i", "o", "h", "l", "c", "atr")}, rules, intraday)
+        none = found["exit_i"] < 0
+        found["exit_i"][none], found["price"][none], found["at"][none], found["reason"][none] = min(last, n_days - 1), last_c, CLOSE, DATA_END if last < n_days - 1 else STILL_OPEN
+        of = lambda texts, codes: pa.array(np.array(texts, dtype=object)[codes], pa.string())
+        columns = [s["trade_id"].take(pa.array(found["row"])), pa.array(found["rule_no"].astype(np.int32)), pa.array(found["entry"]), pa.array(found["exit_i"].astype(np.int32)), pa.array(found["price"])]
+        return pa.table([*columns, of(AT, found["at"]), of(WHY, found["reason"])], names=names)
+
+    names = [c.split()[0] for c in EXITS.split(", ")]
+    types = [pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.float64(), pa.string(), pa.string()]
+    by = ["symbol", "bin", "part"]
+    hit = own.groupBy(*by).cogroup(known.groupBy(*by)).applyInArrow(run, EXITS)
+    return hit.withColumn("rule", F.get(F.array(*(F.lit(r.label) for r in rules)), F.col("rule_no"))).select("trade_id", "rule_no", "rule", "entry", "exit_i", "exit_price", "exit_at", "reason")
 
 
 def slippage(bucket: str = "mcap_bucket") -> Column:
@@ -185,16 +233,17 @@ def evaluate(exits: DataFrame, signals: DataFrame, spy: DataFrame, costs: bool =
     return joined.withColumn("ret", ret).withColumn("abn", ret - (out / F.col("spy_in") - 1)).drop("spy_in", "spy_o", "spy_c")
 
 
-def signals(outcomes: DataFrame, trades: DataFrame) -> DataFrame:
-    """Copyable buys, the first row of each (filing, symbol) in order of d0 and trade."""
-    w = Window.partitionBy("doc_id", "symbol").orderBy("d0", "trade_id")
-    first = outcomes.where("copyable").withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
-    return first.select("trade_id", "doc_id", "member_id", "symbol", "d0", "d0_date").join(trades.select("trade_id", "mcap_bucket"), "trade_id")
+def signals(entries: DataFrame) -> DataFrame:
+    """Copyable buys of trades with an entry day, the first row of each (filing, symbol) in order of d0 and trade."""
+    kept = ["trade_id", "doc_id", "member_id", "symbol", "d0", "d0_date", "mcap_bucket"]
+    # combined before the shuffle, unlike a window
+    least = F.min(F.struct("d0", "trade_id", "member_id", "d0_date", "mcap_bucket")).alias("s")
+    return entries.where("copyable").groupBy("doc_id", "symbol").agg(least).select("doc_id", "symbol", "s.*").select(*kept)
 
 
-def sale_days(scope_sales: DataFrame) -> DataFrame:
+def sale_days(entries: DataFrame) -> DataFrame:
     """(member_id, symbol, d0) of sales with an entry day."""
-    return scope_sales.where(F.col("action").isin("SELL", "SELL_PARTIAL") & F.col("member_id").isNotNull()).select("member_id", "symbol", "d0").distinct()
+    return entries.where(F.col("action").isin("SELL", "SELL_PARTIAL") & F.col("member_id").isNotNull()).select("member_id", "symbol", "d0").distinct()
 
 
 def benchmark(prices: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from ..operators.calendar import BENCHMARK, last_day_map, trading_days, with_entry
 
 HORIZONS = (1, 5, 10, 20, 60)
@@ -47,35 +48,40 @@ def bars_by_day(prices: DataFrame, days: DataFrame) -> DataFrame:
     )
 
 
+def reach(prices: DataFrame, days: DataFrame, horizons=HORIZONS, delays=DELAYS, benchmark: str = BENCHMARK) -> DataFrame:
+    """Bars with what lies ahead of them: own prices, the benchmark's of that day, and those of the days that are a number of trading days later.
+
+    A window by day number finds them, null where the symbol has no bar on just that day. There are as many rows as bars, however many trades meet them.
+    """
+    bars = bars_by_day(prices, days)
+    spy = F.broadcast(bars.where(F.col("symbol") == benchmark).select("i", F.col("adj_open").alias("spy_open"), F.col("adj_close").alias("spy_close")))
+    w = Window.partitionBy("symbol").orderBy("i")
+
+    def later(c: str, n: int) -> Column:
+        return F.max(c).over(w.rangeBetween(n, n))
+
+    ahead = bars.select("*", *(later("adj_close", h).alias(f"p{h}") for h in horizons), *(later("raw_open", k).alias(f"o{k}") for k in delays))
+    # a calendar day each, so the benchmark's later closes are found once
+    by_day = Window.orderBy("i")
+    spy_later = spy.select("i", "spy_open", "spy_close", *(F.max("spy_close").over(by_day.rangeBetween(h, h)).alias(f"s{h}") for h in horizons))
+    return ahead.join(F.broadcast(spy_later), "i", "left")
+
+
 def compute(trades: DataFrame, filings: DataFrame, prices: DataFrame, horizons=HORIZONS, delays=DELAYS, benchmark: str = BENCHMARK) -> DataFrame:
     """A row for each trade in scope with an entry day.
 
-    All the bars that a trade needs are at known day numbers, so they come from one equi-join
-    on (symbol, day) and fold back with one aggregate per trade; benchmark bars are a
-    small map joined by broadcast.
+    A trade meets two rows of bars only, that of its entry day, which has all prices ahead of it, and that of the day it was made.
     """
-    days = trading_days(prices, benchmark)
+    days = written(trading_days(prices, benchmark))  # a few thousand rows that many parts of the plan read
     n_days = days.agg((F.max("i") + 1).alias("n_days"))
     keep = ["trade_id", "doc_id", "member_id", "symbol", "tx_date", "d0", "d0_date", "copyable"]
     rows = with_entry(in_scope(trades, filings), days).withColumn("copyable", copyable()).select(*keep)
     before = last_day_map(days).select(F.col("date").alias("tx_date"), F.col("last_i"))
     rows = rows.join(F.broadcast(before), "tx_date", "left").withColumn("tx_i", F.when(F.col("tx_date") < F.col("d0_date"), F.col("last_i"))).drop("last_i", "tx_date")
-    offsets = sorted({0, *horizons, *delays})
-    slots = F.array(*(F.struct(F.lit(o).alias("slot"), (F.col("d0") + o).alias("i")) for o in offsets), F.struct(F.lit(-1).alias("slot"), F.col("tx_i").alias("i")))
-    wanted = rows.select("trade_id", "symbol", F.inline(slots))
-    bars = bars_by_day(prices, days)
-    spy = F.broadcast(bars.where(F.col("symbol") == benchmark).select("i", F.col("adj_open").alias("spy_open"), F.col("adj_close").alias("spy_close")))
-    at = wanted.where("i is not null").join(bars, ["symbol", "i"]).join(spy, "i", "left")
-
-    def pick(slot: int, c: str) -> Column:
-        return F.max(F.when(F.col("slot") == slot, F.col(c)))
-
-    picked = at.groupBy("trade_id").agg(
-        pick(0, "raw_open").alias("d0_open"), pick(0, "adj_open").alias("entry"), pick(0, "spy_open").alias("spy_entry"),
-        *(pick(h, "adj_close").alias(f"p{h}") for h in horizons), *(pick(h, "spy_close").alias(f"s{h}") for h in horizons),
-        *(pick(k, "raw_open").alias(f"o{k}") for k in delays), pick(-1, "adj_close").alias("ptx"), pick(-1, "spy_close").alias("stx"),
-    )
-    joined = rows.join(picked, "trade_id", "left").join(F.broadcast(n_days))
+    bars = reach(prices, days, horizons, delays, benchmark).where("raw_open is not null or adj_close is not null")
+    entry = bars.withColumnsRenamed({"i": "d0", "raw_open": "d0_open", "adj_open": "entry", "spy_open": "spy_entry"}).drop("adj_close", "spy_close")
+    made = bars.select("symbol", F.col("i").alias("tx_i"), F.col("adj_close").alias("ptx"), F.col("spy_close").alias("stx"))
+    joined = rows.join(entry, ["symbol", "d0"], "left").join(made, ["symbol", "tx_i"], "left").join(F.broadcast(n_days))
     ready = F.col("entry").isNotNull() & F.col("spy_entry").isNotNull()
     out = {"d0_open": F.col("d0_open"), "complete": F.col("d0") + max(horizons) < F.col("n_days")}
     for h in horizons:

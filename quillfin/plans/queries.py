@@ -12,6 +12,7 @@ from ..operators import exits as ex
 from ..operators import matching, merge
 from ..operators.asof import asof
 from ..operators.calendar import trading_days, with_entry
+from ..session import written
 from ..sources.fixture import Fixture
 from . import backtest as bt
 from . import facts as ft
@@ -69,7 +70,7 @@ def _(fx):
     "SELECT trade_id, d0_date, complete, copyable, " + s6("d0_open", *(f"{c}_{h}" for h in H for c in ("ret", "abn_ret")), "tx_ret", "tx_abn_ret") + ", " + ", ".join(f"win_{h}" for h in H) + " FROM outcomes",
 )
 def _(fx):
-    return outcomes_of(fx).select("trade_id", "d0_date", "complete", "copyable", *r6("d0_open", *(f"{c}_{h}" for h in H for c in ("ret", "abn_ret")), "tx_ret", "tx_abn_ret"), *(f"win_{h}" for h in H))
+    return oc.compute(fx["trades"], fx["filings"], fx["prices"]).select("trade_id", "d0_date", "complete", "copyable", *r6("d0_open", *(f"{c}_{h}" for h in H for c in ("ret", "abn_ret")), "tx_ret", "tx_abn_ret"), *(f"win_{h}" for h in H))
 
 
 @query("d09_open_inflation", "SELECT trade_id, " + s6(*(f"open_infl_{k}" for k in K)) + " FROM outcomes")
@@ -120,20 +121,21 @@ def _(fx):
 # --- exits and books
 
 
-def signals_of(fx: Fixture):
-    out = outcomes_of(fx)
-    sales = fx.keep("sales", lambda: ex.sale_days(with_entry(oc.in_scope(fx["trades"], fx["filings"]), days_of(fx))))
-    return out, fx.keep("signals", lambda: ex.signals(out, fx["trades"])), sales
+def signals_of(fx: Fixture) -> tuple[DataFrame, DataFrame]:
+    """(signals, days of sales)."""
+    kept = ["trade_id", "doc_id", "member_id", "symbol", "action", "mcap_bucket", oc.copyable().alias("copyable"), "d0", "d0_date"]
+    entries = fx.keep("entries", lambda: with_entry(oc.in_scope(fx["trades"], fx["filings"]), days_of(fx)).select(*kept))
+    return ex.signals(entries), ex.sale_days(entries)
 
 
 def grid_of(fx: Fixture) -> DataFrame:
     """Every signal under the grid's rules and, last, a hold of one day."""
-    _, sig, sales = signals_of(fx)
+    sig, sales = signals_of(fx)
     return fx.keep("grid", lambda: bt.evaluate_grid(sig, sales, fx["prices"], (*ex.GRID, ex.Rule("fixed_hold", 1))))
 
 
 def hold_20_of(fx: Fixture) -> DataFrame:
-    _, sig, sales = signals_of(fx)
+    sig, sales = signals_of(fx)
     return fx.keep("hold_20", lambda: bt.evaluate_grid(sig, sales, fx["prices"], (ex.Rule("fixed_hold", 20),)))
 
 
@@ -156,11 +158,11 @@ SELECT trade_id, round(entry, 6) AS entry, CAST(coalesce(exit_i, CASE WHEN last
 
 def simulated(rule):
     def run(fx):
-        _, sig, sales = signals_of(fx)
+        sig, sales = signals_of(fx)
         days = days_of(fx)
         bars = ex.series(fx["prices"], days)
         n_days = int(days.agg(F.max("i")).first()[0]) + 1
-        return ex.simulate(ex.next_sale(sig, sales), bars, rule, n_days).select("trade_id", *r6("entry"), "exit_i", *r6("exit_price"), "exit_at", "reason")
+        return ex.simulate(ex.next_sale(sig, sales) if rule.kind == "member_sale" else sig, bars, rule, n_days).select("trade_id", *r6("entry"), "exit_i", *r6("exit_price"), "exit_at", "reason")
 
     return run
 
@@ -227,15 +229,15 @@ def _(fx):
 
 def books_of(fx: Fixture) -> DataFrame:
     def make():
-        _, sig, _ = signals_of(fx)
+        sig, _ = signals_of(fx)
         days, grid = days_of(fx), grid_of(fx)
         q = bt.quarters(days)
         number = {h: next(k for k, r in enumerate((*ex.GRID, ex.Rule("fixed_hold", 1))) if r == ex.Rule("fixed_hold", h)) for h in bt.BASELINES}
         held = F.coalesce(*(F.when(F.col("rule_no") == k, h) for h, k in number.items()))
         base = grid.where(F.col("rule_no").isin(*number.values())).withColumn("rule_no", held)
         trades, _ = bt.walk_forward(grid.where(F.col("rule_no") < len(ex.GRID)), base, sig, q)
-        trades = fx.keep("book_trades", lambda: trades)
-        events = fx.keep("book_events", lambda: bt.ledger(trades, ex.series(fx["prices"], days)))
+        trades = written(trades)
+        events = written(bt.ledger(trades, ex.series(fx["prices"], days)))
         return bt.book_rows(trades, events, q, days)
 
     return fx.keep("books", make)
@@ -361,17 +363,16 @@ def _(fx):
     return fx["runs"].orderBy(F.desc("run_id")).limit(50).select("run_id", "status")
 
 
-EASTERN = """CASE WHEN {t} >= CAST(make_date(year({t}), 4, 1) + CAST((7 - dayofweek(make_date(year({t}), 4, 1))) % 7 AS INT) AS TIMESTAMP) + to_hours(7)
-  AND {t} < CAST(make_date(year({t}), 10, 31) - CAST(dayofweek(make_date(year({t}), 10, 31)) AS INT) AS TIMESTAMP) + to_hours(6) THEN {t} - to_hours(4) ELSE {t} - to_hours(5) END"""
+#: By the rule in force since 2007: second Sunday of March to first Sunday of November.
+EASTERN = """CASE WHEN {t} >= CAST(make_date(year({t}), 3, 8) + CAST((7 - dayofweek(make_date(year({t}), 3, 8))) % 7 AS INT) AS TIMESTAMP) + to_hours(7)
+  AND {t} < CAST(make_date(year({t}), 11, 1) + CAST((7 - dayofweek(make_date(year({t}), 11, 1))) % 7 AS INT) AS TIMESTAMP) + to_hours(6) THEN {t} - to_hours(4) ELSE {t} - to_hours(5) END"""
 
 
-@query("n08_schedule_gaps", """, part_ AS (SELECT run_id, started_at - to_days(9000) AS started_at FROM runs WHERE run_id % 7 < 4), g AS (SELECT run_id, started_at, lag(started_at) OVER (ORDER BY started_at, run_id) AS b FROM part_),
+@query("n08_schedule_gaps", """, g AS (SELECT run_id, started_at, lag(started_at) OVER (ORDER BY started_at, run_id) AS b FROM runs),
 m AS (SELECT run_id, epoch_us(started_at) - epoch_us(b) AS us, CASE WHEN dayofweek(CAST(""" + EASTERN.format(t="b") + """ AS DATE)) IN (0, 6) THEN 135 ELSE 45 END AS lim FROM g WHERE b IS NOT NULL)
 SELECT run_id, CAST(floor(us / 60000000) AS BIGINT) AS minutes, CAST(lim AS INT) AS "limit" FROM m WHERE floor(us / 60000000) > lim""")
 def _(fx):
-    # a part of the runs, moved to years with the daylight saving that the oracle knows, leaves gaps
-    some = fx["runs"].where("run_id % 7 < 4").select("run_id", (F.col("started_at") - F.expr("interval 9000 days")).alias("started_at"))
-    return rd.schedule_gaps(some)
+    return rd.schedule_gaps(fx["runs"])
 
 
 @query("a21_detection_lag", """, lag AS (SELECT date_diff('day', filing_date, CAST(first_seen_at AS DATE)) AS lag FROM filings WHERE filing_date IS NOT NULL),
@@ -667,7 +668,7 @@ def _(fx):
 
 @query("d33_recommendation")
 def _(fx):
-    _, sig, _ = signals_of(fx)
+    sig, _ = signals_of(fx)
     return ft.recommendation(grid_of(fx).where(F.col("rule_no") < len(ex.GRID)), sig, days_of(fx)).select("rule", "n", "fallback", *r6("train_score"))
 
 

@@ -14,20 +14,20 @@ from ..session import written
 
 #: name -> SELECT; ``{hours}`` adds a number of hours to a timestamp.
 TABLES = {
-    "px_raw": """
+    "px_own": """
 SELECT 'N' || CAST(s.s_nationkey AS STRING) AS symbol, CAST(l.l_shipdate AS DATE) AS date, l.l_linestatus AS st,
        CAST(floor(l.l_extendedprice * 100 / l.l_quantity) AS BIGINT) AS c, CAST(floor(l.l_discount * 1000 + 0.5) AS BIGINT) AS d
-FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey
-UNION ALL
-SELECT 'SPY', CAST(l_shipdate AS DATE), l_linestatus,
-       CAST(floor(l_extendedprice * 100 / l_quantity) AS BIGINT), CAST(floor(l_discount * 1000 + 0.5) AS BIGINT)
-FROM lineitem""",
-    "px_day": """
+FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey""",
+    "px_sym": """
 SELECT symbol, date,
        CAST(coalesce(sum(CASE WHEN st = 'O' THEN c END), 0) AS BIGINT) AS so, count(CASE WHEN st = 'O' THEN 1 END) AS no,
        CAST(coalesce(sum(CASE WHEN st = 'F' THEN c END), 0) AS BIGINT) AS sf, count(CASE WHEN st = 'F' THEN 1 END) AS nf,
        CAST(sum(d) AS BIGINT) AS sd, count(*) AS n, max(c) AS hi, min(c) AS lo
-FROM px_raw GROUP BY symbol, date""",
+FROM px_own GROUP BY symbol, date""",
+    "px_day": """
+SELECT symbol, date, so, no, sf, nf, sd, n, hi, lo FROM px_sym
+UNION ALL
+SELECT 'SPY', date, CAST(sum(so) AS BIGINT), CAST(sum(no) AS BIGINT), CAST(sum(sf) AS BIGINT), CAST(sum(nf) AS BIGINT), CAST(sum(sd) AS BIGINT), CAST(sum(n) AS BIGINT), max(hi), min(lo) FROM px_sym GROUP BY date""",
     "px_run": """
 SELECT symbol, date, no, nf, n, hi, lo,
        CAST(sum(so) OVER before AS BIGINT) AS os, CAST(sum(no) OVER before AS BIGINT) AS oc,
@@ -111,7 +111,8 @@ SELECT t.trade_id AS position_id, t.trade_id, t.symbol AS ticker, f.filing_date
        CASE WHEN t.trade_id % 3 = 0 THEN 'closed' ELSE 'open' END AS status
 FROM trades t JOIN filings f ON f.doc_id = t.doc_id WHERE t.action = 'BUY' AND t.symbol IS NOT NULL AND t.trade_id % 211 = 0""",
     "runs": """
-SELECT event_id AS run_id, CAST(ts AS TIMESTAMP) AS started_at, CAST(ts AS TIMESTAMP) + {hours:CAST(event_id % 2 AS INT)} AS finished_at,
+SELECT event_id AS run_id, CAST(ts AS TIMESTAMP) + {hours:CAST(floor(event_id / 500) AS INT) * 3} AS started_at,
+       CAST(ts AS TIMESTAMP) + {hours:CAST(floor(event_id / 500) AS INT) * 3 + CAST(event_id % 2 AS INT)} AS finished_at,
        CASE WHEN event_id % 10 = 0 THEN 'failed' WHEN event_id % 17 = 0 THEN 'partial' ELSE 'ok' END AS status, props AS stages
 FROM events""",
     "securities": """
@@ -154,30 +155,25 @@ def oracle(body: str, *names: str) -> str:
     return ("WITH " + ",\n".join(ctes) + ("" if body.lstrip().startswith(",") else "\n") + body) if ctes else body
 
 
-#: Tables of the last folder that were written, by application and folder.
-_kept: dict[tuple[str, str], dict[str, DataFrame]] = {}
-MATERIALISED = ("prices", "trades", "filings")
+MATERIALISED = ("prices",)
 
 
 class Fixture:
     """Lazily made fixture tables of one folder, by name.
 
-    Tables and results that many queries read are made and written once; those of another folder are forgotten.
+    Made for one call of one query: tables and results that this query reads more than once are written once. Another call reads the folder again.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self._made: dict[str, DataFrame] = {}
+        self._kept: dict[str, DataFrame] = {}
 
     def keep(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-        """The frame written under this name, made where there is none."""
-        own = (self.spark.sparkContext.applicationId, self.sf_dir)
-        if own not in _kept:
-            _kept.clear()
-            _kept[own] = {}
-        if name not in _kept[own]:
-            _kept[own][name] = written(make())
-        return _kept[own][name]
+        """The frame written under this name, made where there is none yet."""
+        if name not in self._kept:
+            self._kept[name] = written(make())
+        return self._kept[name]
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._made:

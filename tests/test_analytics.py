@@ -271,3 +271,26 @@ def test_streams(spark, tmp_path):
 def test_calendar_numbers(spark):
     got = trading_days(bars(spark, {}, 5)).orderBy("i").collect()
     assert [(r.i, r.date) for r in got] == list(enumerate(weekdays(5)))
+
+
+def test_a_query_reads_its_folder_anew(spark, sf, tmp_path):
+    """Nothing is kept from one call to the next: half of the orders gone is seen."""
+    from __spark_entry__ import queries
+
+    for name in ("orders", "lineitem", "supplier"):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    scope = queries()["p01_trades_in_scope"]
+    before = scope(spark, str(tmp_path)).count()
+    half = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderkey % 2 = 0")
+    half.write.mode("overwrite").parquet(f"{tmp_path}/orders.parquet")
+    assert 0 < scope(spark, str(tmp_path)).count() < before
+
+
+@pytest.mark.parametrize("age", [1, 100])
+def test_a_lot_counts_at_its_last_close_however_old(spark, age):
+    """A symbol without a close since ``age`` days before the purchase."""
+    trade = [("b", 1, "F1", "X", 200, 202, "close", 10.0, 10.0)]
+    trades = spark.createDataFrame(trade, "book string, trade_id long, doc_id string, symbol string, d0 int, exit_i int, exit_at string, exit_net double, entry_net double")
+    bars = spark.createDataFrame([("X", 200 - age, 10.0)], "symbol string, i int, c double")
+    days = bt.ledger(trades, bars, capital=100.0, size=0.5).where("kind = 'day'").orderBy("i").collect()
+    assert [round(r.equity, 6) for r in days] == [100.0, 100.0, 100.0]
