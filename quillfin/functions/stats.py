@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.numbering import values_at
+
 
 def two_level(df: DataFrame, group: list[str], unit: list[str], values: dict[str, Column], count: str = "n_trades") -> DataFrame:
     """Means per unit (one observation each): the first level of a two-level mean."""
@@ -22,28 +24,27 @@ def shrink(groups: DataFrame, scope: list[str], n: str = "n", mean: str = "mean"
     mu = sum(n mean) / sum(n); s2 = sum((n - 1) var) / sum(n - 1); tau2 = max(var_samp(mean) - avg(s2 / n), 0), both
     unweighted; weight tau2 / (tau2 + s2 / n), 1 where that is 0 / 0. A single group keeps its mean.
     """
-    w = Window.partitionBy(*scope) if scope else Window.partitionBy(F.lit(1))
-    d = F.sum(F.col(n) - 1).over(w)
-    mu = F.sum(F.col(n) * F.col(mean)).over(w) / F.sum(n).over(w)
-    s2 = F.when(d > 0, F.sum((F.col(n) - 1) * F.col(var)).over(w) / d).otherwise(0.0)
-    first = groups.withColumns({"_mu": mu, "_s2": s2, "_k": F.count("*").over(w), "_vm": F.var_samp(mean).over(w)})
-    second = first.withColumn("_tau2", F.greatest(F.coalesce(F.col("_vm"), F.lit(0.0)) - F.avg(F.col("_s2") / F.col(n)).over(w), F.lit(0.0)))
-    total = F.col("_tau2") + F.col("_s2") / F.col(n)
+    n_, m_, v_ = F.col(n), F.col(mean), F.col(var)
+    parts = groups.groupBy(*scope).agg(
+        F.sum(n_ - 1).alias("_d"), (F.sum(n_ * m_) / F.sum(n_)).alias("_mu"), F.sum((n_ - 1) * v_).alias("_sv"), F.count("*").alias("_k"), F.var_samp(m_).alias("_vm"), F.avg(1 / n_).alias("_inv")
+    )
+    both = groups.join(parts, scope) if scope else groups.crossJoin(F.broadcast(parts))  # one row
+    s2 = F.when(F.col("_d") > 0, F.col("_sv") / F.col("_d")).otherwise(0.0)
+    tau2 = F.greatest(F.coalesce(F.col("_vm"), F.lit(0.0)) - F.col("_s2") * F.col("_inv"), F.lit(0.0))
+    both = both.withColumn("_s2", s2).withColumn("_tau2", tau2)
+    total = F.col("_tau2") + F.col("_s2") / n_
     weight = F.when(total > 0, F.col("_tau2") / F.when(total > 0, total)).otherwise(1.0)
-    value = F.when(F.col("_k") < 2, F.col(mean)).otherwise(F.col("_mu") + weight * (F.col(mean) - F.col("_mu")))
-    return second.withColumn(out, value).withColumn("pooled", F.col("_mu")).drop("_mu", "_s2", "_k", "_vm", "_tau2")
+    value = F.when(F.col("_k") < 2, m_).otherwise(F.col("_mu") + weight * (m_ - F.col("_mu")))
+    return both.withColumn(out, value).withColumn("pooled", F.col("_mu")).drop("_d", "_mu", "_sv", "_k", "_vm", "_inv", "_s2", "_tau2")
 
 
 def clip_bounds(df: DataFrame, value: str, scope: list[str], share: float = 0.01) -> DataFrame:
     """(scope, low, high): the values at positions round(share (n - 1)) of the sorted values, halves to even.
 
-    Positions are taken from distinct values with cumulative counts, so equal values are one row.
+    Equal values are one row with a count, and only the sorted runs that hold the two positions are ranked.
     """
-    counts = df.groupBy(*scope, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*scope) if scope else Window.partitionBy(F.lit(1))
-    n = F.sum("_c").over(w)
-    until = F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    placed = counts.withColumns({"_n": n, "_until": until})
-    low = F.bround(F.lit(share) * (F.col("_n") - 1), 0)
-    high = F.bround(F.lit(1 - share) * (F.col("_n") - 1), 0)
-    return placed.groupBy(*scope).agg(F.min(F.when(F.col("_until") > low, F.col(value))).alias("low"), F.min(F.when(F.col("_until") > high, F.col(value))).alias("high"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*scope, value).agg(F.count("*").alias("_c"))
+    if not scope:
+        counts = counts.withColumn("_all", F.lit(1))
+    at = lambda s: F.bround(F.lit(s) * (F.col("n") - 1), 0)
+    return values_at(counts, scope or ["_all"], value, "_c", {"low": at(share), "high": at(1 - share)}).drop("_all")

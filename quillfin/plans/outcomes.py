@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import written
 from ..operators.calendar import BENCHMARK, last_day_map, trading_days, with_entry
+from ..operators.snapshots import Versioned
+from ..session import written
 
 HORIZONS = (1, 5, 10, 20, 60)
 DELAYS = (1, 2, 3, 5)
@@ -95,3 +96,8 @@ def compute(trades: DataFrame, filings: DataFrame, prices: DataFrame, horizons=H
     for k in delays:
         out[f"open_infl_{k}"] = F.when(F.col("d0_open").isNotNull() & F.col(f"o{k}").isNotNull(), F.col("d0_open") / F.col(f"o{k}") - 1)
     return joined.select("trade_id", "doc_id", "member_id", "symbol", "d0", "d0_date", "copyable", *(v.alias(k) for k, v in out.items()))
+
+
+def store(table: Versioned, outcomes: DataFrame) -> dict[str, int]:
+    """Outcomes in place of the stored ones: what fell out of scope goes, and only buckets in which a row differs are written."""
+    return table.update(lambda _: outcomes)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,11 +14,15 @@ from ..operators import exits as ex
 from ..operators import matching, merge
 from ..operators.asof import asof
 from ..operators.calendar import trading_days, with_entry
-from ..session import written
+from ..operators.numbering import batches, stalest
+from ..operators.snapshots import Versioned
+from ..session import shared, written
 from ..sources.fixture import Fixture
 from . import backtest as bt
+from . import decisions as dn
 from . import facts as ft
 from . import outcomes as oc
+from . import positions as ps
 from . import rankings as rk
 from . import reads as rd
 from .oracles import COPY, H, K, shrunk, sql
@@ -329,21 +335,49 @@ def _(fx):
     return rd.watched(fx["watchlist"], fx["members"])
 
 
-VALUED = """, lastp AS (SELECT symbol, arg_max(close, date) AS last_close, max(date) AS last_date FROM prices WHERE close IS NOT NULL GROUP BY symbol),
-val AS (SELECT p.*, last_close, CASE WHEN status = 'open' THEN last_close ELSE sell_price END AS price,
-  (SELECT arg_max(close, date) FROM prices s WHERE s.symbol = 'SPY' AND close IS NOT NULL AND s.date <= coalesce(sell_date, last_date)) AS so,
-  (SELECT arg_min(close, date) FROM prices s WHERE s.symbol = 'SPY' AND close IS NOT NULL AND s.date >= buy_date) AS si
-  FROM positions p LEFT JOIN lastp ON symbol = ticker)"""
+VALUED = """, cl AS (SELECT * FROM prices WHERE close IS NOT NULL), spyc AS (SELECT * FROM cl WHERE symbol = 'SPY'),
+fst AS (SELECT p.*, f.date AS first_date, f.close AS first_close, coalesce(abs(f.close / buy_price - 1) > 0.4::DOUBLE, false) AS split FROM positions p ASOF LEFT JOIN cl f ON f.symbol = p.ticker AND f.date >= p.buy_date),
+lst AS (SELECT symbol, arg_max(close, date) AS last_close, max(date) AS last_date FROM cl GROUP BY symbol),
+now_ AS (SELECT f.*, CASE WHEN status = 'open' THEN CASE WHEN NOT split AND first_date IS NOT NULL THEN last_close END ELSE sell_price END AS price, CASE WHEN status = 'open' THEN CASE WHEN NOT split AND first_date IS NOT NULL THEN last_date END ELSE sell_date END AS end_date FROM fst f LEFT JOIN lst ON symbol = ticker),
+val AS (SELECT n.*, a.close AS si, b.close AS so FROM now_ n ASOF LEFT JOIN spyc a ON a.date <= n.buy_date ASOF LEFT JOIN spyc b ON b.date <= n.end_date)"""
 
 
-@query("q15_positions_value", VALUED + " SELECT position_id, status, round(price, 6) AS price, round(price * shares, 4) AS value, round((price - buy_price) * shares, 4) AS pnl, round(price / buy_price - 1, 6) AS ret, round(so / si - 1, 6) AS spy_ret FROM val")
+@query("q15_positions_value", VALUED + """, w AS (SELECT v.*, triggered_on, e.reason AS exit_reason, status = 'open' AND triggered_on IS NULL AS watched, regexp_extract(exit_rule, '^([a-z_]+)', 1) AS rule FROM val v LEFT JOIN exit_alerts e ON e.position_id = v.position_id),
+later AS (SELECT position_id, max(high) AS high FROM w JOIN prices p ON p.symbol = w.ticker AND p.date > w.first_date GROUP BY position_id),
+held AS (SELECT position_id, count(*) AS n FROM w JOIN prices s ON s.symbol = 'SPY' AND s.date > w.buy_date GROUP BY position_id),
+tr AS (SELECT symbol, date, greatest(high, pc) - least(low, pc) AS tr, row_number() OVER (PARTITION BY symbol ORDER BY date) AS k FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY date) AS pc FROM cl WHERE high IS NOT NULL)),
+atr AS (SELECT symbol, date, CASE WHEN k > 14 THEN avg(tr) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) END AS atr FROM tr),
+x AS (SELECT w.*, greatest(buy_price, first_close, later.high) AS high, atr.atr, coalesce(held.n, 0) AS days FROM (SELECT w.* FROM w) w ASOF LEFT JOIN atr ON atr.symbol = w.ticker AND atr.date < w.first_date LEFT JOIN later USING (position_id) LEFT JOIN held USING (position_id))
+SELECT position_id, status, round(price, 6) AS price, round(price * shares, 4) AS value, round((price - buy_price) * shares, 4) AS pnl, round(price / buy_price - 1, 6) AS ret, round(CASE WHEN price IS NOT NULL THEN so / si - 1 END, 6) AS spy_ret, round(CASE WHEN price IS NOT NULL THEN price / buy_price - 1 - (so / si - 1) END, 6) AS excess,
+  split, triggered_on, exit_reason, CASE WHEN watched THEN CAST(days AS INT) END AS days_held, CASE WHEN watched THEN CASE rule WHEN 'fixed_hold' THEN 20 ELSE 60 END END AS max_hold,
+  round(CASE WHEN watched THEN CASE rule WHEN 'stop_target' THEN buy_price * (1 - 0.08::DOUBLE) WHEN 'trailing_stop' THEN CASE WHEN NOT split AND first_date IS NOT NULL THEN high END * (1 - 0.1::DOUBLE) WHEN 'atr_stop' THEN CASE WHEN NOT split AND first_date IS NOT NULL THEN high - 3 * atr END END END, 4) AS stop_level,
+  round(CASE WHEN watched AND rule = 'stop_target' THEN buy_price * (1 + 0.2::DOUBLE) END, 4) AS target_level FROM x""")
 def _(fx):
-    return rd.positions_with_value(fx["positions"], fx["prices"]).select("position_id", "status", *r6("price"), F.round("value", 4).alias("value"), F.round("pnl", 4).alias("pnl"), *r6("ret", "spy_ret"))
+    rows = ps.rule_status(ps.valued(fx["positions"], fx["prices"]), fx["prices"], fx["exit_alerts"])
+    level = lambda c: F.round(c, 4).alias(c)
+    return rows.select("position_id", "status", *r6("price"), level("value"), level("pnl"), *r6("ret", "spy_ret", "excess"), "split", "triggered_on", "exit_reason", F.col("days_held").cast("int").alias("days_held"), "max_hold", level("stop_level"), level("target_level"))
 
 
 @query("a26_portfolio_totals", VALUED + " SELECT round(sum(buy_price * shares), 2) AS cost, round(sum(price * shares), 2) AS value, round(sum((price - buy_price) * shares), 2) AS pnl FROM val WHERE status = 'open' AND price IS NOT NULL")
 def _(fx):
-    return rd.portfolio_totals(rd.positions_with_value(fx["positions"], fx["prices"])).select(*(F.round(c, 2).alias(c) for c in ("cost", "value", "pnl")))
+    return rd.portfolio_totals(ps.valued(fx["positions"], fx["prices"])).select(*(F.round(c, 2).alias(c) for c in ("cost", "value", "pnl")))
+
+
+@query("j16_member_sales", """SELECT p.position_id, arg_min(s.doc_id, (coalesce(f.available_at, f.first_seen_at), s.doc_id)) AS doc_id, CAST(min(coalesce(f.available_at, f.first_seen_at)) AS DATE) AS sold_on
+FROM positions p JOIN trades src ON src.trade_id = p.trade_id JOIN trades s ON s.member_id = src.member_id AND s.symbol = coalesce(src.symbol, p.ticker) JOIN filings f ON f.doc_id = s.doc_id
+WHERE s.action IN ('SELL', 'SELL_PARTIAL') AND CAST(coalesce(f.available_at, f.first_seen_at) AS DATE) >= p.buy_date GROUP BY p.position_id""")
+def _(fx):
+    return ps.member_sales(fx["positions"], fx["trades"], fx["filings"])
+
+
+#: The rules that the fixture's positions carry, by their stored labels.
+OWN_RULES = {"fixed_hold(days=20)": ex.Rule("fixed_hold", 20), "trailing_stop(pct=0.1)": ex.Rule("trailing_stop", pct=0.1), "stop_target(stop=0.08, target=0.2)": ex.Rule("stop_target", stop=0.08, target=0.2), "atr_stop(mult=3, n=14)": ex.Rule("atr_stop", mult=3, n=14), "member_sale()": ex.Rule("member_sale")}
+
+
+@query("d35_due_exits")
+def _(fx):
+    found = ps.due_exits(fx["positions"], fx["trades"], fx["filings"], fx["prices"], OWN_RULES, fx["exit_alerts"])
+    return found.select("position_id", "reason", "day", *r6("price", "close"))
 
 
 @query("a12_review_queue", """SELECT chamber, filing_year, count(*) AS filings, count(*) FILTER (parse_status = 'parsed') AS parsed, count(*) FILTER (parse_status = 'needs_review' AND doc_format = 'scanned') AS scanned,
@@ -529,10 +563,10 @@ def _(fx):
     return fx["trades"].select("trade_id", F.datediff("disclosure_date", "tx_date").alias("days"), sc.business_days(F.col("tx_date"), F.col("disclosure_date")).alias("weekdays"))
 
 
-@query("f14_rule_labels", """, p AS (SELECT position_id, regexp_extract(exit_rule, '^([a-z_]+)', 1) AS rule, regexp_extract(exit_rule, '\\((.*)\\)', 1) AS args, regexp_extract(exit_rule, 'days=([0-9]+)', 1) AS days,
+@query("f14_rule_labels", """, p AS (SELECT position_id, regexp_extract(exit_rule, '^([a-z_]+)', 1) AS rule, regexp_extract(exit_rule, '\\((.*)\\)', 1) AS args, regexp_extract(exit_rule, 'days=([0-9]+)', 1) AS days, regexp_extract(exit_rule, 'mult=([0-9.]+)', 1) AS mult,
   CAST(nullif(regexp_extract(exit_rule, 'pct=([0-9.]+)', 1), '') AS DOUBLE) AS pct, CAST(nullif(regexp_extract(exit_rule, 'stop=([0-9.]+)', 1), '') AS DOUBLE) AS stop, CAST(nullif(regexp_extract(exit_rule, 'target=([0-9.]+)', 1), '') AS DOUBLE) AS target FROM positions)
 SELECT position_id, rule, CASE WHEN args <> '' THEN '{"' || replace(replace(replace(args, ' ', ''), '=', '":"'), ',', '","') || '"}' END AS params, CASE rule WHEN 'fixed_hold' THEN 'hold ' || days || ' trading days'
-  WHEN 'stop_target' THEN 'stop ' || CAST(round(stop * 100) AS INT) || '% below entry, target ' || CAST(round(target * 100) AS INT) || '% above entry' WHEN 'trailing_stop' THEN 'stop ' || CAST(round(pct * 100) AS INT) || '% below the high' ELSE 'sell when the member does' END AS text FROM p""")
+  WHEN 'stop_target' THEN 'stop ' || CAST(round(stop * 100) AS INT) || '% below entry, target ' || CAST(round(target * 100) AS INT) || '% above entry' WHEN 'trailing_stop' THEN 'stop ' || CAST(round(pct * 100) AS INT) || '% below the high' WHEN 'atr_stop' THEN 'stop ' || mult || ' true ranges below the high' ELSE 'sell when the member does' END AS text FROM p""")
 def _(fx):
     name, params = sc.rule_parts(F.col("exit_rule"))
     return fx["positions"].select("position_id", name.alias("rule"), F.to_json(params).alias("params"), sc.rule_text(F.col("exit_rule")).alias("text"))
@@ -663,6 +697,114 @@ def _(fx):
 
 
 
+@query("t09_asset_batches", """, starts AS (SELECT asset_name, min(tx_date) AS start FROM trades GROUP BY asset_name), o AS (SELECT *, row_number() OVER (ORDER BY start, asset_name) AS n FROM starts)
+SELECT (n - 1) // 50 AS batch, min(start) AS start, count(*) AS n_assets, string_agg(asset_name, ',' ORDER BY n) AS assets FROM o GROUP BY 1""")
+def _(fx):
+    starts = fx["trades"].groupBy("asset_name").agg(F.min("tx_date").alias("start"))
+    return batches(starts, "asset_name", "start").select("batch", "start", F.size("keys").cast("long").alias("n_assets"), F.array_join("keys", ",").alias("assets"))
+
+
+@query("t08_stalest_first", """, seen AS (SELECT ticker, max(disclosure_date) AS last FROM trades GROUP BY ticker), d AS (SELECT s.symbol, s.market_cap, seen.last, CASE WHEN market_cap IS NULL THEN 7 ELSE 30 END AS fresh_days FROM securities s LEFT JOIN seen ON seen.ticker = s.symbol)
+SELECT symbol, row_number() OVER (ORDER BY last NULLS FIRST, symbol) AS n FROM d WHERE last IS NULL OR last < DATE '2001-12-31' - fresh_days ORDER BY n LIMIT 300""")
+def _(fx):
+    seen = fx["trades"].groupBy(F.col("ticker").alias("symbol")).agg(F.max("disclosure_date").alias("last"))
+    due = fx["securities"].join(seen, "symbol", "left").withColumn("fresh_days", F.when(F.col("market_cap").isNull(), 7).otherwise(30))
+    return stalest(due, "symbol", "last", F.col("fresh_days"), "2001-12-31").select("symbol", "n")
+
+
+# --- versioned tables, decisions, report windows
+
+
+def folder(fx: Fixture, name: str) -> str:
+    return f"{shared(fx.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("w08_outcomes_replaced", "SELECT trade_id, symbol, d0_date, complete, " + s6("ret_20", "abn_ret_20") + " FROM outcomes WHERE trade_id IN (SELECT trade_id FROM trades WHERE NOT (trade_id % 16 = 3 AND ticker_status = 'renamed'))")
+def _(fx):
+    """All outcomes are stored; then some symbols leave the scope, and their rows go from the stored table."""
+    schema = "trade_id long, symbol string, d0_date date, complete boolean, ret_20 double, abn_ret_20 double"
+    stored = Versioned(fx.spark, folder(fx, "outcomes"), schema, ["trade_id"])
+    out = outcomes_of(fx)
+    oc.store(stored, out)
+    gone = fx["trades"].where("trade_id % 16 = 3 and ticker_status = 'renamed'").select("trade_id")
+    oc.store(stored, out.join(gone, "trade_id", "left_anti"))
+    return stored.read().select("trade_id", "symbol", "d0_date", "complete", *r6("ret_20", "abn_ret_20"))
+
+
+#: Some proposals of the fixture more often, so that members have several in a row.
+ASKED = """SELECT proposal_id + 1000 * k AS proposal_id, CASE WHEN k = 0 THEN kind WHEN proposal_id % 11 = 0 THEN 'note' WHEN (proposal_id + k) % 3 = 0 THEN 'add' ELSE 'remove' END AS kind, member_id, 'proposal ' || CAST(proposal_id + 1000 * k AS STRING) AS title,
+  CASE WHEN k = 0 THEN approved END AS approved, CAST(CASE WHEN k = 0 THEN decided_on END AS TIMESTAMP) AS decided_at, CAST(CASE WHEN k = 0 THEN applied_on END AS TIMESTAMP) AS applied_at, CASE WHEN k = 0 AND applied_on IS NOT NULL THEN 'applied' END AS apply_result
+FROM proposals CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) AS ks"""
+DECIDED = "SELECT CAST(CASE WHEN proposal_id % 13 = 5 THEN proposal_id + 90000 ELSE proposal_id END AS INT) AS proposal_id, CASE WHEN proposal_id % 4 = 0 THEN 0 ELSE 1 END AS approved, CAST(DATE '2001-08-01' AS TIMESTAMP) AS decided_at FROM asked"
+
+
+def desk_of(fx: Fixture) -> tuple[dn.Desk, DataFrame]:
+    """The fixture's proposals and watchlist as stored, and decisions on them."""
+    desk = dn.Desk(fx.spark, folder(fx, "desk"))
+    asked = fx.spark.sql(ASKED.replace("FROM proposals", "FROM {proposals}"), proposals=fx["proposals"])
+    desk.proposals.commit(asked, 0)
+    start = F.lit("2000-01-01").cast("timestamp_ntz")
+    desk.watchlist.commit(fx["watchlist"].select("member_id", start.alias("added_at"), "reason", "active", F.lit("2001-07-01").cast("timestamp_ntz").alias("changed_at")), 0)
+    return desk, fx.spark.sql(DECIDED.replace("FROM asked", "FROM {asked}"), asked=asked)
+
+
+@query("q22_decisions", f", asked AS ({ASKED}), d AS ({DECIDED}) SELECT d.proposal_id, CASE WHEN a.proposal_id IS NULL THEN 'not found' WHEN a.applied_at IS NOT NULL THEN 'already applied' ELSE 'decided' END AS state FROM d LEFT JOIN asked a ON a.proposal_id = d.proposal_id")
+def _(fx):
+    desk, decisions = desk_of(fx)
+    return desk.decide(decisions)
+
+
+APPLIED = f""", asked AS ({ASKED}), d AS ({DECIDED}), p AS (SELECT a.*, CASE WHEN a.applied_at IS NULL AND d.decided_at IS NOT NULL THEN d.approved ELSE a.approved END AS ok FROM asked a LEFT JOIN d ON d.proposal_id = a.proposal_id),
+old AS (SELECT member_id, kind, title, proposal_id FROM asked WHERE apply_result = 'applied' AND member_id NOT IN (SELECT member_id FROM watchlist)),
+due AS (SELECT p.*, coalesce(w.active, CASE WHEN p.member_id IN (SELECT member_id FROM old WHERE kind = 'add') THEN 1 END) AS active, lag(CASE WHEN kind <> 'note' THEN kind END IGNORE NULLS) OVER (PARTITION BY p.member_id ORDER BY proposal_id) AS was FROM p LEFT JOIN watchlist w ON w.member_id = p.member_id WHERE ok = 1 AND applied_at IS NULL),
+res AS (SELECT *, CASE WHEN kind = 'note' THEN 'acknowledged' WHEN kind = 'add' OR coalesce(was = 'add', active = 1, false) THEN 'applied' ELSE 'failed: not on the watchlist any more' END AS result FROM due)"""
+
+
+@query("d59_applied_proposals", APPLIED + " SELECT p.proposal_id, p.ok AS approved, coalesce(res.result, p.apply_result) AS apply_result, p.applied_at IS NOT NULL OR res.result IS NOT NULL AS applied FROM p LEFT JOIN res ON res.proposal_id = p.proposal_id")
+def _(fx):
+    desk, decisions = desk_of(fx)
+    desk.decide(decisions)
+    desk.apply("2001-08-02")
+    desk.apply("2001-08-03")  # nothing is applied twice
+    return desk.proposals.read().select("proposal_id", "approved", "apply_result", F.col("applied_at").isNotNull().alias("applied"))
+
+
+@query("d59_watchlist", APPLIED + """, fin AS (SELECT member_id, arg_max(kind, proposal_id) AS kind, arg_max(title, CASE WHEN kind = 'add' THEN proposal_id END) AS title FROM (SELECT member_id, kind, title, proposal_id FROM res WHERE result = 'applied' UNION ALL SELECT * FROM old) GROUP BY member_id)
+SELECT coalesce(w.member_id, fin.member_id) AS member_id, CASE fin.kind WHEN 'add' THEN 1 WHEN 'remove' THEN 0 ELSE w.active END AS active, coalesce(fin.title, w.reason) AS reason FROM watchlist w FULL JOIN fin ON fin.member_id = w.member_id""")
+def _(fx):
+    desk, decisions = desk_of(fx)
+    desk.decide(decisions)
+    desk.apply("2001-08-02")
+    return desk.watchlist.read().select("member_id", "active", "reason")
+
+
+RUNS_AT = ("1996-01-01 12:00:00", "1998-06-01 00:00:00", "1998-06-02 18:00:00", "2001-03-01 00:00:00")
+
+
+@query("r11_report_windows", f"""SELECT CASE WHEN first_seen_at < TIMESTAMP '{RUNS_AT[0]}' THEN '1995-12-31T12:00' WHEN first_seen_at < TIMESTAMP '{RUNS_AT[2]}' THEN '1996-01-01T12:00' ELSE '1998-06-02T18:00' END AS since, count(*) AS filings, min(first_seen_at) AS first_at, max(first_seen_at) AS last_at
+FROM filings WHERE first_seen_at >= TIMESTAMP '1995-12-31 12:00:00' AND first_seen_at < TIMESTAMP '{RUNS_AT[3]}' GROUP BY 1""")
+def _(fx):
+    """Reports at four moments; the second fails after it has written, so the third covers its window, too."""
+    markers = Versioned(fx.spark, folder(fx, "markers"), dn.MARKERS, ["source"])
+    out = folder(fx, "reports")
+
+    def write(rows, name):
+        rows.select("doc_id", F.col("first_seen_at").cast("timestamp_ntz").alias("at")).write.mode("overwrite").parquet(f"{out}/window={name}")
+
+    def broken(rows, name):
+        write(rows, name)
+        raise OSError("no connection")
+
+    for k, now in enumerate(RUNS_AT):
+        try:
+            dn.report(markers, "digest", fx["filings"], "first_seen_at", datetime.fromisoformat(now), broken if k == 1 else write)
+        except OSError:
+            continue
+    rows = fx.spark.read.schema("doc_id string, at timestamp_ntz, window string").parquet(out)
+    since = F.date_format(F.to_timestamp_ntz(F.substring("window", 8, 15), F.lit("yyyyMMdd'T'HHmmss")), "yyyy-MM-dd'T'HH:mm")
+    return rows.groupBy(since.alias("since")).agg(F.count("*").alias("filings"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+
+
 # --- facts, positions, nested reads
 
 
@@ -676,8 +818,7 @@ def _(fx):
 def _(fx):
     days, _ = ex.benchmark(fx["prices"])
     n_days = int(days.agg(F.max("i")).first()[0]) + 1
-    p = fx["positions"].withColumn("buy_price", F.col("buy_price") * 50)
-    return ft.position_exits(p, ex.series(fx["prices"], days), days, n_days, ex.Rule("trailing_stop", pct=0.1)).select("position_id", "exit_i", *r6("exit_price"), "exit_at", "reason")
+    return ft.position_exits(fx["positions"], ex.series(fx["prices"], days), days, n_days, ex.Rule("trailing_stop", pct=0.1)).select("position_id", "exit_i", *r6("exit_price"), "exit_at", "reason")
 
 
 @query("q10_trade_detail", """SELECT t.trade_id, t.symbol, coalesce(m.name, f.filer_name) AS member_name, f.filing_date, o.d0_date, o.complete, round(ret_20, 6) AS ret_20 FROM trades t LEFT JOIN members m ON m.member_id = t.member_id LEFT JOIN filings f ON f.doc_id = t.doc_id

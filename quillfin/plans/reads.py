@@ -115,20 +115,6 @@ def watched(watchlist: DataFrame, members: DataFrame) -> DataFrame:
     return watchlist.where("active = 1").select("member_id", "reason").join(members.select("member_id", "name", "chamber", "party"), "member_id").orderBy("name")
 
 
-def positions_with_value(positions: DataFrame, prices: DataFrame) -> DataFrame:
-    """Positions with the last close (open ones) or sale price, profit, and the benchmark's change since the first bar on or after the purchase."""
-    closes = prices.where("close is not null")
-    last = closes.groupBy("symbol").agg(F.max_by("close", "date").alias("last_close"), F.max("date").alias("last_date"))
-    rows = positions.join(last.withColumnRenamed("symbol", "ticker"), "ticker", "left")
-    spy = closes.where("symbol = 'SPY'").select(F.lit("SPY").alias("k"), "date", "close")
-    rows = asof(rows.withColumn("k", F.lit("SPY")).withColumn("until", F.coalesce("sell_date", "last_date")), spy.withColumnRenamed("close", "spy_in"), "k", "buy_date", ["spy_in"], forward=True, prefix="in_")
-    rows = asof(rows, spy.withColumnRenamed("close", "spy_out"), "k", "until", ["spy_out"], prefix="out_")
-    price = F.when(F.col("status") == "open", F.col("last_close")).otherwise(F.col("sell_price"))
-    return rows.withColumns({
-        "price": price, "value": price * F.col("shares"), "pnl": (price - F.col("buy_price")) * F.col("shares"), "ret": price / F.col("buy_price") - 1, "spy_ret": F.col("out_spy_out") / F.col("in_spy_in") - 1,
-    })
-
-
 def portfolio_totals(valued: DataFrame) -> DataFrame:
     own = valued.where("status = 'open' and value is not null")
     return own.agg(F.sum(F.col("buy_price") * F.col("shares")).alias("cost"), F.sum("value").alias("value"), F.sum("pnl").alias("pnl"))

@@ -30,16 +30,18 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder that all executors share, and read from there: its plan is cut.
-
-    Only a local master may do without ``spark.checkpoint.dir``.
-    """
-    spark = df.sparkSession
+def shared(spark: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share. Only a local master may do without ``spark.checkpoint.dir``."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt-"))
+    return sc.getCheckpointDir()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder, and read from there: its plan is cut."""
+    shared(df.sparkSession)
     return df.checkpoint()

@@ -104,12 +104,14 @@ UNION ALL
 SELECT trade_id * 2, t.trade_id, f.available_at + {hours:3}, CAST(trade_id % 97 AS INT), 'held'
 FROM trades t JOIN filings f ON f.doc_id = t.doc_id WHERE t.action = 'BUY' AND t.trade_id % 38 = 0""",
     "positions": """
-SELECT t.trade_id AS position_id, t.trade_id, t.symbol AS ticker, f.filing_date + 1 AS buy_date, CAST(10 + t.trade_id % 90 AS DOUBLE) AS buy_price,
+SELECT t.trade_id AS position_id, t.trade_id, t.symbol AS ticker, f.filing_date + 1 AS buy_date, CAST(2800 + 50 * (t.trade_id % 90) AS DOUBLE) AS buy_price,
        CAST(1 + t.trade_id % 20 AS DOUBLE) AS shares,
-       CASE t.trade_id % 4 WHEN 0 THEN 'fixed_hold(days=20)' WHEN 1 THEN 'trailing_stop(pct=0.1)' WHEN 2 THEN 'stop_target(stop=0.08, target=0.2)' ELSE 'member_sale()' END AS exit_rule,
-       CASE WHEN t.trade_id % 3 = 0 THEN f.filing_date + 40 END AS sell_date, CASE WHEN t.trade_id % 3 = 0 THEN CAST(12 + t.trade_id % 80 AS DOUBLE) END AS sell_price,
+       CASE t.trade_id % 5 WHEN 0 THEN 'fixed_hold(days=20)' WHEN 1 THEN 'trailing_stop(pct=0.1)' WHEN 2 THEN 'stop_target(stop=0.08, target=0.2)' WHEN 3 THEN 'atr_stop(mult=3, n=14)' ELSE 'member_sale()' END AS exit_rule,
+       CASE WHEN t.trade_id % 3 = 0 THEN f.filing_date + 40 END AS sell_date, CASE WHEN t.trade_id % 3 = 0 THEN CAST(3000 + 40 * (t.trade_id % 80) AS DOUBLE) END AS sell_price,
        CASE WHEN t.trade_id % 3 = 0 THEN 'closed' ELSE 'open' END AS status
 FROM trades t JOIN filings f ON f.doc_id = t.doc_id WHERE t.action = 'BUY' AND t.symbol IS NOT NULL AND t.trade_id % 211 = 0""",
+    "exit_alerts": """
+SELECT position_id, buy_date + 30 AS triggered_on, 'stop' AS reason FROM positions WHERE status = 'open' AND position_id % 7 = 3""",
     "runs": """
 SELECT event_id AS run_id, CAST(ts AS TIMESTAMP) + {hours:CAST(floor(event_id / 500) AS INT) * 3} AS started_at,
        CAST(ts AS TIMESTAMP) + {hours:CAST(floor(event_id / 500) AS INT) * 3 + CAST(event_id % 2 AS INT)} AS finished_at,
