@@ -10,14 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
+from ..functions.tolerant import summary_of
 from ..operators import exits as ex
 from ..operators import matching, merge
 from ..operators.asof import asof
 from ..operators.calendar import trading_days, with_entry
-from ..operators.numbering import batches, stalest
+from ..operators.numbering import batches, numbered, stalest
 from ..operators.snapshots import Versioned
 from ..session import shared, written
+from ..sources import remote
 from ..sources.fixture import Fixture
+from ..streaming.watch import replayed
 from . import backtest as bt
 from . import decisions as dn
 from . import facts as ft
@@ -25,6 +28,7 @@ from . import outcomes as oc
 from . import positions as ps
 from . import rankings as rk
 from . import reads as rd
+from . import weekly as wk
 from .oracles import COPY, H, K, shrunk, sql
 
 REGISTRY: dict[str, tuple[Callable[[Fixture], DataFrame], str | None]] = {}
@@ -805,6 +809,87 @@ def _(fx):
     return rows.groupBy(since.alias("since")).agg(F.count("*").alias("filings"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
 
 
+# --- streams and sources
+
+TICKS = "SELECT user_id AS position_id, event_id AS tick, ts AS moment, value AS price, 0.5 + CAST(user_id % 7 AS DOUBLE) / 10 AS stop, 90 + CAST(user_id % 50 AS DOUBLE) * 2 AS target FROM events"
+
+
+@query("r07_alerts_once", f"""WITH t AS ({TICKS.replace("0.5 +", "0.5::DOUBLE +")}), f AS (SELECT position_id, min(moment) + to_days(20) AS ends FROM t GROUP BY position_id)
+SELECT position_id, 'stop' AS rule, min(moment) AS fired_at, arg_min(price, (moment, tick)) AS price FROM t WHERE price <= stop GROUP BY position_id
+UNION ALL SELECT position_id, 'target', min(moment), arg_min(price, (moment, tick)) FROM t WHERE price >= target GROUP BY position_id
+UNION ALL SELECT position_id, 'hold', date_trunc('milliseconds', ends), NULL FROM f WHERE ends <= (SELECT max(moment) FROM t) - to_hours(1)""")
+def _(fx):
+    """Events as prices of positions, in three parts; the stream is started anew for each."""
+    ticks = fx.spark.sql(TICKS.replace("FROM events", "FROM {events}"), events=fx["events"]).withColumn("at", F.col("moment").cast("timestamp")).drop("moment")
+    cut = [F.lit(d).cast("timestamp") for d in ("2024-01-05", "2024-01-19")]
+    parts = [ticks.where(F.col("at") < cut[0]), ticks.where((F.col("at") >= cut[0]) & (F.col("at") < cut[1])), ticks.where(F.col("at") >= cut[1])]
+    return replayed(fx.spark, parts, folder(fx, "watch"), 20).withColumnRenamed("at", "fired_at")
+
+
+@query("s04_paged_listing", "SELECT CAST((row_number() OVER (ORDER BY page_id) - 1) // 100 AS INT) AS page, CAST((row_number() OVER (ORDER BY page_id) - 1) % 100 AS INT) AS position, CAST(page_id AS VARCHAR) AS doc_id, url AS title FROM pages")
+def _(fx):
+    """The table's URLs published as pages of a listing, and read back page by page."""
+    path = folder(fx, "listing")
+    remote.publish_listing(numbered(fx["pages"].select("page_id", "url"), ["page_id"]).select((F.col("n") - 1).alias("n"), F.col("page_id").cast("string").alias("doc_id"), F.col("url").alias("title")), path)
+    return remote.listing(fx.spark, path)
+
+
+@query("s13_quotes", "SELECT symbol, date, round(open, 3) AS open, round(close, 3) AS close, CAST(volume AS BIGINT) AS volume FROM prices WHERE symbol IN ('N3', 'N8', 'SPY') AND date >= DATE '1998-01-01' AND date < DATE '1999-07-01'")
+def _(fx):
+    path = folder(fx, "quotes")
+    remote.publish_quotes(fx["prices"], path)
+    own = remote.quotes(fx.spark, path).where(F.col("symbol").isin("N3", "N8", "SPY") & (F.col("date") >= F.lit("1998-01-01").cast("date")) & (F.col("date") < F.lit("1999-07-01").cast("date")))
+    return own.select("symbol", "date", F.round("open", 3).alias("open"), F.round("close", 3).alias("close"), "volume")
+
+
+# --- the weekly review
+
+TODAY = "2001-06-30"
+
+
+@query("a27_alert_performance", f""", per AS (SELECT t.doc_id, x.h, min(o.d0_date) AS d0, avg(CASE x.h WHEN 5 THEN abn_ret_5 ELSE abn_ret_20 END) AS abn FROM alerts a JOIN trades t ON t.trade_id = a.trade_id JOIN outcomes o ON o.trade_id = t.trade_id JOIN filings f ON f.doc_id = t.doc_id, (VALUES (5), (20)) x(h)
+  WHERE a.rule = 'watchlist' AND o.copyable AND f.available_basis = 'seen' AND CASE x.h WHEN 5 THEN abn_ret_5 ELSE abn_ret_20 END IS NOT NULL GROUP BY t.doc_id, x.h)
+SELECT s.span, CAST(k.h AS INT) AS horizon, count(per.abn) AS filings, round(avg(abn), 6) AS mean_abn_ret, round(avg(CASE WHEN abn > 0 THEN 1::DOUBLE WHEN abn IS NOT NULL THEN 0::DOUBLE END), 6) AS hit_rate
+FROM (VALUES ('all'), ('recent')) s(span) CROSS JOIN (VALUES (5), (20)) k(h) LEFT JOIN per ON per.h = k.h AND (s.span = 'all' OR d0 >= DATE '{TODAY}' - 90) GROUP BY s.span, k.h""")
+def _(fx):
+    return wk.alert_performance(fx["alerts"], fx["trades"], fx["filings"], outcomes_of(fx), TODAY).select("span", "horizon", "filings", *r6("mean_abn_ret", "hit_rate"))
+
+
+@query("d43_ranking_moves", """, b AS (SELECT member_id, shrunk_score, CASE WHEN n_filings >= 20 THEN row_number() OVER (PARTITION BY n_filings >= 20 ORDER BY shrunk_score DESC, mean_ret - mean_spy_ret DESC, member_id) END AS rank FROM member_stats WHERE horizon = 5),
+j AS (SELECT m.member_id, m.name, s.member_id IS NOT NULL AS here, s.rank, b.rank AS rank_before, s.shrunk_score, b.shrunk_score AS score_before, coalesce(w.active, 0) = 1 AS watched FROM members m LEFT JOIN scores s ON s.member_id = m.member_id LEFT JOIN b ON b.member_id = m.member_id LEFT JOIN watchlist w ON w.member_id = m.member_id),
+x AS (SELECT 'top' AS section, * FROM j WHERE rank <= 10 UNION ALL SELECT 'newly ranked', * FROM j WHERE rank IS NOT NULL AND rank_before IS NULL UNION ALL SELECT 'dropped', * FROM j WHERE rank IS NULL AND rank_before IS NOT NULL UNION ALL SELECT 'watched', * FROM j WHERE watched AND here)
+SELECT section, member_id, name, rank, rank_before, round(shrunk_score, 6) AS shrunk_score, round(score_before, 6) AS score_before FROM x""")
+def _(fx):
+    out = outcomes_of(fx)
+    return wk.ranking_moves(rk.member_scores(out), rk.member_scores(out, 5), fx["members"], fx["watchlist"]).select("section", "member_id", "name", "rank", "rank_before", *r6("shrunk_score", "score_before"))
+
+
+@query("d43_weekly_facts")
+def _(fx):
+    out = outcomes_of(fx)
+    books = wk.last_books(fx["runs"].select((F.col("run_id") % 6).cast("string").alias("book"), "run_id", "status"))
+    pending = fx["proposals"].where("approved is null and applied_on is null").select("proposal_id", "kind", "member_id")
+    notes = wk.caveats(rd.coverage(rd.price_needs(fx["trades"], "1995-12-01"), fx["prices"]), fx["filings"])
+    performance = wk.alert_performance(fx["alerts"], fx["trades"], fx["filings"], out, TODAY)
+    return wk.facts("2001-W26", performance, wk.ranking_moves(rk.member_scores(out), rk.member_scores(out, 5), fx["members"], fx["watchlist"]), books, pending, notes)
+
+
+@query("j19_last_books", "SELECT book, run_id, status FROM (SELECT CAST(run_id % 6 AS VARCHAR) AS book, run_id, status, row_number() OVER (PARTITION BY run_id % 6 ORDER BY run_id DESC) AS k FROM runs) WHERE k = 1")
+def _(fx):
+    return wk.last_books(fx["runs"].select((F.col("run_id") % 6).cast("string").alias("book"), "run_id", "status"))
+
+
+#: Findings of runs, some of them damaged: cut off, blank, no JSON, an object, an array with odd entries.
+FINDINGS = """SELECT event_id AS run_id, CASE event_id % 7 WHEN 0 THEN props WHEN 1 THEN '[' || props || ', {"claim": "c' || CAST(event_id AS STRING) || '", "source": "s"}]' WHEN 2 THEN substr(props, 1, 4) WHEN 3 THEN '  ' WHEN 4 THEN NULL
+  WHEN 5 THEN '["plain", {"claim": "x"}, 3]' ELSE 'not "JSON" at all' END AS findings, CASE WHEN event_id % 3 = 0 THEN '[1]' ELSE props END AS inputs FROM events"""
+
+
+@query("f23_tolerant_findings", f"""WITH f AS ({FINDINGS}) SELECT run_id, CAST(CASE run_id % 7 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN 0 WHEN 4 THEN 0 WHEN 5 THEN 3 ELSE 1 END AS INT) AS n_claims, CAST(CASE WHEN run_id % 7 = 1 THEN 1 ELSE 0 END AS INT) AS n_sourced,
+  coalesce(trim(findings) <> '' AND NOT json_valid(findings), false) AS damaged, json_valid(inputs) AND inputs LIKE '{{%' AS readable FROM f""")
+def _(fx):
+    return summary_of(fx.spark.sql(FINDINGS.replace("{", "{{").replace("}", "}}").replace("FROM events", "FROM {events}"), events=fx["events"])).select("run_id", "n_claims", "n_sourced", "damaged", "readable")
+
+
 # --- facts, positions, nested reads
 
 
