@@ -82,6 +82,10 @@ def utf8(column: str = "text"):
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
+#: Edges that one task of ``connected_components`` takes, about.
+EDGES = 200_000
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b: long); component is
     the least node reachable.
@@ -104,12 +108,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31)))).first())
 
+    def gathered(e: DataFrame, n: int) -> DataFrame:
+        """As many tasks as the edges are worth: each one's shuffle files cost the same however few rows they have."""
+        return e.coalesce(1 + n // EDGES)
+
     e = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = mark(e)
     for _ in range(max_rounds):
         if before[0] == 0:
             break
-        e = checkpoint(star(star(e, True), False))
+        e = checkpoint(gathered(star(gathered(star(gathered(e, before[0]), True), before[0]), False), before[0]))
         now = mark(e)
         if now == before:
             break

@@ -321,6 +321,37 @@ def test_personal_data_in_linear_time(text):
     assert time.process_time() - began < 8
 
 
+@pytest.mark.parametrize("size", [5, 64, 65, 70, 5000])
+def test_mailbox_names_are_whole_whatever_their_length(size):
+    name = "a" * size
+    for text in (f"x {name} at example.com y", f"x {name}(at)example.com y", f"x {name}@example y"):
+        (found,) = pii.mentions(text)
+        assert found[0] == 2 and text[found[0] :].startswith(name)
+
+
+def test_hidden_marks_are_recovered_on_texts_left_out(spark, sf):
+    """Base spans of texts that weren't in the sample, with the plus or the sign taken out; numbers with a wrong check digit stay out."""
+    docs = spark.read.parquet(f"{sf.rsplit('/', 1)[0]}/sf0.1/documents.parquet").select("doc_id", "text")
+    field = pii.fit(docs.where("doc_id % 3 > 0"), max_docs=100_000)
+    hit, all_, wrong, added = {"phone": 0, "email": 0}, {"phone": 0, "email": 0}, 0, 0
+    for r in docs.where("doc_id % 3 = 0").collect():
+        base = pii.base_spans(r.text)
+        added += len(field.spans(r.text)[1]) - len(base)
+        for kind, s, e in base:
+            if pii.KINDS[kind] not in hit:
+                continue
+            own = r.text[s:e]
+            other = own[1:] if kind == 3 else own.replace("@", " at ")
+            left = r.text[max(0, s - 200) : s]
+            text = left + other + " " + r.text[e : e + 50]
+            got = [(k, a, b) for k, a, b in field.spans(text)[1] if a < len(left) + len(other) and b > len(left)]
+            all_[pii.KINDS[kind]] += 1
+            hit[pii.KINDS[kind]] += any(k == kind for k, _, _ in got)
+            wrong += any(k != kind for k, _, _ in got)
+    assert min(all_.values()) > 30 and hit["phone"] >= 0.9 * all_["phone"] and hit["email"] >= 0.9 * all_["email"]
+    assert wrong == 0 and added == 0
+
+
 def test_pii_edge_cases(edge, none):
     out = pii.find(edge).collect()
     assert len(out) == len(EDGE) and all(len(r.spans) == 0 for r in out)
