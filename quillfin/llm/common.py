@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and checkpoints of frames that nothing refers to any more.
+
+    Its cleaner follows the driver's garbage collection, which may be far off while only executors work.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh(columns: list[str], stem: str) -> str:
     """A column name that none of ``columns`` has, in either case."""
     taken = {c.lower() for c in columns}

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, connected_components, keep_rows, row_hash, sized, utf8
+from .common import checkpoint, connected_components, keep_rows, release, row_hash, sized, utf8
 from .simhash import decode
 
 WORDS, BITS, SHINGLE, SIMILARITY = 6, 23, 5, 0.8
@@ -166,8 +166,12 @@ def verified_links(shared: DataFrame, signed: DataFrame, sets: DataFrame, simila
         degree = links.select(F.explode(F.array("node", "centre")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
         placed = joined(at, new).join(nodes, "node").join(degree, "node", "left")
         at = checkpoint(placed.select("node", "spread", "size", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"), "component"))
+        del ranked, centre, met, pairs, signs, likely, scored, degree, placed
+        release(at.sparkSession)
         if turn and new.count() <= few:
             break
+    del seen, links, new
+    release(at.sparkSession)
     at = at.select("node", "component")
     rest = verified(bounded(prefix_pairs(sets, at, similarity).toDF("node", "centre"), sets, similarity), sets, similarity).where("alike")
     ends = rest.join(at.toDF("node", "a"), "node").join(at.toDF("centre", "b"), "centre")
@@ -298,6 +302,7 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc
     # of equal rows any will do
     again = keyed.join(sized(wanted.where("count > 1").select("key", "node")), "key").groupBy("node").agg(F.first("text").alias("text"))
     sets = checkpoint(shingle_sets(once.unionAll(again)))
+    release(docs.sparkSession)
     members = verified_links(shared, nodes, sets, similarity).toDF("node", "component")
     best = nodes.select("node", "key").join(members, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("key").alias("key"))
     return keep_rows(docs, key, best, counts)
