@@ -40,8 +40,8 @@ ROUNDS, FEW = 4, 0.01
 AGREE = 2
 #: Bins of hashes that bound what two sets share; a power of two.
 BINS = 128
-#: Sampled nodes, and the most shingles taken from them.
-SAMPLE, COMMON = 4096, 200_000
+#: One node in so many is sampled for common shingles, at every size alike; and the most shingles taken from them.
+SAMPLE, COMMON = 4, 400_000
 _U = np.uint64
 _MIX = [_U(0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64) for k in range(WORDS)]
 
@@ -204,7 +204,7 @@ def bounded(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 def common_grams(sets: DataFrame, components: DataFrame) -> np.ndarray:
     """Shingles of several components in a sample, at most ``COMMON``; any choice gives the same pairs."""
-    chosen = components.orderBy(F.xxhash64("node"), "node").limit(SAMPLE)
+    chosen = components.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0)
 
     def run(batches):
         for b in batches:
@@ -214,7 +214,7 @@ def common_grams(sets: DataFrame, components: DataFrame) -> np.ndarray:
                     part = g[k : k + 65_536]
                     yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), node))], names=["gram", "component"])
 
-    rows = sets.join(F.broadcast(chosen), "node").select("component", "grams").mapInArrow(run, "gram long, component long")
+    rows = sets.join(chosen, "node").select("component", "grams").mapInArrow(run, "gram long, component long")
     counts = rows.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high")
     return np.sort(np.array([r.gram for r in counts.orderBy(F.desc("n"), "gram").select("gram").limit(COMMON).collect()], dtype=np.int64))
 
