@@ -18,7 +18,7 @@ from ..operators.calendar import trading_days, with_entry
 from ..operators.numbering import batches, numbered, stalest
 from ..operators.snapshots import Versioned
 from ..session import shared, written
-from ..sources import remote
+from ..sources import printed, remote
 from ..sources.fixture import Fixture
 from ..streaming.watch import replayed
 from . import backtest as bt
@@ -28,6 +28,7 @@ from . import outcomes as oc
 from . import positions as ps
 from . import rankings as rk
 from . import reads as rd
+from . import reports as rp
 from . import weekly as wk
 from .oracles import COPY, H, K, shrunk, sql
 
@@ -890,6 +891,116 @@ def _(fx):
     return summary_of(fx.spark.sql(FINDINGS.replace("{", "{{").replace("}", "}}").replace("FROM events", "FROM {events}"), events=fx["events"])).select("run_id", "n_claims", "n_sourced", "damaged", "readable")
 
 
+# --- printed forms, reports and upkeep
+
+#: Words of forms laid out from orders' lines: three trades a page, wrapped names and amounts, details over all columns, headers on every page of even orders only, an old font, a footnote with a stray trade after it.
+FORMS = """WITH t AS (SELECT 'F' || CAST(l_orderkey AS STRING) AS doc_id, l_orderkey AS o, l_partkey AS p, l_suppkey AS s, l_shipdate AS d,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS k, count(*) OVER (PARTITION BY l_orderkey) AS n, l_orderkey % 6 = 1 AS old FROM {line_once}),
+r AS (SELECT *, CAST(k DIV 3 AS INT) AS page, 120 + (k % 3) * 60 + (p % 3) * 0.5 AS y FROM t),
+w AS (SELECT doc_id, page, inline(concat(
+  filter(array(
+    named_struct('x', 30, 'dy', 0.0, 'text', CASE p % 4 WHEN 0 THEN 'SP' WHEN 1 THEN 'JT' WHEN 2 THEN 'DC' END), named_struct('x', 70, 'dy', 0.9, 'text', 'Part ' || CAST(p AS STRING)),
+    named_struct('x', 300, 'dy', 0.0, 'text', CASE WHEN s % 3 = 0 THEN 'S' ELSE 'P' END), named_struct('x', 312, 'dy', 0.9, 'text', CASE WHEN s % 6 = 0 THEN '(partial)' END),
+    named_struct('x', 350, 'dy', 0.0, 'text', date_format(d, 'M/d/yyyy')), named_struct('x', 420, 'dy', 0.0, 'text', date_format(date_add(d, 30), 'MM/dd/yyyy')),
+    named_struct('x', 488, 'dy', 0.0, 'text', CASE WHEN p % 5 = 0 THEN 'Over $50,000' ELSE '$' || CAST(p AS STRING) || ',001 -' END)), c -> c.text IS NOT NULL),
+  filter(array(
+    named_struct('x', 70, 'dy', 12.0, 'text', CASE WHEN old THEN '(n' || CAST(s % 25 AS STRING) || ') [sT]' ELSE '(N' || CAST(s % 25 AS STRING) || ') [OP]' END),
+    named_struct('x', 490, 'dy', 12.0, 'text', CASE WHEN p % 5 <> 0 THEN '$' || CAST(p + 7 AS STRING) || ',000' END),
+    named_struct('x', 70, 'dy', 24.0, 'text', CASE WHEN old THEN 'FILINg STATuS: New' ELSE 'F' || char(0) || ' S' || char(0) || ': New' END),
+    named_struct('x', 70, 'dy', 36.0, 'text', CASE WHEN s % 2 = 0 AND old THEN 'DESCRIPTIoN: from' WHEN s % 2 = 0 THEN 'D' || char(0) || ': from' END),
+    named_struct('x', 301, 'dy', 45.0, 'text', CASE WHEN s % 2 = 0 THEN 'supplier ' || CAST(s AS STRING) END)), c -> c.text IS NOT NULL))), y FROM r),
+h AS (SELECT DISTINCT doc_id, page, old FROM r WHERE page = 0 OR o % 2 = 0),
+f AS (SELECT doc_id, page, max(y) + 50 AS y FROM r WHERE k >= (n - 1) DIV 3 * 3 GROUP BY doc_id, page)
+SELECT doc_id, page, CAST(x AS DOUBLE) AS x0, CAST(y + dy AS DOUBLE) AS top, text FROM w
+UNION ALL SELECT doc_id, page, x0, 100D, CASE WHEN old THEN lower(text) ELSE text END FROM h LATERAL VIEW stack(7, 30D, 'Owner', 70D, 'Asset', 300D, 'Transaction', 350D, 'Date', 420D, 'Notification', 490D, 'Amount', 560D, 'Cap.') v AS x0, text
+UNION ALL SELECT doc_id, page, x0, 108D, text FROM h LATERAL VIEW stack(2, 300D, 'Type', 560D, 'Gains >') v AS x0, text
+UNION ALL SELECT doc_id, page, 30D, CAST(y AS DOUBLE), '* For the complete list of asset types' FROM f
+UNION ALL SELECT doc_id, page + 1, x0, 60D, text FROM f LATERAL VIEW stack(5, 70D, 'Stray', 300D, 'P', 350D, '1/1/2000', 420D, '1/2/2000', 490D, '$1') v AS x0, text"""
+
+
+@query("s06_printed_forms", """, t AS (SELECT l.*, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS k, l_orderkey % 6 = 1 AS old FROM line_once l)
+SELECT 'F' || CAST(l_orderkey AS VARCHAR) AS doc_id, CAST(k AS INT) AS line_no, CASE l_partkey % 4 WHEN 0 THEN 'spouse' WHEN 1 THEN 'joint' WHEN 2 THEN 'dependent' ELSE 'self' END AS owner,
+  'Part ' || CAST(l_partkey AS VARCHAR) || CASE WHEN old THEN ' (n' ELSE ' (N' END || CAST(l_suppkey % 25 AS VARCHAR) || ')' AS asset_name, 'N' || CAST(l_suppkey % 25 AS VARCHAR) AS ticker, CASE WHEN old THEN 'ST' ELSE 'OP' END AS asset_code,
+  CASE WHEN old THEN 'stock' ELSE 'option' END AS asset_type, CASE WHEN l_suppkey % 6 = 0 THEN 'SELL_PARTIAL' WHEN l_suppkey % 3 = 0 THEN 'SELL' ELSE 'BUY' END AS action, CAST(l_shipdate AS DATE) AS tx_date,
+  CASE WHEN l_partkey % 5 = 0 THEN 50001 ELSE l_partkey * 1000 + 1 END AS amount_min, CASE WHEN l_partkey % 5 <> 0 THEN (l_partkey + 7) * 1000 END AS amount_max, CASE WHEN l_suppkey % 2 = 0 THEN 'from supplier ' || CAST(l_suppkey AS VARCHAR) END AS description FROM t""")
+def _(fx):
+    return printed.trades(fx.spark.sql(FORMS, line_once=fx["line_once"]))
+
+
+SEEN = "SELECT doc_id, CASE WHEN parse_status <> 'failed' THEN available_at END AS index_seen_at, CASE WHEN filing_year IS NOT NULL THEN first_seen_at END AS search_seen_at FROM "
+
+
+@query("a23_source_race", f""", s AS ({SEEN} filings), l AS (SELECT *, CASE WHEN search_seen_at < index_seen_at THEN epoch(index_seen_at - search_seen_at) / 3600 END AS lag FROM s)
+SELECT count(*) AS tracked, count(*) FILTER (index_seen_at = search_seen_at) AS same, count(lag) AS search_first, count(*) FILTER (index_seen_at < search_seen_at) AS index_first, count(*) FILTER (index_seen_at IS NULL AND search_seen_at IS NOT NULL) AS only_search,
+  count(*) FILTER (index_seen_at IS NOT NULL AND search_seen_at IS NULL) AS only_index, median(lag) AS median_lag_h, max(lag) AS max_lag_h FROM l""")
+def _(fx):
+    return rp.source_race(fx.spark.sql(SEEN + "{filings}", filings=fx["filings"]))
+
+
+@query("a28_unmatched_filers", "SELECT DISTINCT filer_name FROM filings WHERE member_id IS NULL AND filer_name NOT IN (SELECT 'Filer ' || substr(member_id, 2) FROM members WHERE active = 0)")
+def _(fx):
+    others = fx["members"].where("active = 0").select(F.concat(F.lit("Filer "), F.expr("substr(member_id, 2)")).alias("filer_name"))
+    return rp.unmatched_filers(fx["filings"], others)
+
+
+@query("j24_review_queue", """SELECT chamber, filing_year AS year, count(*) AS filings, count(*) FILTER (parse_status = 'parsed') AS parsed, count(*) FILTER (parse_status = 'needs_review' AND doc_format = 'scanned') AS scanned, count(*) FILTER (parse_status = 'needs_review' AND doc_format <> 'scanned') AS review,
+  count(*) FILTER (parse_status = 'failed') AS failed, count(*) FILTER (parse_status = 'pending') AS pending, count(*) FILTER (available_basis = 'filed') AS backfilled,
+  CAST(coalesce(sum(n), 0) AS BIGINT) AS trades FROM filings f LEFT JOIN (SELECT doc_id, count(*) AS n FROM trades GROUP BY doc_id) t ON t.doc_id = f.doc_id GROUP BY chamber, filing_year""")
+def _(fx):
+    return rp.review_queue(fx["filings"], fx["trades"])
+
+
+@query("d51_leaderboard_report", """, x AS (SELECT h.*, m.name, h.mean_ret - h.mean_spy_ret AS excess, s.consistency FROM member_stats h JOIN members m ON m.member_id = h.member_id LEFT JOIN scores s ON s.member_id = h.member_id WHERE h.horizon = 20),
+b AS (SELECT *, row_number() OVER (ORDER BY shrunk_score DESC, excess DESC, member_id) AS place FROM x WHERE n_filings >= 20 ORDER BY place LIMIT 30),
+u AS (SELECT *, NULL AS place FROM x WHERE n_filings < 20 ORDER BY n_filings DESC, member_id LIMIT 10)
+SELECT row_number() OVER (ORDER BY place NULLS LAST, n_filings DESC, member_id) AS line, place, member_id, name, n_filings, round(consistency, 6) AS consistency, round(shrunk_score, 6) AS shrunk_score FROM (SELECT * FROM b UNION ALL SELECT * FROM u)""")
+def _(fx):
+    out = outcomes_of(fx)
+    return rp.leaderboard(rk.member_horizon_stats(out), rk.member_scores(out), fx["members"]).select("line", "place", "member_id", "name", "n_filings", *r6("consistency", "shrunk_score"))
+
+
+@query("d52_factor_report", "SELECT row_number() OVER (ORDER BY factor = 'all' DESC, factor, n DESC, level) AS line, factor, level, n, round(shrunk - pooled, 6) AS effect FROM factors")
+def _(fx):
+    return rp.factor_lines(rk.signal_factors(outcomes_of(fx), fx["trades"])).select("line", "factor", "level", "n", *r6("effect"))
+
+
+@query("w10_committee_names", """, s AS (SELECT member_id, to_json(list(committee_id ORDER BY committee_id)) AS committees FROM committees WHERE congress = 105 GROUP BY member_id)
+SELECT m.member_id, CASE WHEN m.active = 0 THEN m.name ELSE m.name || ' ' || m.state END AS name, m.active, CAST(s.committees AS VARCHAR) AS committees FROM members m LEFT JOIN s ON s.member_id = m.member_id""")
+def _(fx):
+    people = fx["members"].where("active = 1").select("member_id", F.concat_ws(" ", "name", "state").alias("name"))
+    seats = fx["committees"].withColumn("committee_name", F.lit(None).cast("string"))
+    return rp.with_committees(rp.refreshed_members(fx["members"], people), seats, F.lit("1998-03-01").cast("date")).select("member_id", "name", "active", "committees")
+
+
+@query("w11_downloads", """, d AS (SELECT 'F' || CAST(o_orderkey AS VARCHAR) AS doc_id, 'raw/' || CAST(o_orderkey AS VARCHAR) AS path, CASE WHEN o_orderkey % 4 = 0 THEN 'scanned' ELSE 'electronic' END AS fmt FROM orders WHERE o_orderstatus <> 'P')
+SELECT f.doc_id, d.path AS raw_path, coalesce(d.fmt, f.doc_format) AS doc_format, CASE WHEN d.fmt IS NULL OR f.parse_status NOT IN ('pending', 'needs_review') THEN f.parse_status WHEN d.fmt = 'electronic' THEN 'pending' ELSE 'needs_review' END AS parse_status FROM filings f LEFT JOIN d ON d.doc_id = f.doc_id""")
+def _(fx):
+    key = F.col("o_orderkey").cast("string")
+    content = F.concat(F.lit("%PDF "), F.when(F.col("o_orderkey") % 4 == 0, "/Image").otherwise("/Font"), F.lit(" "), "o_clerk" if "o_clerk" in fx["orders"].columns else key)
+    files = fx["orders"].where("o_orderstatus <> 'P'").select(F.concat(F.lit("F"), key).alias("doc_id"), F.concat(F.lit("raw/"), key).alias("raw_path"), content.cast("binary").alias("content"))
+    return rp.downloaded(fx["filings"], files).select("doc_id", "raw_path", "doc_format", "parse_status")
+
+
+#: Events as runs for filings; a seventh have damaged inputs, an eleventh no output.
+BRIEFS = """SELECT event_id AS run_id, CASE WHEN event_id % 5 = 0 THEN 'other' ELSE 'researcher' END AS agent, CASE WHEN event_id % 13 = 0 THEN 'failed' ELSE 'ok' END AS status, CAST(ts AS TIMESTAMP) AS started_at,
+  '{"doc_id": "F' || CAST(event_id % 2000 AS STRING) || CASE WHEN event_id % 7 = 0 THEN '"' ELSE '"}' END AS inputs, CASE WHEN event_id % 11 = 0 THEN '' ELSE props END AS output FROM events"""
+
+
+@query("d55_research_gate", f""", r AS ({BRIEFS}), b AS (SELECT t.doc_id, count(*) AS buys, max(a.score) AS best FROM alerts a JOIN trades t ON t.trade_id = a.trade_id WHERE a.score >= 60 AND t.symbol <> '' GROUP BY t.doc_id),
+l AS (SELECT json_extract_string(inputs, '$.doc_id') AS doc_id, run_id, output FROM r WHERE json_valid(inputs) AND agent = 'researcher' AND status = 'ok' AND started_at >= TIMESTAMP '2024-01-10'),
+x AS (SELECT doc_id, max(run_id) AS run_id, arg_max(output, run_id) AS output FROM l GROUP BY doc_id)
+SELECT b.doc_id, buys, best, CASE WHEN output <> '' THEN run_id END AS run_id, CASE WHEN output <> '' THEN output END AS brief FROM b LEFT JOIN x ON x.doc_id = b.doc_id""")
+def _(fx):
+    runs = fx.spark.sql(BRIEFS.replace("{", "{{").replace("}", "}}").replace("FROM events", "FROM {events}"), events=fx["events"])
+    buys = fx["alerts"].join(fx["trades"].select("trade_id", "doc_id", "symbol"), "trade_id").select("doc_id", "symbol", "score")
+    return rp.research_gate(buys, runs, F.lit("2024-01-30").cast("timestamp"), hours=480)
+
+
+@query("f22_amount_texts", """SELECT trade_id, CASE WHEN amount_max IS NULL THEN 'over $' || format('{:,}', amount_min - 1) ELSE '$' || format('{:,}', amount_min) || '–$' || format('{:,}', amount_max) END AS amount FROM trades""")
+def _(fx):
+    return fx["trades"].select("trade_id", rp.amount_text(F.col("amount_min"), F.col("amount_max")).alias("amount"))
+
+
 # --- facts, positions, nested reads
 
 

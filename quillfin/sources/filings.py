@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
+from .adhoc import checked
 
 CELL = re.compile(r"<t[dh]\b([^>]*)>(.*?)</t[dh]\s*>", re.S | re.I)
 ROW = re.compile(r"<tr\b[^>]*>(.*?)</tr\s*>", re.S | re.I)
@@ -171,7 +172,4 @@ def bars(quotes: DataFrame) -> DataFrame:
 
 def read_only(spark: SparkSession, sql: str, rows: int = 200) -> DataFrame:
     """A single SELECT over the session's views, with at most ``rows`` rows; anything else is refused."""
-    text = sql.strip().rstrip(";")
-    if ";" in text or not re.match(r"(?is)^(select|with)\b", text) or re.search(r"(?i)\b(insert|update|delete|drop|alter|create|merge|truncate|load|set|cache|refresh)\b\s+\w", text):
-        raise ValueError("only one SELECT is allowed")
-    return spark.sql(text).limit(rows)
+    return checked(spark, sql).limit(rows)
