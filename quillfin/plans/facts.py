@@ -12,11 +12,11 @@ from ..operators.merge import merge
 from . import backtest as bt
 
 
-def recommendation(evaluated: DataFrame, signals: DataFrame, days: DataFrame) -> DataFrame:
+def recommendation(signals: DataFrame, starts: DataFrame, days: DataFrame) -> DataFrame:
     """(rule, n, fallback, train_score): the rule to use from now on, from trades of the last two years that have exited."""
     now = days.agg((F.max("i") + 1).alias("start"), F.date_add(F.max("date"), 1).alias("start_date")).select(F.col("start_date").alias("q"), "start", "start_date")
     labels = F.array(*(F.lit(r.label) for r in ex.GRID))
-    return bt.choose(evaluated, signals, now).select(F.element_at(labels, F.col("rule_no") + 1).alias("rule"), "n", "fallback", "train_score")
+    return bt.choose(signals, starts, now).select(F.element_at(labels, F.col("rule_no") + 1).alias("rule"), "n", "fallback", "train_score")
 
 
 def exit_report(rows: DataFrame) -> DataFrame:
