@@ -6,8 +6,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from quillfin.functions.stats import medians
 from quillfin.operators import exits as ex
 from quillfin.plans import backtest as bt
+from quillfin.session import written
 
 TRADE = "book string, trade_id long, doc_id string, symbol string, d0 int, exit_i int, exit_at string, exit_net double, entry_net double"
 
@@ -51,3 +53,11 @@ def test_next_sale_by_days(spark):
     assert "sale" in got.columns and not [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x and " > " in x]  # days aren't paired
     want = {k: min((d for a, b, d in sold if (a, b) == (m, s) and d > d0), default=None) for k, m, s, d0 in sig}
     assert {x.trade_id: x.sale for x in got.collect()} == want
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 400, 5001, 40000])
+def test_medians(spark, n):
+    v = F.when(F.col("id") % 3 == 0, 0.25).otherwise(F.rand(n) - 0.5)
+    rows = written(spark.range(n).select(F.lit("all").alias("g"), v.alias("v")).unionByName(spark.range(3).select(F.lit("b").alias("g"), F.when(F.col("id") > 0, F.col("id").cast("double")).alias("v"))))
+    got = {r.g: r.median for r in medians(rows, ["g"], "v").collect()}
+    assert got == {r.g: pytest.approx(r.m, abs=1e-15) for r in rows.groupBy("g").agg(F.median("v").alias("m")).collect()} and got["b"] == 1.5
