@@ -47,7 +47,9 @@ BLOCK = 4
 #: Bounds of one part of the index: items, and their words in all unless one item has more.
 MAX_ITEMS, MAX_WORDS = 4096, 400_000
 #: Tokens remembered by a worker, and the longest ones that are.
-MEMO, MEMO_LENGTH = 400_000, 48
+MEMO, MEMO_LENGTH = 200_000, 48
+#: Windows of a text that are searched at a time.
+WINDOWS = 64
 #: Most words of the items in the first length class; the next ones have eight times as many each.
 SPAN = 64
 #: Not part of a word at its ends.
@@ -110,14 +112,19 @@ class Postings:
         self.largest = np.zeros(n_words)
         np.maximum.at(self.largest, word, self.impact)
 
-    def blocks(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(blocks whose bounds let some item reach its limit, their entries of these words in order of block)."""
+    def cells(self, window: np.ndarray, terms: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window * n_blocks + block where the bounds of a window's distinct words let some item of the block reach its limit, where each begins in the entries, the entries in that order), of ``n`` windows at once."""
         count = self.first_entry[terms + 1] - self.first_entry[terms]
-        entries = np.repeat(self.first_entry[terms] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
-        sums = np.bincount(self.entry_block[entries], self.entry_bound[entries], minlength=self.n_blocks)
-        can = sums >= 1 - 1e-6
-        entries = entries[can[self.entry_block[entries]]]
-        return np.flatnonzero(can), entries[np.argsort(self.entry_block[entries], kind="stable")]
+        entries = np.repeat(self.first_entry[terms] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        at = np.repeat(window * self.n_blocks, count) + self.entry_block[entries]
+        can = np.bincount(at, self.entry_bound[entries], minlength=n * self.n_blocks) >= 1 - 1e-6
+        cells = np.flatnonzero(can)
+        if not len(cells):
+            return cells, cells, cells
+        kept = can[at]
+        entries, at = entries[kept], at[kept]
+        order = np.argsort(at, kind="stable")
+        return cells, np.searchsorted(at[order], np.append(cells, n * self.n_blocks)), entries[order]
 
     def wand(self, entries: list[int]) -> list[tuple[int, float]]:
         """(item, score) of all items of one block that reach their limit, from the block's entries of the query's words."""
@@ -152,20 +159,33 @@ class Postings:
 
     def search(self, terms: np.ndarray) -> list[tuple[int, float]]:
         """(item, score as a multiple of its limit) of all items that a set of distinct words brings to their limit."""
-        blocks, entries = self.blocks(terms)
-        cuts = np.searchsorted(self.entry_block[entries], np.r_[blocks, self.n_blocks])
-        return [x for k in range(len(blocks)) for x in self.wand(entries[cuts[k] : cuts[k + 1]].tolist())]
+        return [x for _, found in self.wanted(np.zeros(len(terms), dtype=np.int64), terms, 1) for x in found]
 
-    def windows(self, numbers: np.ndarray, hits: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(first word, distinct words known) of the windows whose words' largest impacts sum up to a limit."""
+    def wanted(self, window: np.ndarray, terms: np.ndarray, n: int) -> Iterator[tuple[int, list[tuple[int, float]]]]:
+        """(window, its items as of ``search``), a block at a time."""
+        cells, cuts, entries = self.cells(window, terms, n)
+        for k, cell in enumerate(cells.tolist()):
+            yield cell // self.n_blocks, self.wand(entries[cuts[k] : cuts[k + 1]].tolist())
+
+    def windows(self, numbers: np.ndarray, hits: np.ndarray) -> Iterator[tuple[int, list[tuple[int, float]]]]:
+        """(first word, items found) of the windows whose words' largest impacts sum up to a limit, some windows at a time."""
         terms = numbers[hits]
         begins = np.arange(0, max(len(numbers) - self.span, 1), self.span)
         first, last = np.searchsorted(hits, begins), np.searchsorted(hits, begins + 2 * self.span)
-        sums = np.r_[0.0, np.cumsum(self.largest[terms])]
-        for k in np.flatnonzero(sums[last] - sums[first] >= 1 - 1e-6).tolist():
-            own = np.unique(terms[first[k] : last[k]])
-            if self.largest[own].sum() >= 1 - 1e-6:
-                yield int(begins[k]), own
+        sums = np.zeros(len(terms) + 1)
+        np.cumsum(self.largest[terms], out=sums[1:])
+        may = np.flatnonzero(sums[last] - sums[first] >= 1 - 1e-6)
+        n_words = len(self.largest)
+        for k in range(0, len(may), WINDOWS):
+            own = may[k : k + WINDOWS]
+            size = last[own] - first[own]
+            places = np.repeat(first[own] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            # a window's distinct words
+            window, distinct = np.divmod(np.unique(np.repeat(np.arange(len(own)) * n_words, size) + terms[places]), n_words)
+            enough = np.bincount(window, self.largest[distinct], minlength=len(own)) >= 1 - 1e-6
+            kept = enough[window]
+            for w, found in self.wanted(window[kept], distinct[kept], len(own)):
+                yield int(begins[own[w]]), found
 
 
 class Index:
@@ -229,9 +249,9 @@ class Index:
         if not len(hits):
             return []
         for c in self.classes:
-            for begin, own in c.windows(numbers, hits):
+            for begin, found in c.windows(numbers, hits):
                 have: dict[int, set] = {}
-                for item, score in c.search(own):
+                for item, score in found:
                     window = numbers[begin : begin + 2 * c.span].tolist()
                     shares = []
                     for part in self.sets(item):
