@@ -351,8 +351,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, overlap: float = OV
 
 
 def _clean(shared):
-    @F.pandas_udf("boolean")
-    def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([not t or not shared.value.matches(t) for t in texts], dtype=bool)
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
+        # a batch's texts become strings one at a time, as a worker keeps the memory that it once took
+        return pa.array((not t or not shared.value.matches(t) for t in (x.as_py() for x in texts)), pa.bool_())
 
     return clean

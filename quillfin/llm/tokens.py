@@ -10,7 +10,7 @@ there is no such place the overlap is widened, and in the end the chunk is doubl
 Shorter documents are one chunk, encoded by words between ASCII white space: the tokenizer of
 ``word_bpe_49k.json`` drops white space before it forms words, neither its
 normalisation nor its added tokens reach across it, so the ids of a text are
-those of its words in turn; ids of words are remembered within a worker, up to
+those of its words in turn; ids of words are remembered within a worker, of those that come a second time and up to
 a fixed number of words of a bounded length. Tests hold all this against the library's result for
 whole texts.
 
@@ -21,6 +21,7 @@ they came in; empty tables give empty results; other columns are ignored.
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 from functools import lru_cache
 from typing import NamedTuple
@@ -34,7 +35,9 @@ from .common import utf8
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words, and pieces of words, remembered by a worker, beyond which the memory is emptied; the most bytes of those that are.
-MEMO_WORDS, MEMO_BYTES = 500_000, 64
+MEMO_WORDS, MEMO_BYTES = 200_000, 64
+#: Places at which a word's first coming is noted; a power of two.
+PLACES = 1 << 22
 #: Words of printable ASCII and composed Latin-1 letters, which normalisation only lower-cases.
 SIMPLE = re.compile("[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
 #: The tokenizer's own split into pieces, for lower-case words of SIMPLE.
@@ -58,6 +61,32 @@ class Encoded(NamedTuple):
     word: np.ndarray
 
 
+class Memory(dict):
+    """Packed ids by word, of words that come a second time: of a corpus's distinct words most come once, and a worker lives on
+    after its task, with what it remembers."""
+
+    def __init__(self):
+        super().__init__()
+        self.came = bytearray(PLACES)
+
+    def keep(self, word, packed: bytes) -> None:
+        if len(word) > MEMO_BYTES:
+            return
+        at = hash(word) % PLACES
+        if not self.came[at]:
+            self.came[at] = 1
+            return
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+            self.came = bytearray(PLACES)
+        self[word] = packed
+
+
+def packed_ids(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordEncoder:
     """Ids of words, little-endian unsigned 32-bit, with a bounded memory."""
 
@@ -70,21 +99,17 @@ class WordEncoder:
         self.letters = byte_letters()
         self.latin = {chr(c): "".join(self.letters[b] for b in chr(c).encode()) for c in range(0x21, 0x100)}
         self.table = str.maketrans(self.latin)
-        self.memo: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.memo, self.pieces = Memory(), Memory()
 
     def _piece(self, piece: str) -> bytes:
         packed = self.pieces.get(piece)
         if packed is None:
-            packed = np.array([t.id for t in self.model.tokenize(piece.translate(self.table))], dtype="<u4").tobytes()
-            if len(piece) <= MEMO_BYTES:
-                if len(self.pieces) >= MEMO_WORDS:
-                    self.pieces.clear()
-                self.pieces[piece] = packed
+            packed = packed_ids([t.id for t in self.model.tokenize(piece.translate(self.table))])
+            self.pieces.keep(piece, packed)
         return packed
 
     def _new(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Packed ids of words; those of bounded length are remembered."""
+        """Packed ids of words; see ``Memory`` for what is remembered."""
         found, hard = {}, []
         for w in words:
             s = w.decode("utf-8", "replace")
@@ -94,10 +119,9 @@ class WordEncoder:
                 hard.append((w, s))
         if hard:
             for (w, _), e in zip(hard, self.tokenizer.encode_batch([s for _, s in hard], add_special_tokens=False)):
-                found[w] = np.array(e.ids, dtype="<u4").tobytes()
-        if len(self.memo) + len(found) > MEMO_WORDS:
-            self.memo.clear()
-        self.memo.update((w, p) for w, p in found.items() if len(w) <= MEMO_BYTES)
+                found[w] = packed_ids(e.ids)
+        for w, p in found.items():
+            self.memo.keep(w, p)
         return found
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:

@@ -25,6 +25,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -160,7 +161,7 @@ def fit(
     def count(batches):
         counts: dict[str, list[int]] = {}
         for b in batches:
-            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for text, y in _rows(b):
                 for f in {f for w in {word_of(t) for t in set(text.split())} for f in features_of(w)}:
                     counts.setdefault(f, [0, 0])[y] += 1
                 if len(counts) > 200_000:
@@ -182,7 +183,7 @@ def fit(
         """Rows (what, value, n): weights of clean tokens, tokens of clean texts, and best segments of clean texts."""
         seen: Counter = Counter()
         for b in batches:
-            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for text, y in _rows(b):
                 if y == 0 and (tokens := text.split()):
                     weights = list(map(model.weight, tokens))
                     seen.update(("weight", round(w, 2)) for w in weights)
@@ -209,7 +210,7 @@ def fit(
     def evidences(batches):
         seen: Counter = Counter()
         for b in batches:
-            seen.update((*(round(x, 2) for x in model.terms(text)), y) for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+            seen.update((*(round(x, 2) for x in model.terms(text)), y) for text, y in _rows(b))
         yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in seen], pa.float64()) for i in (0, 1)), pa.array([k[2] for k in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["best", "all", "toxic", "n"])
 
     cells = sample.mapInArrow(evidences, "best double, all double, toxic long, n long").groupBy("best", "all", "toxic").agg(F.sum("n").alias("n")).collect()
@@ -218,6 +219,11 @@ def fit(
     return model
 
 
+def _rows(b: pa.RecordBatch) -> Iterator[tuple[str, int]]:
+    """(text, toxic), a string at a time."""
+    return ((text.as_py(), y) for text, y in zip(b.column(0), b.column(1).to_pylist()))
+
+
 def _counts(counts: dict[str, list[int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *(pa.array([c[i] for c in counts.values()], pa.int64()) for i in (0, 1))], names=["f", "clean", "toxic"])
 
@@ -245,11 +251,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0) -
 
 
 def score_column(model: Model, text_col: str = "text"):
-    """The score of a text column."""
+    """The score of a text column. A batch's texts become strings one at a time, as a worker keeps the memory that it once took."""
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.score(t or "") for t in texts], dtype="float64")
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array((model.score(t.as_py() or "") for t in texts), pa.float64())
 
     return score(F.col(text_col))
 

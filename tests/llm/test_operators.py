@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -583,6 +585,32 @@ def test_words_give_the_librarys_ids(t):
     assert np.frombuffer(e.encode(t.encode()), "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_only_words_that_recur_are_remembered(enc, monkeypatch):
+    """Workers outlive their tasks: words that come once take none of their memory, and the rest is bounded."""
+    e, draw = tokens.WordEncoder(tokens.vocabulary_path()), random.Random(8)
+    words = ["".join(draw.choices("abcdefghijklmnop", k=12)) for _ in range(5000)]
+    text = " ".join(words)
+    ids = enc.tokenizer.encode(text, add_special_tokens=False).ids
+    for held in (range(100), range(4900, 5001), range(4900, 5001)):  # two words may share a place
+        assert np.frombuffer(e.encode(text.encode()), "<u4").tolist() == ids
+        assert len(e.memo) in held and len(e.pieces) in held
+    monkeypatch.setattr(tokens, "MEMO_WORDS", 700)
+    for _ in range(3):
+        e.memo.clear()
+        assert np.frombuffer(e.encode(text.encode()), "<u4").tolist() == ids
+    assert len(e.memo) <= 700
+
+
+def test_texts_of_a_batch_are_read_one_at_a_time():
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * 100_000 + str(i) for i in range(100)]), pa.array([0, 1] * 50)], names=["text", "toxic"])
+    tracemalloc.start()
+    try:
+        assert [(t[100_000:], y) for t, y in toxicity._rows(batch)] == [(str(i), i % 2) for i in range(100)]
+        assert tracemalloc.get_traced_memory()[1] < 1_000_000
+    finally:
+        tracemalloc.stop()
+
+
 SPLICED = {
     "words": LONG[:20_000] + "x" * 3000 + " end " + "日本語 😀 " * 200,
     "no spaces": "日本語のテキスト、中文文本。" * 900,
