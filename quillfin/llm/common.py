@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,22 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bytes of rows, about, that Spark hands a Python worker at a time.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python workers in batches of ``BATCH_BYTES`` from now on in this session, unless it has a lesser bound.
+
+    Spark's own bounds are 10,000 rows and 64 MB, which a task of long texts takes as one batch. It is held several times over, by
+    vectors that double outside the JVM's heap and by the worker, and both keep much of the memory that they once took.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size, unit = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)b?\s*", spark.conf.get(name).lower()).groups()
+    if not 0 < int(size) << 10 * " kmgtp".index(unit or " ") <= BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files and checkpoints of frames that nothing refers to any more.
 

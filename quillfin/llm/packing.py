@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, utf8
+from .common import checkpoint, small_batches, utf8
 from .tokens import encoder, vocabulary_path
 
 WINDOW = 4096
@@ -83,6 +83,7 @@ def pack(
 ) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     path = path or vocabulary_path()
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("bytes"))
     fields = SCHEMA.replace(" long", "").split(", ")
 

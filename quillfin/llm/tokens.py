@@ -31,17 +31,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import small_batches, utf8
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words, and pieces of words, remembered by a worker, beyond which the memory is emptied; the most bytes of those that are.
 MEMO_WORDS, MEMO_BYTES = 200_000, 64
 #: Places at which a word's first coming is noted; a power of two.
 PLACES = 1 << 22
-#: Words of printable ASCII and composed Latin-1 letters, which normalisation only lower-cases.
-SIMPLE = re.compile("[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
-#: The tokenizer's own split into pieces, for lower-case words of SIMPLE.
-PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: Words of printable ASCII and composed Latin-1 letters, which normalisation only lower-cases; a line may be between two.
+SIMPLE = re.compile("[\n\x21-\x7eÀ-ÖØ-öø-ÿ]+")
+#: The tokenizer's own split into pieces, for lower-case words of SIMPLE, and the line between two words.
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ\n]+|\n")
+#: Stands between packed ids of words; ids are far smaller, so it is found nowhere else.
+BETWEEN = b"\xff\xff\xff\xff"
 
 
 def byte_letters() -> dict[int, str]:
@@ -69,17 +71,17 @@ class Memory(dict):
         super().__init__()
         self.came = bytearray(PLACES)
 
-    def keep(self, word, packed: bytes) -> None:
-        if len(word) > MEMO_BYTES:
-            return
-        at = hash(word) % PLACES
-        if not self.came[at]:
-            self.came[at] = 1
-            return
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-            self.came = bytearray(PLACES)
-        self[word] = packed
+    def keep(self, words: list, packed: list[bytes]) -> None:
+        came = self.came
+        for word, p in zip(words, packed):
+            at = hash(word) % PLACES
+            if not came[at]:
+                came[at] = 1
+            elif len(word) <= MEMO_BYTES:
+                if len(self) >= MEMO_WORDS:
+                    self.clear()
+                    came = self.came = bytearray(PLACES)
+                self[word] = p
 
 
 def packed_ids(ids: list[int]) -> bytes:
@@ -101,27 +103,37 @@ class WordEncoder:
         self.table = str.maketrans(self.latin)
         self.memo, self.pieces = Memory(), Memory()
 
-    def _piece(self, piece: str) -> bytes:
-        packed = self.pieces.get(piece)
-        if packed is None:
-            packed = packed_ids([t.id for t in self.model.tokenize(piece.translate(self.table))])
-            self.pieces.keep(piece, packed)
-        return packed
-
-    def _new(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Packed ids of words; see ``Memory`` for what is remembered."""
-        found, hard = {}, []
-        for w in words:
-            s = w.decode("utf-8", "replace")
-            if SIMPLE.fullmatch(s) and ("<|" not in s or not any(x in s for x in self.special)):
-                found[w] = b"".join(map(self._piece, PIECES.findall(s.lower())))
-            else:
-                hard.append((w, s))
+    def _simple(self, words: list[str]) -> list[bytes]:
+        """Packed ids of words of SIMPLE, which are taken apart, looked up and put together all at once."""
+        parts = PIECES.findall("\n".join(words).lower())
+        got = list(map(self.pieces.get, parts))
+        if None in got:
+            fresh = list({p for p, g in zip(parts, got) if g is None} - {"\n"})
+            ids: list[int] = []
+            for p in "\n".join(fresh).translate(self.table).split("\n") if fresh else ():
+                ids += [t.id for t in self.model.tokenize(p)]
+                ids.append(0xFFFFFFFF)
+            packed = packed_ids(ids).split(BETWEEN)
+            new = dict(zip(fresh, packed))
+            new["\n"] = BETWEEN
+            self.pieces.keep(fresh, packed)
+            got = [new[p] if g is None else g for p, g in zip(parts, got)]
+        return b"".join(got).split(BETWEEN)
+
+    def _new(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Packed ids of different words; see ``Memory`` for what is remembered."""
+        whole = b"\n".join(words).decode("utf-8", "replace")
+        easy, hard = words, []
+        if not SIMPLE.fullmatch(whole) or ("<|" in whole and any(x in whole for x in self.special)):
+            easy = []
+            for w, s in zip(words, whole.split("\n")):
+                (easy if SIMPLE.fullmatch(s) and not any(x in s for x in self.special) else hard).append(w)
+            whole = b"\n".join(easy).decode()
+        found = dict(zip(easy, self._simple(whole.split("\n")))) if easy else {}
         if hard:
-            for (w, _), e in zip(hard, self.tokenizer.encode_batch([s for _, s in hard], add_special_tokens=False)):
+            for w, e in zip(hard, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in hard], add_special_tokens=False)):
                 found[w] = packed_ids(e.ids)
-        for w, p in found.items():
-            self.memo.keep(w, p)
+        self.memo.keep(list(found), list(found.values()))
         return found
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
@@ -131,7 +143,7 @@ class WordEncoder:
             part = words[k : k + 50_000]
             got = list(map(self.memo.get, part))
             if None in got:
-                new = self._new({w for w, g in zip(part, got) if g is None})
+                new = self._new(list({w for w, g in zip(part, got) if g is None}))
                 got = [new[w] if g is None else g for w, g in zip(part, got)]
             out += got
         return out
@@ -216,6 +228,7 @@ def count_tokens(
 ) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit, n_chunks), a row for each row of ``docs``."""
     path = path or vocabulary_path()
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("bytes"))
 
     def run(batches):
