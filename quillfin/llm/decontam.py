@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, small_batches
 
 SHINGLE = 5
 OVERLAP = 0.8
@@ -278,6 +278,7 @@ def _sets(numbers: bytes) -> frozenset:
 
 def parts_of_index(benchmark: DataFrame, max_items: int = MAX_ITEMS, max_words: int = MAX_WORDS, overlap: float = OVERLAP, id_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:
     """The index in parts, one after another; their statistics are those of all items."""
+    small_batches(benchmark.sparkSession)
     rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
 
     def cut(batches):
@@ -352,8 +353,13 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, overlap: float = OV
 
 def _clean(shared):
     @F.arrow_udf("boolean")
-    def clean(texts: pa.Array) -> pa.Array:
-        # a batch's texts become strings one at a time, as a worker keeps the memory that it once took
-        return pa.array((not t or not shared.value.matches(t) for t in (x.as_py() for x in texts)), pa.bool_())
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        index = shared.value
+        try:
+            for texts in batches:
+                # a batch's texts become strings one at a time, as a worker keeps the memory that it once took
+                yield pa.array((not t or not index.matches(t) for t in (x.as_py() for x in texts)), pa.bool_())
+        finally:
+            index.memo.clear()  # a worker that idles still holds the index
 
     return clean

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, connected_components, keep_rows, release, row_hash, sized, utf8
+from .common import checkpoint, connected_components, keep_rows, release, row_hash, sized, small_batches, utf8
 from .simhash import decode
 
 WORDS, BITS, SHINGLE, SIMILARITY = 6, 23, 5, 0.8
@@ -291,6 +291,7 @@ def jaccard(left: str, right: str):
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component: the least id (nulls last), then the least hash of all
     columns; of equal rows one. Columns are those of ``docs``."""
+    small_batches(docs.sparkSession)
     key = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).cast("long").alias("i"), row_hash(docs).alias("h"))
     keyed = docs.select(key.alias("key"), F.col(text_col).alias("text"))
     rows = checkpoint(signatures(keyed))

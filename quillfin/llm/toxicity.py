@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, small_batches
 
 MAX_ROWS = 20_000
 PREFIXES = (5, 6, 7, 8)
@@ -153,6 +153,7 @@ def fit(
     Features are chosen, and scores counted, by Spark: the driver gets the features of the model,
     and histograms with values rounded to hundredths.
     """
+    small_batches(docs.sparkSession)
     sample = _sample(docs, labels, max_rows, id_col, text_col, label_col)
     n_clean, n_toxic = sample.agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).first()
     if not n_clean or not n_toxic:
@@ -251,11 +252,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0) -
 
 
 def score_column(model: Model, text_col: str = "text"):
-    """The score of a text column. A batch's texts become strings one at a time, as a worker keeps the memory that it once took."""
+    """The score of a text column. A batch's texts become strings one at a time, as a worker keeps the memory that it once took;
+    what it remembers of tokens goes with the task."""
 
     @F.arrow_udf("double")
-    def score(texts: pa.Array) -> pa.Array:
-        return pa.array((model.score(t.as_py() or "") for t in texts), pa.float64())
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for texts in batches:
+                yield pa.array((model.score(t.as_py() or "") for t in texts), pa.float64())
+        finally:
+            model.memo.clear()
 
     return score(F.col(text_col))
 

@@ -2,11 +2,13 @@
 
 import random
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillfin.llm import toxicity
-from quillfin.llm import neardup, simhash
+from quillfin.llm import neardup, packing, simhash
 from tests.llm.test_operators import EDGE, SCHEMA, brute_secrets, packed_ok, rows
 
 
@@ -186,3 +188,24 @@ def test_toxic_documents_go(spark, sf):
     score = toxicity.score_column(corpus_pipeline.toxicity_model(spark, sf))
     kept = corpus_pipeline.drop_toxic(spark, docs, sf)
     assert kept.columns == docs.columns and kept.count() == docs.where(score < 0.3).count()
+
+
+def test_python_workers_get_small_batches(spark):
+    """A task of long texts isn't handed to a worker as one batch of 10,000 rows; a lesser bound of the session's holds."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["bytes"])
+
+    docs = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab "), 1000).alias("text"))
+    try:
+        spark.conf.unset(name)
+        packing.pack(docs.limit(1))
+        got = [r.bytes for r in docs.mapInArrow(sizes, "bytes long").collect()]
+        assert sum(got) > 12_000_000 and max(got) < 5_000_000
+        spark.conf.set(name, "1m")
+        packing.pack(docs.limit(1))
+        assert spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.unset(name)
