@@ -10,6 +10,7 @@ from ..operators import exits as ex
 from ..operators.asof import asof
 from ..operators.calendar import BENCHMARK, last_day_map, trading_days
 from ..operators.rangemax import range_max, sparse_table
+from ..session import near, written
 
 #: How far the first close may be from the price paid before a split is supposed, and trading days that a symbol may be late.
 SPLIT, STALE = 0.4, 5
@@ -99,12 +100,22 @@ def rule_status(rows: DataFrame, prices: DataFrame, exit_alerts: DataFrame) -> D
 
 
 def member_sales(positions: DataFrame, trades: DataFrame, filings: DataFrame) -> DataFrame:
-    """(position_id, doc_id, sold_on): the source member's first sale of the symbol that became public on or after the day of purchase."""
-    source = positions.join(trades.select("trade_id", "member_id", "symbol"), "trade_id").select("position_id", "member_id", F.coalesce("symbol", F.upper("ticker")).alias("symbol"), "buy_date")
-    public = F.coalesce("available_at", "first_seen_at")
-    sold = trades.where(F.col("action").isin("SELL", "SELL_PARTIAL")).join(filings.select("doc_id", public.alias("public_at")), "doc_id").select("member_id", "symbol", "doc_id", "public_at")
-    met = source.join(sold, ["member_id", "symbol"]).where(F.to_date("public_at") >= F.col("buy_date"))
-    first = met.groupBy("position_id").agg(F.min(F.struct("public_at", "doc_id")).alias("s"))
+    """(position_id, doc_id, sold_on): the source member's first sale of the symbol that became public on or after the day of purchase.
+
+    Sales and the positions' own trades come from one pass over the trades; a window per member and symbol finds each purchase's next sale, so that the work is linear in rows.
+    """
+    own = near(written(positions.select("position_id", F.col("trade_id").alias("_source"), F.upper("ticker").alias("_ticker"), "buy_date")))
+    public = filings.select("doc_id", F.coalesce("available_at", "first_seen_at").alias("public_at"))
+    sale = F.coalesce(F.col("action").isin("SELL", "SELL_PARTIAL"), F.lit(False)).alias("_sale")
+    seen = trades.select("trade_id", "member_id", "symbol", "doc_id", sale).join(own, F.col("trade_id") == F.col("_source"), "left")
+    seen = seen.where("member_id is not null and (_sale or _source is not null)").join(public, "doc_id", "left")
+    sold = F.when(F.col("_sale") & F.col("public_at").isNotNull(), F.struct("symbol", F.to_date("public_at").alias("day"), F.struct("public_at", "doc_id").alias("s"), F.lit(None).alias("position_id")))
+    bought = F.when(F.col("_source").isNotNull(), F.struct(F.coalesce("symbol", "_ticker").alias("symbol"), F.col("buy_date").alias("day"), F.lit(None).alias("s"), "position_id"))
+    rows = seen.select("member_id", F.explode(F.array(sold, bought)).alias("e")).select("member_id", "e.*").where("symbol is not null and day is not null")
+    # later days first; on a day sales come before purchases, the one that became public first last
+    upto = Window.partitionBy("member_id", "symbol").orderBy(F.desc("day"), F.desc_nulls_last("s")).rowsBetween(Window.unboundedPreceding, 0)
+    later = F.last("s", ignorenulls=True).over(upto)
+    first = rows.withColumn("_next", later).where("position_id is not null and _next is not null").groupBy("position_id").agg(F.min("_next").alias("s"))
     return first.select("position_id", "s.doc_id", F.to_date("s.public_at").alias("sold_on"))
 
 
@@ -126,10 +137,9 @@ def due_exits(positions: DataFrame, trades: DataFrame, filings: DataFrame, price
     # first trading day on or after the purchase
     exact = placed.join(F.broadcast(days.select(F.col("date").alias("buy_date"), F.col("i").alias("on"))), "buy_date", "left")
     d0 = F.when(day <= F.col("_first_day"), 0).when(F.col("on").isNotNull(), F.col("on")).when(day <= F.col("_last_day"), F.col("upto") + 1)
-    own = exact.withColumn("d0", d0.cast("int")).where("d0 is not null")
-    sale = member_sales(positions, trades, filings)
-    follows = rule_parts(F.col("exit_rule"))[0] == "member_sale"
-    sold = own.where(follows).join(sale, "position_id").select("position_id", F.lit("sale").alias("reason"), F.col("sold_on").alias("day"), F.lit(None).cast("double").alias("price"), F.lit(None).cast("double").alias("close"))
+    own = written(exact.withColumn("d0", d0.cast("int")).where("d0 is not null"))  # few rows, read by each step below
+    following = own.where(rule_parts(F.col("exit_rule"))[0] == "member_sale")
+    sold = written(following.join(member_sales(following, trades, filings), "position_id").select("position_id", F.lit("sale").alias("reason"), F.col("sold_on").alias("day"), F.lit(None).cast("double").alias("price"), F.lit(None).cast("double").alias("close")))
     rest = own.join(sold.select("position_id"), "position_id", "left_anti")
     labels = list(rules)
     hits = ex.simulate(rest.select(F.col("position_id").alias("trade_id"), "symbol", "d0", "buy_price"), bars, tuple(rules.values()), n_days, entry_col="buy_price", intraday=True)
